@@ -1,0 +1 @@
+"""Left empty on purpose: the pipeline is batch only, no stream source exists to serve."""
