@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.ml import Transformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout.functions.measures import MEASURES
 from dugout.functions.nullsafe import ratio
+from dugout.operators import correlation as corr
+from dugout.params import CORR_CUTOFF
+from dugout.sources.scratch import materialize
 
 OUTCOME = "num_pitches"
 #: Carried along but never predicted from; total_pitches_pitch equals the outcome.
@@ -50,13 +57,64 @@ def variance_report(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def normalized(df: DataFrame, train: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(x - mean) / sample sd with both learned on ``train``; missing values stay missing.
-
-    The learned side is one row, so broadcasting it is safe at any scale.
-    """
+    """Append ``z_x`` = (x - mean) / sample sd, both learned on ``train``; missing stays missing."""
     learned = train.agg(
         *(F.avg(c).alias(f"{c}__mean") for c in names), *(F.stddev_samp(c).alias(f"{c}__sd") for c in names)
     ).first()
     return df.withColumns(
-        {c: ratio(F.col(c) - F.lit(learned[f"{c}__mean"]).cast("double"), F.lit(learned[f"{c}__sd"])) for c in names}
+        {f"z_{c}": ratio(F.col(c) - F.lit(learned[f"{c}__mean"]).cast("double"), F.lit(learned[f"{c}__sd"])) for c in names}
     )
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """What was learned on training rows: which predictors stay, and their mean and sd."""
+
+    inputs: tuple[str, ...]
+    means: tuple[float, ...]
+    sds: tuple[float, ...]
+
+    @property
+    def outputs(self) -> list[str]:
+        return [f"z_{name}" for name in self.inputs]
+
+    def stages(self) -> list[Transformer]:
+        """Scale, then assemble. A missing value becomes the mean, which is 0 after scaling."""
+        cells = ", ".join(
+            f"coalesce(try_divide({self._source(c)} - {m!r}D, {s!r}D), 0.0D) AS `z_{c}`"
+            for c, m, s in zip(self.inputs, self.means, self.sds)
+        )
+        scale = SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__")
+        return [scale, VectorAssembler(inputCols=self.outputs, outputCol="features")]
+
+    @staticmethod
+    def _source(name: str) -> str:
+        if name in DUMMIES:
+            return f"CAST({NOMINAL} = '{DUMMIES[name]}' AS DOUBLE)"
+        return f"CAST(`{name}` AS DOUBLE)"
+
+
+def fit_recipe(train: DataFrame, cutoff: float = CORR_CUTOFF) -> Recipe:
+    """Correlation filter, zero-variance filter, indicators and scaling from one pass.
+
+    The pass yields p * p moments; everything below works on those few thousand numbers.
+    """
+    numeric = predictors()
+    names = [*numeric, *DUMMIES]
+    moments = materialize(corr.pair_moments(with_dummies(train), names), "moments")
+    among = moments.where((F.col("i") < len(numeric)) & (F.col("j") < len(numeric)))
+    pairs = corr.redundant_pairs(corr.correlations(among), len(numeric), cutoff)
+    redundant = {
+        row.drop for row in pairs.select(F.when(F.col("drop_j"), F.col("j")).otherwise(F.col("i")).alias("drop")).collect()
+    }
+    stats = {row.i: row for row in moments.where(F.col("i") == F.col("j")).collect()}
+    kept = []
+    for at, name in enumerate(names):
+        s = stats.get(at)
+        if at in redundant or s is None or not s.lo < s.hi:
+            continue
+        mean = s.sx / s.n
+        var = (s.sxx - s.sx * mean) / (s.n - 1)
+        kept.append((name, s["shift"] + mean, math.sqrt(max(var, 0.0))))
+    inputs, means, sds = zip(*kept)
+    return Recipe(inputs, means, sds)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dugout.operators.joins import mark_members, names_missing_from
 from dugout.params import BATTER, Seasons
 from dugout.plans.summaries import player_cells
+from dugout.sources.scratch import materialize
 
 
 def prediction_template(pitches: DataFrame, seasons: Seasons) -> DataFrame:
@@ -45,8 +46,9 @@ def carry_over(cells: DataFrame, seasons: Seasons) -> DataFrame:
     return marked.withColumn("pred_year", target).drop("is_absent")
 
 
-def model_table(pitches: DataFrame, seasons: Seasons) -> DataFrame:
-    return carry_over(player_cells(pitches), seasons)
+def stored_cells(pitches: DataFrame) -> DataFrame:
+    """The cell table on storage. Everything after it reads the table, so pitches are scanned once."""
+    return materialize(player_cells(pitches), "cells")
 
 
 def train_test_rows(table: DataFrame, seasons: Seasons) -> DataFrame:

@@ -12,7 +12,8 @@ from dugout.functions.flags import with_flags
 from dugout.operators import columns, ingest, joins, ranking, reshape, shares, split, topk
 from dugout.operators import correlation as corr
 from dugout.params import BATTER, BATTER_YEAR, CELL, CORR_CUTOFF, FIXTURE_SEASONS, GROUPS
-from dugout.plans import evaluation, features, model_table, report, summaries
+from dugout.operators.knn import impute_knn as fill_from_neighbours
+from dugout.plans import evaluation, features, model_table, modelling, report, summaries
 from dugout.plans.standin import standin, with_standin
 from dugout.sources import files, lookup, scratch, tables
 from dugout.sources.schema import PITCH_SCHEMA, PREDICTION_SCHEMA
@@ -50,23 +51,49 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.player_cells(flagged(spark, sf_dir))
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_table.stored_cells(flagged(spark, sf_dir))
+
+
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_table.model_table(flagged(spark, sf_dir), SEASONS)
+    return model_table.carry_over(stored_cells(spark, sf_dir), SEASONS)
 
 
 def train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_table.train_test_rows(model_rows(spark, sf_dir), SEASONS)
 
 
+def to_predict(table: DataFrame) -> DataFrame:
+    return model_table.predict_rows(model_table.carry_over(table, SEASONS), SEASONS)
+
+
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to predict with the stand-in prediction."""
-    return with_standin(model_table.predict_rows(model_rows(spark, sf_dir), SEASONS))
+    return with_standin(to_predict(stored_cells(spark, sf_dir)))
+
+
+def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Played seasons and predictions, both from one stored cell table."""
+    table = stored_cells(spark, sf_dir)
+    return report.actual_counts(table), with_standin(to_predict(table))
+
+
+def overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.pitch_summary_overall(flagged(spark, sf_dir))
+
+
+def stored_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The player card table; ranks and domains read it several times."""
+    return scratch.materialize(overall(spark, sf_dir), "overall")
+
+
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and holdout rows, stored because the steps on them read them repeatedly."""
+    return scratch.materialize(split.stratified_split(train_test(spark, sf_dir)), "split")
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training part of the rows, written once because the steps on it read it repeatedly."""
-    rows = split.stratified_split(train_test(spark, sf_dir)).where("is_train").drop("is_train")
-    return scratch.materialize(rows, "training")
+    return split_rows(spark, sf_dir).where("is_train").drop("is_train")
 
 
 # --- sources and sinks ---------------------------------------------------------------
@@ -169,8 +196,7 @@ def select_cols(spark, sf_dir):
 
 @query
 def drop_cols(spark, sf_dir):
-    overall = summaries.pitch_summary_overall(flagged(spark, sf_dir))
-    return overall.drop("player_name", "sz_top", "sz_bot", "singles", "doubles", "triples", "homeruns", "ks", "walks")
+    return overall(spark, sf_dir).drop("player_name", "sz_top", "sz_bot", "singles", "doubles", "triples", "homeruns", "ks", "walks")
 
 
 @query
@@ -193,6 +219,7 @@ def const_cols(spark, sf_dir):
 @query
 def split_by_year(spark, sf_dir):
     rows = model_rows(spark, sf_dir).select(*CELL, "pred_year", "num_pitches")
+    rows = scratch.materialize(rows, "model-rows")
     parts = {
         "train_test": model_table.train_test_rows(rows, SEASONS),
         "predict": model_table.predict_rows(rows, SEASONS),
@@ -203,8 +230,7 @@ def split_by_year(spark, sf_dir):
 
 @query
 def filter_by_player(spark, sf_dir):
-    overall = summaries.pitch_summary_overall(flagged(spark, sf_dir))
-    return columns.for_players(overall, PLAYERS)
+    return columns.for_players(overall(spark, sf_dir), PLAYERS)
 
 
 @query
@@ -232,8 +258,7 @@ def reassign_pred_year(spark, sf_dir):
 
 @query
 def percent_scale(spark, sf_dir):
-    overall = summaries.pitch_summary_overall(flagged(spark, sf_dir))
-    return overall.select(*BATTER, "pitch_group", (100 * F.col("prop")).alias("prop"))
+    return overall(spark, sf_dir).select(*BATTER, "pitch_group", (100 * F.col("prop")).alias("prop"))
 
 
 # --- row flags -----------------------------------------------------------------------
@@ -339,8 +364,8 @@ def count_team_group(spark, sf_dir):
 
 @query
 def corr_matrix(spark, sf_dir):
-    df = cells(spark, sf_dir)
-    pairs = corr.corr_matrix(scratch.materialize(df, "cells"), columns.numeric_columns(df))
+    df = stored_cells(spark, sf_dir)
+    pairs = corr.corr_matrix(df, columns.numeric_columns(df))
     return pairs.withColumn("r", F.round("r", 6))
 
 
@@ -381,20 +406,20 @@ def partition_total(spark, sf_dir):
 @query
 def avg_rank(spark, sf_dir):
     """Rank of a player's exit figures among that player's pitch groups, both directions."""
-    overall = summaries.pitch_summary_overall(flagged(spark, sf_dir)).select(*BATTER, "pitch_group", "exit_velo")
-    up = ranking.average_rank(overall, "exit_velo", ["player_name"], "rank_asc")
+    values = stored_overall(spark, sf_dir).select(*BATTER, "pitch_group", "exit_velo")
+    up = ranking.average_rank(values, "exit_velo", ["player_name"], "rank_asc")
     return ranking.average_rank(up, "exit_velo", ["player_name"], "rank_desc", descending=True)
 
 
 @query
 def domain_range(spark, sf_dir):
-    long = report.card_metrics(summaries.pitch_summary_overall(flagged(spark, sf_dir)))
+    long = report.card_metrics(stored_overall(spark, sf_dir))
     return ranking.with_domain(long, "value", ["player_name", "metric"])
 
 
 @query
 def scale_position(spark, sf_dir):
-    return report.card_positions(summaries.pitch_summary_overall(flagged(spark, sf_dir)))
+    return report.card_positions(stored_overall(spark, sf_dir))
 
 
 # --- joins ---------------------------------------------------------------------------
@@ -440,8 +465,8 @@ def join_semi_flag(spark, sf_dir):
 
 @query
 def join_lookup(spark, sf_dir):
-    overall = summaries.pitch_summary_overall(flagged(spark, sf_dir)).select(*BATTER, "pitch_group", "total_pitches")
-    return overall.join(F.broadcast(lookup.group_colours(spark)), "pitch_group", "left")
+    totals = overall(spark, sf_dir).select(*BATTER, "pitch_group", "total_pitches")
+    return totals.join(F.broadcast(lookup.group_colours(spark)), "pitch_group", "left")
 
 
 # --- set operations and reshape ------------------------------------------------------
@@ -474,12 +499,12 @@ def final_prediction_table(spark, sf_dir):
 
 @query
 def report_long(spark, sf_dir):
-    return report.report_long(flagged(spark, sf_dir), predicted(spark, sf_dir), SEASONS)
+    return report.report_long(*report_inputs(spark, sf_dir), SEASONS)
 
 
 @query
 def report_wide(spark, sf_dir):
-    return report.report_wide(flagged(spark, sf_dir), predicted(spark, sf_dir), SEASONS)
+    return report.report_wide(*report_inputs(spark, sf_dir), SEASONS)
 
 
 # --- sort, limit, top-k --------------------------------------------------------------
@@ -493,21 +518,22 @@ def sort_asc(spark, sf_dir):
 
 @query
 def sort_desc(spark, sf_dir):
-    overall = summaries.pitch_summary_overall(flagged(spark, sf_dir)).select(*BATTER, "pitch_group", "total_pitches")
+    totals = overall(spark, sf_dir).select(*BATTER, "pitch_group", "total_pitches")
     return columns.sort_missing_last(
-        overall, "total_pitches", "batter_id", "player_name", "pitch_group", descending=True
+        totals, "total_pitches", "batter_id", "player_name", "pitch_group", descending=True
     )
 
 
 @query
 def head_n(spark, sf_dir):
-    overall = summaries.pitch_summary_overall(flagged(spark, sf_dir)).select(*BATTER, "pitch_group", "total_pitches")
+    totals = overall(spark, sf_dir).select(*BATTER, "pitch_group", "total_pitches")
     order = [F.col("total_pitches").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in (*BATTER, "pitch_group"))]
-    return topk.head(overall, 10, *order)
+    return topk.head(totals, 10, *order)
 
 
 def distances(spark, sf_dir) -> DataFrame:
-    wide = report.report_wide(flagged(spark, sf_dir), predicted(spark, sf_dir), SEASONS)
+    wide = report.report_wide(*report_inputs(spark, sf_dir), SEASONS)
+    wide = scratch.materialize(wide, "report-wide")
     return topk.share_distances(wide, TARGET_BATTER, SEASONS.target_year, MIN_PITCHES)
 
 
@@ -533,7 +559,7 @@ def similarity_table(spark, sf_dir):
 def format_number_styles(spark, sf_dir):
     """Every style on every cell of the player cards."""
     v = F.col("value")
-    return report.card_metrics(summaries.pitch_summary_overall(flagged(spark, sf_dir))).select(
+    return report.card_metrics(overall(spark, sf_dir)).select(
         *BATTER,
         "pitch_group",
         "metric",
@@ -549,7 +575,7 @@ def format_number_styles(spark, sf_dir):
 
 @query
 def format_report_cells(spark, sf_dir):
-    wide = report.report_wide(flagged(spark, sf_dir), predicted(spark, sf_dir), SEASONS)
+    wide = report.report_wide(*report_inputs(spark, sf_dir), SEASONS)
     return wide.select(
         *BATTER_YEAR,
         formats.whole_number(F.col("num_pitches")).alias("num_pitches"),
@@ -568,8 +594,7 @@ def stratified_split(spark, sf_dir):
 
 @query
 def repeated_stratified_folds(spark, sf_dir):
-    rows = split.stratified_split(train_test(spark, sf_dir).select(*CELL)).where("is_train")
-    return split.stratified_folds(rows)
+    return split.stratified_folds(training(spark, sf_dir))
 
 
 @query
@@ -595,10 +620,10 @@ def dummy_encode(spark, sf_dir):
 @query
 def normalize(spark, sf_dir):
     """Learned on the training part, applied to all rows."""
-    rows = scratch.materialize(split.stratified_split(train_test(spark, sf_dir)), "split")
+    rows = split_rows(spark, sf_dir)
     names = features.predictors()
     scaled = features.normalized(rows, rows.where("is_train"), names)
-    return scaled.select(*CELL, *(F.round(c, 6).alias(c) for c in names))
+    return scaled.select(*CELL, *(F.round(f"z_{c}", 6).alias(f"z_{c}") for c in names))
 
 
 @query
@@ -621,3 +646,92 @@ def regression_metrics(spark, sf_dir):
     rows = with_standin(cells(spark, sf_dir))
     by_group = evaluation.regression_metrics(rows, "num_pitches", "prediction", by=["pitch_group"])
     return by_group.withColumn("estimate", F.round("estimate", 6))
+
+
+# --- models --------------------------------------------------------------------------
+
+#: Settings of the registered model queries; the full grid is ``modelling.regular_grid()``.
+SMALL_FIT = modelling.Point(min_n=12, mtry=17, trees=(5,))
+SMALL_GRID = [modelling.Point(n, 17, (1, 3)) for n in (12, 100)]
+SMALL_FOREST = {"trees": 10, "depth": 8}
+
+
+def fitted(train: DataFrame):
+    return modelling.fit(train, modelling.boosted_trees(SMALL_FIT))
+
+
+def holdout(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col("is_train"))
+
+
+@query
+def impute_knn(spark, sf_dir):
+    rows = training(spark, sf_dir)
+    return fill_from_neighbours(rows, features.predictors())
+
+
+@query
+def recipe_bake(spark, sf_dir):
+    """Learned on the training part, applied to the holdout."""
+    rows = split_rows(spark, sf_dir)
+    recipe = features.fit_recipe(rows.where("is_train"))
+    baked = recipe.stages()[0].transform(holdout(rows))
+    return baked.select(*CELL, *recipe.outputs)
+
+
+def screened(spark, sf_dir):
+    train = fill_from_neighbours(training(spark, sf_dir), features.predictors())
+    return modelling.fit(scratch.materialize(train, "imputed"), modelling.screening_forest(**SMALL_FOREST))
+
+
+@query
+def rf_screen(spark, sf_dir):
+    """Forest on the imputed training part, applied to the rows to predict."""
+    return modelling.predict(screened(spark, sf_dir), predicted(spark, sf_dir).drop("prediction"))
+
+
+@query
+def variable_importance(spark, sf_dir):
+    return modelling.variable_importance(spark, screened(spark, sf_dir))
+
+
+@query
+def gbt_fit(spark, sf_dir):
+    """Fitted on the training part; result is the holdout metrics."""
+    rows = split_rows(spark, sf_dir)
+    model = fitted(rows.where("is_train"))
+    return evaluation.regression_metrics(modelling.predict(model, holdout(rows)), features.OUTCOME, "prediction")
+
+
+@query
+def tune_grid(spark, sf_dir):
+    train = training(spark, sf_dir)
+    folds = split.stratified_folds(train, folds=2, repeats=1)
+    resamples = modelling.tune_grid(train, scratch.materialize(folds, "folds"), SMALL_GRID)
+    return evaluation.cv_summary(resamples, ["min_n", "mtry", "trees"])
+
+
+@query
+def predict_batch(spark, sf_dir):
+    """The whole path with the model in place of the stand-in: published shares."""
+    rows = split_rows(spark, sf_dir)
+    model = fitted(rows.where("is_train"))
+    scored = modelling.predict(model, predicted(spark, sf_dir).drop("prediction"))
+    return report.final_predictions(scored, SEASONS)
+
+
+@query
+def bind_columns(spark, sf_dir):
+    """Predictions beside the holdout rows they belong to."""
+    rows = split_rows(spark, sf_dir)
+    scored = modelling.predict(fitted(rows.where("is_train")), holdout(rows))
+    return scored.select(*BATTER, "pitch_group", "num_pitches", "prediction")
+
+
+@query
+def model_persist(spark, sf_dir):
+    """Store the fitted pipeline, load it and apply the loaded one."""
+    rows = split_rows(spark, sf_dir)
+    path = scratch.scratch_dir(spark, "model")
+    modelling.save(fitted(rows.where("is_train")), path)
+    return modelling.predict(modelling.load(path), holdout(rows)).select(*CELL, "prediction")

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from dugout.operators.ranking import average_rank, position, with_domain
 from dugout.operators.reshape import pivot_groups, stack_rows
-from dugout.operators.shares import clamp_and_share, partition_total, share_by_year
+from dugout.operators.shares import clamp_and_share, partition_total
 from dugout.params import BATTER, BATTER_YEAR, CELL, Seasons
-from dugout.plans.summaries import pitch_counts
 
 OUTPUT_NAMES = {
     "batter_id": "BATTER_ID",
@@ -69,21 +68,23 @@ def tag_type(df: DataFrame, seasons: Seasons) -> DataFrame:
     return df.withColumn("type", F.when(known, "True").when(~known, "Pred"))
 
 
-def report_long(pitches: DataFrame, predicted: DataFrame, seasons: Seasons, prediction: str = "prediction"):
+def actual_counts(cells: DataFrame) -> DataFrame:
+    """Counts and season shares of played seasons; the cell table already has them."""
+    return cells.select(*CELL, "num_pitches", "prop")
+
+
+def report_long(actual: DataFrame, predicted: DataFrame, seasons: Seasons, prediction: str = "prediction"):
     """Actual and predicted counts and shares below each other."""
-    actual = share_by_year(pitch_counts(pitches), "num_pitches")
     return tag_type(stack_rows(actual, predicted_shares(predicted, seasons, prediction)), seasons)
 
 
-def report_wide(pitches: DataFrame, predicted: DataFrame, seasons: Seasons, prediction: str = "prediction"):
+def report_wide(actual: DataFrame, predicted: DataFrame, seasons: Seasons, prediction: str = "prediction"):
     """One row per hitter and season with the season total; a group not seen counts 0."""
-    actual = share_by_year(pitch_counts(pitches), "num_pitches").transform(
-        partition_total, "num_pitches", BATTER_YEAR, "num_pitches"
-    )
-    expected = predicted_shares(predicted, seasons, prediction).transform(
-        partition_total, "num_pitches", BATTER, "num_pitches"
+    by_season = partition_total(actual, "num_pitches", BATTER_YEAR, "num_pitches")
+    expected = partition_total(
+        predicted_shares(predicted, seasons, prediction), "num_pitches", BATTER, "num_pitches"
     )
-    return pivot_groups(stack_rows(actual, expected), [*BATTER_YEAR, "num_pitches"], "prop", fill=0.0)
+    return pivot_groups(stack_rows(by_season, expected), [*BATTER_YEAR, "num_pitches"], "prop", fill=0.0)
 
 
 def card_metrics(overall: DataFrame) -> DataFrame:

@@ -224,20 +224,23 @@ def q(uses: str, body: str) -> str:
     return f"WITH {ctes}{glue}{body}"
 
 
-def corr_sql(source: str, a: str, b: str) -> str:
-    """Pairwise-complete moment correlation; NULL where a side is constant."""
-    x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
-    sd = f"(stddev_samp({x}) FILTER (WHERE {b} IS NOT NULL)) * (stddev_samp({y}) FILTER (WHERE {a} IS NOT NULL))"
-    return f"covar_samp({x}, {y}) / nullif({sd}, 0)"
-
-
 def pairs_sql(source: str, names) -> str:
-    """(col_a, col_b, r) of all pairs: one aggregate row, unnested."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    a_list = ", ".join(f"'{a}'" for a, _ in pairs)
-    b_list = ", ".join(f"'{b}'" for _, b in pairs)
-    rs = ",\n ".join(corr_sql(source, a, b) for a, b in pairs)
-    return f"SELECT unnest([{a_list}]) AS col_a, unnest([{b_list}]) AS col_b, unnest([{rs}]) AS r FROM {source}"
+    """(col_a, col_b, r) of all pairs over the rows where both are known; NULL if one is constant.
+
+    Rows are unpivoted and met with themselves: thousands of filtered aggregates in one
+    SELECT take DuckDB minutes.
+    """
+    cols = ", ".join(f"'{n}'" for n in names)
+    vals = ", ".join(f"CAST({n} AS DOUBLE)" for n in names)
+    index = f"unnest(range({len(names)}))"
+    found = """SELECT a.c AS col_a, b.c AS col_b,
+ covar_samp(a.x, b.x) / nullif(stddev_samp(a.x) * stddev_samp(b.x), 0) AS r
+FROM cellvalue a JOIN cellvalue b ON a.id = b.id AND a.k < b.k GROUP BY a.c, b.c"""
+    every = f"""(SELECT unnest([{cols}]) AS c, {index} AS k)"""
+    grid = f"SELECT a.c AS col_a, b.c AS col_b FROM {every} a JOIN {every} b ON a.k < b.k"
+    return f"SELECT col_a, col_b, r FROM ({grid}) LEFT JOIN ({found}) USING (col_a, col_b)", f"""cellvalue AS (
+ SELECT * FROM (SELECT id, unnest([{cols}]) AS c, {index} AS k, unnest([{vals}]) AS x
+ FROM (SELECT *, row_number() OVER () AS id FROM {source})) WHERE x IS NOT NULL)"""
 
 
 NUMERIC = [
@@ -362,7 +365,8 @@ UNION ALL SELECT {SEASON}, pitch_group, pred_year, num_pitches, 'predict' AS par
             "clean", "SELECT pitch_group, home_team, count(*) AS n FROM clean GROUP BY pitch_group, home_team"
         ),
         "corr_matrix": q(
-            "cells", f"SELECT col_a, col_b, round(r, 6) + 0.0 AS r FROM ({pairs_sql('cells', NUMERIC)})"
+            "cells",
+            ", {1} SELECT col_a, col_b, round(r, 6) + 0.0 AS r FROM ({0})".format(*pairs_sql("cells", NUMERIC)),
         ),
         "multi_grain": q(
             "yearly by_group overall",
@@ -514,9 +518,8 @@ FROM training, (VALUES (1), (2), (3), (4), (5)) r(repeat)""",
         ),
         "normalize": q(
             "traintest training",
-            f"SELECT {', '.join(f't.{c}' for c in IDS if c not in preds)}, "
-            + "t.game_year AS game_year_raw, "
-            + ", ".join(f"round((t.{c} - l.{c}_m) / nullif(l.{c}_s, 0), 6) + 0.0 AS {c}" for c in preds)
+            f"SELECT {', '.join(f't.{c}' for c in IDS)}, "
+            + ", ".join(f"round((t.{c} - l.{c}_m) / nullif(l.{c}_s, 0), 6) + 0.0 AS z_{c}" for c in preds)
             + " FROM traintest t, (SELECT "
             + ", ".join(f"avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_s" for c in preds)
             + " FROM training) l",
@@ -552,7 +555,8 @@ res AS (SELECT point, repeat, fold, {_metrics('num_pitches', 'g')} FROM guess GR
 
 
 def _corr_filter(names) -> str:
-    return f""", pairs AS ({pairs_sql('training', names)}),
+    pairs, values = pairs_sql("training", names)
+    return f""", {values}, pairs AS ({pairs}),
 ends AS (SELECT col_a AS c, abs(coalesce(r, 0)) AS s FROM pairs UNION ALL SELECT col_b, abs(coalesce(r, 0)) FROM pairs),
 means AS (SELECT c, round((sum(s) + 1) / {len(names)}, 9) AS m FROM ends GROUP BY c)
 SELECT col_a, col_b, round(r, 6) AS r, CASE WHEN b.m > a.m THEN col_b ELSE col_a END AS dropped
