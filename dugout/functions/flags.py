@@ -34,14 +34,14 @@ HARD_HIT_SPEED = 95
 
 
 def pitch_group() -> Column:
-    """FB, OS or BB by pitch name. The *name* 'Other' is BB, an unlisted one is the group 'Other'."""
-    name = F.col("pitch_name")
-    return (
-        F.when(name.isin(*FASTBALLS), "FB")
-        .when(name.isin(*OFFSPEED), "OS")
-        .when(name.isin(*BREAKING), "BB")
-        .otherwise(UNKNOWN_GROUP)
-    )
+    """FB, OS or BB by pitch name. The *name* 'Other' is BB, an unlisted one is the group 'Other'.
+
+    A constant map reads the name once; three IN lists would each carry a copy of whatever
+    expression the name comes from, down into the pushed filter as well.
+    """
+    groups = {"FB": FASTBALLS, "OS": OFFSPEED, "BB": BREAKING}
+    entries = [F.lit(v) for group, names in groups.items() for name in names for v in (name, group)]
+    return F.coalesce(F.element_at(F.create_map(*entries), F.col("pitch_name")), F.lit(UNKNOWN_GROUP))
 
 
 def _first_level() -> dict[str, Column]:
