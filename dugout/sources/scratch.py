@@ -12,7 +12,7 @@ _local_base: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder the session names.
+    """A fresh path under the shared folder the session names; it goes when the session's JVM ends.
 
     Only a single-process session without that setting gets a temporary folder of its own.
     """
@@ -23,7 +23,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         app = spark.sparkContext.applicationId
         base = _local_base.setdefault(app, "") or tempfile.mkdtemp(prefix="dugout-")
         _local_base[app] = base
-    return f"{base.rstrip('/')}/dugout/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/dugout/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    files.deleteOnExit(target)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
