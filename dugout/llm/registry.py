@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.llm.common import table, word_count
-from dugout.llm import language
+from dugout.llm import language, licenses
 from dugout.llm.mixing import systematic_mix
 from dugout.llm.sharding import shuffle_into_shards
 from dugout.llm.simhash import simhash_components
@@ -56,6 +56,11 @@ def op7_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 @query
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -98,3 +103,47 @@ SELECT doc_id, size, source_size, target,
        ((floor(place * rate + start) - floor((place - 1) * rate + start)) * size)::BIGINT AS taken
 FROM placed
 """
+
+_TEMPLATES = ", ".join(
+    f"({n}, {t.label!r}, {str(t.base).lower()}, {len(t.text.split()) - 1}, {i}, {a!r}, {b!r})"
+    for n, i, a, b in licenses.pairs(licenses.TEMPLATES)
+    for t in [licenses.TEMPLATES[n]]
+)
+SQL["op8_diagonal_voting"] = rf"""
+WITH worded AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+grams(template, label, base, pairs, place, a, b) AS (VALUES {_TEMPLATES}),
+placed AS (
+  SELECT r, unnest(words) AS a, unnest(words[2:]) AS b, generate_subscripts(words, 1) - 1 AS pos FROM worded),
+votes AS (
+  SELECT r, template, any_value(label) AS label, any_value(base) AS base, any_value(pairs) AS pairs, pos - place AS diagonal,
+         bit_or(1::BIGINT << place) AS bits, min(pos) AS lo, max(pos) AS hi
+  FROM placed JOIN grams USING (a, b) GROUP BY r, template, pos - place),
+steps AS (
+  SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {licenses.SLACK}
+            THEN 0 ELSE 1 END AS step
+  FROM votes WHERE base OR bit_count(bits) >= 2),
+grouped AS (
+  SELECT *, sum(step) OVER (PARTITION BY r, template ORDER BY diagonal) AS g FROM steps),
+spans AS (
+  SELECT r, any_value(label) AS label, any_value(base) AS base, any_value(pairs) AS pairs,
+         bit_count(bit_or(bits)) AS held, min(lo) AS lo, max(hi) AS hi
+  FROM grouped GROUP BY r, template, g),
+kept AS (
+  SELECT *, held / pairs::DOUBLE AS share FROM spans
+  WHERE (base AND held = pairs)
+     OR (NOT base AND held / pairs::DOUBLE >= {licenses.MIN_SHARE} AND hi - lo + 2 <= (pairs + 1) * {licenses.STRETCH})),
+found AS (
+  SELECT r, count(*) FILTER (WHERE base) AS n_base, min(lo) FILTER (WHERE base) AS first_word,
+         max(lo) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM kept GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM worded LEFT JOIN found USING (r)
+"""
