@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.llm.common import table, word_count
+from dugout.llm.containment import find_items
 from dugout.llm import language, licenses
 from dugout.llm.mixing import systematic_mix
 from dugout.llm.sharding import shuffle_into_shards
@@ -22,6 +23,12 @@ def query(fn):
     return fn
 
 
+@query
+def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "containment")
+
+
 @query
 def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
