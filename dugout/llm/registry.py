@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from dugout.llm.common import table, word_count
 from dugout.llm.containment import find_items
-from dugout.llm import language, licenses
+from dugout.llm import language, licenses, tokenfiles
 from dugout.llm.mixing import systematic_mix
+from dugout.llm.quotes import link_quotes
 from dugout.llm.sharding import shuffle_into_shards
 from dugout.llm.simhash import simhash_components
+from dugout.sources.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +46,20 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
 
 
+@query
+def op5_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    target = scratch_dir(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), target, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read(spark, target).select(
+        F.col("key").alias("doc_id"),
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 @query
 def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +84,12 @@ def op8_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+@query
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.select("row.conv_id", "row.turn", "row.role", *[c for c in linked.columns if c != "row"])
+
+
 @query
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
