@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dugout.llm.common import table, word_count
 from dugout.llm.containment import find_items
-from dugout.llm import language, licenses, tokenfiles
+from dugout.llm import labeller, language, licenses, tokenfiles
 from dugout.llm.mixing import systematic_mix
 from dugout.llm.quotes import link_quotes
 from dugout.llm.sharding import shuffle_into_shards
@@ -25,6 +25,14 @@ def query(fn):
     return fn
 
 
+@query
+def op2_recurrent_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = labeller.fit(pages)
+    text = labeller.main_text(pages, model)
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query
 def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
