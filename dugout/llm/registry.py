@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dugout.llm.common import table, word_count
 from dugout.llm.containment import find_items
 from dugout.llm import labeller, language, licenses, tokenfiles
+from dugout.llm.forest import nearest
 from dugout.llm.mixing import systematic_mix
 from dugout.llm.quotes import link_quotes
 from dugout.llm.sharding import shuffle_into_shards
@@ -25,6 +26,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(table(spark, sf_dir, "embeddings"), wanted=F.col("vec_id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op2_recurrent_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
