@@ -15,8 +15,8 @@ from dugout.llm.common import boxed, col, row_hash
 SHINGLE, THRESHOLD = 5, 0.8
 #: Hash functions of a signature; each is a band of its own, as five-word shingles are rare enough.
 HASHES = 32
-#: Upper ends of the size classes grow by this factor, from this size (in shingles).
-GROWTH, SMALLEST = 2**0.5, 8
+#: Size classes (in shingles) end at these sizes times a power of two: 8, 11, 16, 22, 32, ...
+BASES = (8, 11)
 #: Bits of the table that tells which signature values items have; fixed, whatever the number of items.
 TABLE_BITS = 26
 #: Word hashes kept by a worker before it starts anew; shingles handled at once.
@@ -56,11 +56,19 @@ def shingle_hashes(words: list[bytes], known: _WordHashes) -> np.ndarray:
 
 
 def size_class(shingles: int) -> int:
-    """The smallest upper end of a class that holds an item of so many shingles."""
-    top = float(SMALLEST)
-    while int(top) < shingles:
-        top *= GROWTH
-    return int(top)
+    """The smallest end of a class that holds an item of so many shingles."""
+    doublings = 0
+    while BASES[-1] << doublings < shingles:
+        doublings += 1
+    return next(b << doublings for b in BASES if b << doublings >= shingles)
+
+
+def halved(size: int) -> tuple[int, int]:
+    """A class end as its base and the number of doublings."""
+    doublings = 0
+    while size not in BASES:
+        size, doublings = size // 2, doublings + 1
+    return size, doublings
 
 
 def tokens(values: np.ndarray, number: int, size: int) -> np.ndarray:
@@ -72,21 +80,50 @@ def tokens(values: np.ndarray, number: int, size: int) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)
 
 
-def window_tokens(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Tokens (hash function, window) of all windows of 2 * size shingles at every size-th shingle.
+def block_starts(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of blocks of so many rows within runs of these lengths, and the blocks of each run."""
+    blocks = -(-lengths // size)
+    first = np.cumsum(blocks) - blocks
+    return np.repeat(np.cumsum(lengths) - lengths - first * size, blocks) + np.arange(blocks.sum()) * size, blocks
+
 
-    Any run of up to size shingles lies within one of the windows.
+def windows(hashes: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each class size: tokens (hash function, window), and the run and number of each window.
+
+    hashes are the shingles of many runs, one behind the other. A window is two neighbouring blocks of the class size
+    (a run of one block is one window), so any stretch of up to that size lies within a window. Smallest values of
+    larger blocks come from those of the blocks they are made of.
     """
-    starts = np.arange(0, len(hashes), size)
-    out = np.empty((HASHES, max(1, len(starts) - 1)), dtype=np.uint64)
+    plan: dict[int, list] = {}
+    deepest = {base: max((halved(s)[1] for s in sizes if halved(s)[0] == base), default=-1) for base in BASES}
+    for base, levels in deepest.items():
+        runs = lengths
+        for level in range(levels + 1):
+            starts, runs = block_starts(runs, base if level == 0 else 2)
+            last = np.zeros(len(starts), bool)
+            last[np.cumsum(runs) - 1] = True
+            alone = np.repeat(runs == 1, runs)
+            kept = np.flatnonzero(~last | alone)
+            of = np.repeat(np.arange(len(runs)), runs)
+            number = np.arange(len(starts)) - np.repeat(np.cumsum(runs) - runs, runs)
+            size = base << level
+            out = np.empty((HASHES, len(kept)), np.uint64) if size in sizes else None
+            plan[size] = [starts, alone[kept], kept, of[kept], number[kept], out]
     for j in range(HASHES):
-        low = np.minimum.reduceat((hashes * _ODD[SHINGLE + j]) >> np.uint64(32), starts)
-        out[j] = tokens(np.minimum(low[:-1], low[1:]) if len(low) > 1 else low, j, size)
-    return out
+        values = (hashes * _ODD[SHINGLE + j]) >> np.uint64(32)
+        for base, levels in deepest.items():
+            low = values
+            for level in range(levels + 1):
+                starts, alone, kept, _, _, out = plan[base << level]
+                low = np.minimum.reduceat(low, starts)
+                if out is not None:
+                    beside = np.where(alone, low[kept], low[np.minimum(kept + 1, len(low) - 1)])
+                    out[j] = tokens(np.minimum(low[kept], beside), j, base << level)
+    return {size: (plan[size][5], plan[size][3], plan[size][4]) for size in sizes}
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
-    """(item, size, token): the signature of each benchmark item in its size class."""
+    """(mark, size, token): the signature of each benchmark item (mark, text) in its size class."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -101,35 +138,48 @@ def item_tokens(items: DataFrame) -> DataFrame:
                     low = [np.min((hashes * _ODD[SHINGLE + j]) >> np.uint64(32), keepdims=True) for j in range(HASHES)]
                     found += [int(tokens(v, j, size)[0]) for j, v in enumerate(low)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item").take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(found, pa.int64())],
-                names=["item", "size", "token"],
+                [batch.column("mark").take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(found, pa.int64())],
+                names=["mark", "size", "token"],
             )
 
-    kind = items.schema["item"].dataType.simpleString()
-    return items.select("item", "text").mapInArrow(sign, f"item {kind}, size int, token long")
+    return items.select("mark", "text").mapInArrow(sign, "mark long, size int, token long")
 
 
 def searcher(sizes: list[int], table):
     """Windows of each text that share a signature value with some item of their class."""
+    overlap = 2 * max(sizes) + SHINGLE
+
+    def runs(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes]]]]:
+        """(text, words) in groups of bounded size; pieces of a long text overlap by the largest window."""
+        group: list[tuple[int, list[bytes]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            for start in range(0, len(words), PIECE):
+                group.append((i, words[start : start + PIECE + overlap]))
+                size += len(group[-1][1])
+                if size >= PIECE:
+                    yield group
+                    group, size = [], 0
+        if group:
+            yield group
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = _WordHashes(), table.value
         for batch in batches:
             at, found, held = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                words = words_of(text)
-                for start in range(0, len(words), PIECE):
-                    # pieces overlap by the largest window, so that each run lies within one of them
-                    part = words[start : start + PIECE + 2 * max(sizes) + SHINGLE]
-                    hashes = shingle_hashes(part, known)
-                    for size in sizes:
-                        marks = window_tokens(hashes, size)
-                        slot = marks & np.uint64((1 << TABLE_BITS) - 1)
-                        seen = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-                        for w in np.flatnonzero(seen.any(axis=0)):
-                            at.append(i)
-                            found.append(marks[seen[:, w] > 0, w].astype(np.int64).tolist())
-                            held.append(b" ".join(part[w * size : (w + 2) * size + SHINGLE - 1]).decode("utf-8", "replace"))
+            for group in runs(batch.column("text").to_pylist()):
+                each = [shingle_hashes(words, known) for _, words in group]
+                lengths = np.array([len(h) for h in each], dtype=np.int64)
+                for size, (marks, of, number) in windows(np.concatenate(each), lengths, sizes).items():
+                    slot = marks & np.uint64((1 << TABLE_BITS) - 1)
+                    seen = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+                    for w in np.flatnonzero(seen.any(axis=0)):
+                        i, words = group[of[w]]
+                        first = number[w] * size
+                        at.append(i)
+                        found.append(marks[seen[:, w] > 0, w].astype(np.int64).tolist())
+                        held.append(b" ".join(words[first : first + 2 * size + SHINGLE - 1]).decode("utf-8", "replace"))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(rows), batch.column("row_hash").take(rows), pa.array(found, pa.list_(pa.int64())), pa.array(held, pa.string())],
@@ -163,8 +213,8 @@ def find_items(
 
     A short item is a small part of a long text, so the Jaccard similarity of whole texts says nothing. Items are put
     into size classes, and each text is cut, once per class in use, into overlapping windows of twice the class size;
-    within a window an item that is contained to 0.8 has a Jaccard similarity of 0.26 or more, and 32 hash functions
-    miss it with a probability below 6e-5 (1e-6 if it is contained in full). A window that shares a signature value
+    within a window an item that is contained to 0.8 has a Jaccard similarity of 0.257 or more, and 32 hash functions
+    miss it with a probability below 8e-5 (3e-6 if it is contained in full). A window that shares a signature value
     with an item (an equality join) is verified: exact share of the item's distinct five-word shingles in the window.
 
     Texts first pass a bit table of the items' values, of fixed size, so that only windows that can match leave the
@@ -173,7 +223,9 @@ def find_items(
     item are reported once, with the best window's share. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    named = items.select(col(item).alias("item"), col(item_text).alias("text"))
+    named = items.select(
+        col(item).alias("item"), col(item_text).alias("text"), F.xxhash64(col(item), col(item_text)).alias("mark")
+    ).dropDuplicates(["mark"])
     signed = item_tokens(named.filter("text is not null"))
     sizes = sorted(r["size"] for r in signed.select("size").distinct().collect())
     keyed = docs.select(col(key).alias("key"), row_hash(docs).alias("row_hash"), col(text).alias("text"))
@@ -187,13 +239,13 @@ def find_items(
         found = spark.createDataFrame([], shape)
     else:
         found = keyed.filter("text is not null").mapInArrow(searcher(sizes, spark.sparkContext.broadcast(bits)), shape)
-    wanted = named.withColumn("shingles", shingles(plain_words(F.col("text")))).select("item", "shingles")
+    wanted = named.withColumn("shingles", shingles(plain_words(F.col("text")))).select("mark", "item", "shingles")
     pairs = (
         found.select("key", "row_hash", "words", F.explode("tokens").alias("token"))
-        .join(signed.select("item", "token").distinct(), "token")
-        .groupBy("key", "row_hash", "words", "item")
+        .join(signed.select("mark", "token").distinct(), "token")
+        .groupBy("key", "row_hash", "words", "mark")
         .agg(F.count(F.lit(1)).alias("votes"))
-        .join(wanted, "item")
+        .join(wanted, "mark")
     )
     held = shingles(F.split("words", " "))
     return (
