@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from dugout.llm import coder, tokenfiles
+from fixtures import LONG, awkward_docs, empty_docs
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_coder_round_trips():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 500, coder.BLOCK, coder.BLOCK + 1):
+        for ids in (rng.integers(0, 1 << 16, n), rng.zipf(1.3, n) % 49_408, np.tile([5, 6, 7, 1], n)[:n], np.zeros(n, int)):
+            data = coder.encode(ids)
+            assert (coder.decode(data) == ids).all()
+    assert len(coder.encode(np.tile([5, 6, 7], 1000))) < 100
+    with pytest.raises(ValueError):
+        coder.encode(np.array([1 << 16]))
+
+
+def test_blocks_stand_alone_and_are_checked(monkeypatch):
+    monkeypatch.setattr(coder, "BLOCK", 100)
+    ids = np.random.default_rng(1).integers(0, 300, 950)
+    data = coder.encode(ids)
+    heads, at = [], 0
+    while at < len(data):
+        _, n, used, _ = coder.HEAD.unpack_from(data, at)
+        heads.append((at, at + coder.HEAD.size + 4 * used, n))
+        at = heads[-1][1]
+    assert [n for *_, n in heads] == [100] * 9 + [50]
+    start, end, _ = heads[4]
+    assert (coder.decode(data[start:end]) == ids[400:500]).all()
+    for spoiled in (data[:-1], data[: start + 30] + bytes([data[start + 30] ^ 4]) + data[start + 31 :], b"nope" + data[4:]):
+        with pytest.raises(ValueError):
+            coder.decode(spoiled)
+
+
+def test_chunks_encode_like_whole_texts(library):
+    rng = random.Random(2)
+    pieces = ["Hello,", "world.", "don't", "it's!!", "Ünïcode", "ΣΑΣ", "éa", "x​y", "12,5", "...", "\x0b", "\x1c", " ", " ", "<|endoftext|>", "<|", "a.b,c", "İstanbul", "日本語", "'re,", "»,", "é,", "9.", "\n\t", "The", "THE,"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(0, 40))) for _ in range(400)]
+    texts += ["", " ", LONG[:3000]]
+    encoder = tokenfiles.Encoder(PATH)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_files_hold_every_document_in_order(spark, tmp_path, library, monkeypatch):
+    docs = awkward_docs(spark).repartition(4)
+    target = str(tmp_path / "ids")
+    tokenfiles.write(docs, target, PATH)
+    rows = tokenfiles.read(spark, target).select("key", "start", "ids").collect()
+    rows.sort(key=lambda r: r["start"])
+    keys = [r["key"] for r in rows]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and len(rows) == docs.count()
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], set()).add(r["text"] or "")
+    at = 0
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert r["start"] == at
+        at += len(ids)
+        assert ids in [library.encode(t, add_special_tokens=False).ids + [1] for t in texts[r["key"]]]
+
+
+def test_no_documents(spark, tmp_path):
+    target = str(tmp_path / "none")
+    tokenfiles.write(empty_docs(spark), target, PATH)
+    assert tokenfiles.read(spark, target).count() == 0
+
+
+def test_segments_hold_whole_documents(spark, tmp_path):
+    target = str(tmp_path / "many")
+    docs = spark.range(0, 400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word again "), 30).alias("text"))
+    tokenfiles.write(docs, target, PATH)
+    files = spark.read.parquet(target).collect()
+    assert sum(f["ids"] for f in files) == 400 * 61
+    assert all(sum(f["lengths"]) == f["ids"] and len(f["keys"]) == len(f["lengths"]) for f in files)
+    ids = tokenfiles.read(spark, target).select("key", F.crc32("ids").alias("c"), F.octet_length("ids").alias("n")).collect()
+    assert len({r["c"] for r in ids}) == 1 and {r["n"] for r in ids} == {4 * 61}
+    assert ids[0]["c"] == zlib.crc32(np.array(coder.decode(files[0]["payload"])[:61], "<u4").tobytes())
