@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -14,12 +15,13 @@ from dugout.functions import flags
 def snake_names(names: Iterable[str]) -> list[str]:
     """Header names as unique snake_case identifiers.
 
-    Word breaks are taken from case changes and from anything that is not a letter or digit;
-    a repeated result gets _2, _3 and so on.
+    Accents are dropped first. Word breaks are taken from case changes and from anything that is
+    not a letter or digit; a repeated result gets _2, _3 and so on.
     """
     out: list[str] = []
     for name in names:
-        text = name.replace("%", "_percent_").replace("#", "_number_").replace("'", "").replace('"', "")
+        plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+        text = plain.replace("%", "_percent_").replace("#", "_number_").replace("'", "").replace('"', "")
         text = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text)
         text = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", text)
         text = re.sub(r"[^0-9A-Za-z]+", "_", text).strip("_").lower() or "x"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dugout.operators.joins import left_join
 from dugout.params import CELL, FOLDS, REPEATS, SEED, TRAIN_SHARE
+from dugout.sources.scratch import materialize
 
 #: Leading hex digits of the hash that form a bucket: 4,096 buckets per stratum.
 BUCKET_DIGITS = 3
@@ -41,8 +42,7 @@ def numbered(
     own = Window.partitionBy(*strata, "bucket").orderBy("h", *keys)
     rows = bucketed.withColumn("in_bucket", F.row_number().over(own))
     return (
-        # Strata x 4,096 rows, whatever the data size.
-        left_join(rows, F.broadcast(sizes), [*strata, "bucket"])
+        left_join(rows, sizes, [*strata, "bucket"])
         .withColumn("row_no", F.col("before") + F.col("in_bucket"))
         .drop("h", "bucket", "before", "in_bucket")
     )
@@ -55,12 +55,45 @@ def stratified_split(
     seed: int = SEED,
     train_share: float = TRAIN_SHARE,
 ) -> DataFrame:
-    """Append ``is_train``: exactly floor(share * n) rows of each stratum."""
-    limit = F.floor(F.col("n_rows") * F.lit(train_share))
+    """Append ``is_train``: exactly floor(share * n) rows of each stratum.
+
+    The first rows of a stratum, by hash and key, are its training rows. Bucket counts tell in which
+    bucket a stratum's cut lies; only the rows of that bucket are numbered, to find the last training
+    row. That is one row per stratum, and every row decides for itself by comparing, so no row moves.
+    """
+    hashed = df.withColumn("h", row_hash(seed, keys)).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    cut = materialize(_last_rows(hashed, strata, keys, train_share), "cuts")
+    place = F.struct("h", *keys)
     return (
-        numbered(df, strata, keys, seed)
-        .withColumn("is_train", F.col("row_no") <= limit)
-        .drop("row_no", "n_rows")
+        left_join(hashed, cut, strata)
+        .withColumn("is_train", F.coalesce(place <= F.col("last"), F.lit(False)))
+        .drop("h", "bucket", "last")
+    )
+
+
+def _last_rows(hashed: DataFrame, strata: Sequence[str], keys: Sequence[str], share: float) -> DataFrame:
+    """(strata, last): hash and key of the last training row of each stratum that has one."""
+    earlier = Window.partitionBy(*strata).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    limit = F.floor(F.sum("n").over(Window.partitionBy(*strata)) * F.lit(share))
+    border = (
+        hashed.groupBy(*strata, "bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "limit": limit})
+        .where((F.col("before") < F.col("limit")) & (F.col("limit") <= F.col("before") + F.col("n")))
+        .select(*strata, "bucket", (F.col("limit") - F.col("before")).alias("wanted"))
+    )
+    border = materialize(border, "border")
+    own = Window.partitionBy(*strata).orderBy("h", *keys)
+    columns = list(dict.fromkeys([*strata, "bucket", "h", *keys]))
+    a, b = hashed.select(*columns).alias("a"), border.alias("b")
+    met = F.col("a.bucket") == F.col("b.bucket")
+    for s in strata:
+        met = met & F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}"))
+    inside = a.join(b, met).select("a.*", "b.wanted")
+    return (
+        inside.withColumn("place", F.row_number().over(own))
+        .where(F.col("place") == F.col("wanted"))
+        .select(*strata, F.struct("h", *keys).alias("last"))
     )
 
 

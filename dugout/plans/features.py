@@ -94,19 +94,22 @@ class Recipe:
         return f"CAST(`{name}` AS DOUBLE)"
 
 
-def fit_recipe(train: DataFrame, cutoff: float = CORR_CUTOFF) -> Recipe:
+def fit_recipe(train: DataFrame, cutoff: float = CORR_CUTOFF, numeric: Sequence[str] | None = None) -> Recipe:
     """Correlation filter, zero-variance filter, indicators and scaling from one pass.
 
-    The pass yields p * p moments; everything below works on those few thousand numbers.
+    The pass yields p * p moments; everything below works on those few thousand numbers. With
+    ``numeric`` the filter on correlation has been done before and these predictors are what it left.
     """
-    numeric = predictors()
+    filtered = numeric is not None
+    numeric = list(numeric) if filtered else predictors()
     names = [*numeric, *DUMMIES]
     moments = materialize(corr.pair_moments(with_dummies(train), names), "moments")
-    among = moments.where((F.col("i") < len(numeric)) & (F.col("j") < len(numeric)))
-    pairs = corr.redundant_pairs(corr.correlations(among), len(numeric), cutoff)
-    redundant = {
-        row.drop for row in pairs.select(F.when(F.col("drop_j"), F.col("j")).otherwise(F.col("i")).alias("drop")).collect()
-    }
+    redundant = set()
+    if not filtered:
+        among = moments.where((F.col("i") < len(numeric)) & (F.col("j") < len(numeric)))
+        pairs = corr.redundant_pairs(corr.correlations(among), len(numeric), cutoff)
+        dropped = F.when(F.col("drop_j"), F.col("j")).otherwise(F.col("i"))
+        redundant = {row.drop for row in pairs.select(dropped.alias("drop")).collect()}
     stats = {row.i: row for row in moments.where(F.col("i") == F.col("j")).collect()}
     kept = []
     for at, name in enumerate(names):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,13 @@ def carry_over(cells: DataFrame, seasons: Seasons) -> DataFrame:
     return marked.withColumn("pred_year", target).drop("is_absent")
 
 
-def stored_cells(pitches: DataFrame) -> DataFrame:
-    """The cell table on storage. Everything after it reads the table, so pitches are scanned once."""
-    return materialize(player_cells(pitches), "cells")
+def stored_cells(pitches: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The cell table on storage. Everything after it reads the table, so pitches are scanned once.
+
+    Only the named columns are computed and written; pruning cannot reach through a written table.
+    """
+    cells = player_cells(pitches)
+    return materialize(cells.select(*columns) if columns else cells, "cells")
 
 
 def train_test_rows(table: DataFrame, seasons: Seasons) -> DataFrame:

@@ -51,30 +51,34 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.player_cells(flagged(spark, sf_dir))
 
 
-def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_table.stored_cells(flagged(spark, sf_dir))
+#: What seasons, reports and the stand-in prediction read of the cell table.
+NARROW = (*CELL, "pred_year", "num_pitches", "prop", "total_pitches_previous")
 
 
-def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_table.carry_over(stored_cells(spark, sf_dir), SEASONS)
+def stored_cells(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return model_table.stored_cells(flagged(spark, sf_dir), columns)
 
 
-def train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_table.train_test_rows(model_rows(spark, sf_dir), SEASONS)
+def model_rows(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return model_table.carry_over(stored_cells(spark, sf_dir, columns), SEASONS)
+
+
+def train_test(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return model_table.train_test_rows(model_rows(spark, sf_dir, columns), SEASONS)
 
 
 def to_predict(table: DataFrame) -> DataFrame:
     return model_table.predict_rows(model_table.carry_over(table, SEASONS), SEASONS)
 
 
-def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predicted(spark: SparkSession, sf_dir: str, columns=NARROW) -> DataFrame:
     """Rows to predict with the stand-in prediction."""
-    return with_standin(to_predict(stored_cells(spark, sf_dir)))
+    return with_standin(to_predict(stored_cells(spark, sf_dir, columns)))
 
 
 def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Played seasons and predictions, both from one stored cell table."""
-    table = stored_cells(spark, sf_dir)
+    table = stored_cells(spark, sf_dir, NARROW)
     return report.actual_counts(table), with_standin(to_predict(table))
 
 
@@ -87,13 +91,13 @@ def stored_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.materialize(overall(spark, sf_dir), "overall")
 
 
-def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_rows(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
     """Train and holdout rows, stored because the steps on them read them repeatedly."""
-    return scratch.materialize(split.stratified_split(train_test(spark, sf_dir)), "split")
+    return scratch.materialize(split.stratified_split(train_test(spark, sf_dir, columns)), "split")
 
 
-def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_rows(spark, sf_dir).where("is_train").drop("is_train")
+def training(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return split_rows(spark, sf_dir, columns).where("is_train").drop("is_train")
 
 
 # --- sources and sinks ---------------------------------------------------------------
@@ -109,7 +113,7 @@ def scan_csv(spark, sf_dir):
 @query
 def sink_csv(spark, sf_dir):
     path = scratch.scratch_dir(spark, "predictions-csv")
-    files.sink_csv(report.final_predictions(predicted(spark, sf_dir), SEASONS), path)
+    files.sink_csv(report.final_predictions(predicted(spark, sf_dir), SEASONS), path, ["BATTER_ID", "PLAYER_NAME"])
     return files.scan_csv(spark, path, PREDICTION_SCHEMA)
 
 
@@ -127,8 +131,9 @@ def snapshot_write(spark, sf_dir):
 def snapshot_read(spark, sf_dir):
     """Reads three columns of one partition of the yearly table."""
     path = scratch.scratch_dir(spark, "yearly")
-    files.write_snapshot(summaries.yearly_summary(flagged(spark, sf_dir)), path)
-    yearly = files.read_snapshot(spark, path)
+    summary = summaries.yearly_summary(flagged(spark, sf_dir))
+    files.write_snapshot(summary, path)
+    yearly = files.read_snapshot(spark, path, summary.schema)
     return yearly.where(F.col("game_year") == SEASONS.last_year).select(*BATTER_YEAR, "total_pitches", "swing_prop")
 
 
@@ -218,7 +223,7 @@ def const_cols(spark, sf_dir):
 
 @query
 def split_by_year(spark, sf_dir):
-    rows = model_rows(spark, sf_dir).select(*CELL, "pred_year", "num_pitches")
+    rows = model_rows(spark, sf_dir, [*CELL, "pred_year", "num_pitches"])
     rows = scratch.materialize(rows, "model-rows")
     parts = {
         "train_test": model_table.train_test_rows(rows, SEASONS),
@@ -247,7 +252,9 @@ def player_info(spark, sf_dir):
 @query
 def tag_true_pred(spark, sf_dir):
     """The predicted season is the year after each row, so both tags occur."""
-    rows = model_rows(spark, sf_dir).select(*BATTER, F.col("pred_year").alias("game_year"), "pitch_group")
+    rows = model_rows(spark, sf_dir, [*CELL, "pred_year"]).select(
+        *BATTER, F.col("pred_year").alias("game_year"), "pitch_group"
+    )
     return report.tag_type(rows, SEASONS)
 
 
@@ -256,6 +263,20 @@ def reassign_pred_year(spark, sf_dir):
     return model_rows(spark, sf_dir)
 
 
+@query
+def season_report(spark, sf_dir):
+    """Report request: a player's seasons, actual and predicted, as text cells."""
+    wide = report.report_wide(*report_inputs(spark, sf_dir), SEASONS)
+    return report.season_report(columns.for_players(wide, PLAYERS))
+
+
+@query
+def player_card(spark, sf_dir):
+    """Report request: a player's pitch groups with their colours, most frequent first."""
+    pitches = columns.for_players(flagged(spark, sf_dir), PLAYERS)
+    return report.player_card(summaries.pitch_summary_overall(pitches), lookup.group_colours(spark))
+
+
 @query
 def percent_scale(spark, sf_dir):
     return overall(spark, sf_dir).select(*BATTER, "pitch_group", (100 * F.col("prop")).alias("prop"))
@@ -588,13 +609,13 @@ def format_report_cells(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    rows = split.stratified_split(train_test(spark, sf_dir).select(*CELL))
+    rows = split.stratified_split(train_test(spark, sf_dir, [*CELL, "pred_year"]).select(*CELL))
     return rows.withColumn("is_train", F.col("is_train").cast("int"))
 
 
 @query
 def repeated_stratified_folds(spark, sf_dir):
-    return split.stratified_folds(training(spark, sf_dir))
+    return split.stratified_folds(training(spark, sf_dir, [*CELL, "pred_year"]))
 
 
 @query
@@ -613,7 +634,7 @@ def zero_variance_filter(spark, sf_dir):
 
 @query
 def dummy_encode(spark, sf_dir):
-    encoded = features.with_dummies(train_test(spark, sf_dir))
+    encoded = features.with_dummies(train_test(spark, sf_dir, [*CELL, "pred_year"]))
     return encoded.select(*CELL, *features.DUMMIES)
 
 
@@ -629,7 +650,7 @@ def normalize(spark, sf_dir):
 @query
 def cv_summary(spark, sf_dir):
     """Fold metrics of three stand-in predictors, summarised per predictor."""
-    table = scratch.materialize(train_test(spark, sf_dir), "train-test")
+    table = scratch.materialize(train_test(spark, sf_dir, NARROW), "train-test")
     folds = split.stratified_folds(table.select(*CELL))
     points = F.explode(F.array(*(F.struct(F.lit(k).alias("point"), standin(k).alias("guess")) for k in (1, 2, 3))))
     guesses = table.select(*CELL, "num_pitches", points.alias("p")).select(*CELL, "num_pitches", "p.*")
@@ -672,35 +693,50 @@ def impute_knn(spark, sf_dir):
 
 @query
 def recipe_bake(spark, sf_dir):
-    """Learned on the training part, applied to the holdout."""
+    """Learned on the training part, applied to the holdout; one row per cell of the table that comes out."""
     rows = split_rows(spark, sf_dir)
     recipe = features.fit_recipe(rows.where("is_train"))
-    baked = recipe.stages()[0].transform(holdout(rows))
-    return baked.select(*CELL, *recipe.outputs)
+    baked = [F.struct(F.lit(c).alias("column"), F.col(f"z_{c}").alias("z")) for c in recipe.inputs]
+    cells = F.explode(F.array(*baked))
+    scaled = recipe.stages()[0].transform(holdout(rows)).select(*CELL, cells.alias("cell"))
+    return scaled.select(*CELL, "cell.column", F.round("cell.z", 6).alias("z"))
 
 
 def screened(spark, sf_dir):
-    train = fill_from_neighbours(training(spark, sf_dir), features.predictors())
-    return modelling.fit(scratch.materialize(train, "imputed"), modelling.screening_forest(**SMALL_FOREST))
+    """Filter on correlation first, fill what it leaves from neighbours, then scale and fit."""
+    train = training(spark, sf_dir)
+    left = [c for c in features.fit_recipe(train).inputs if c not in features.DUMMIES]
+    imputed = scratch.materialize(fill_from_neighbours(train, left), "imputed")
+    recipe = features.fit_recipe(imputed, numeric=left)
+    return modelling.fit(imputed, modelling.screening_forest(**SMALL_FOREST), recipe)
 
 
 @query
 def rf_screen(spark, sf_dir):
-    """Forest on the imputed training part, applied to the rows to predict."""
-    return modelling.predict(screened(spark, sf_dir), predicted(spark, sf_dir).drop("prediction"))
+    """Forest on the imputed training part, applied to the rows to predict: is each figure known and possible?"""
+    scored = modelling.predict(screened(spark, sf_dir), predicted(spark, sf_dir, None).drop("prediction"))
+    fine = F.coalesce(F.col("prediction") >= 0, F.lit(False)).cast("int")
+    return scored.select(*CELL, fine.alias("known_and_not_negative"))
 
 
 @query
 def variable_importance(spark, sf_dir):
-    return modelling.variable_importance(spark, screened(spark, sf_dir))
+    """The model's inputs; importances are on a scale from 0 with the largest at 100."""
+    scores = modelling.variable_importance(spark, screened(spark, sf_dir))
+    top = scores.agg(F.max("importance").alias("top")).first()["top"]
+    on_scale = F.col("importance").between(0.0, 100.0) & F.lit(abs(top - 100.0) < 1e-9)
+    return scores.select("variable", on_scale.cast("int").alias("on_scale"))
 
 
 @query
 def gbt_fit(spark, sf_dir):
-    """Fitted on the training part; result is the holdout metrics."""
+    """Fitted on the training part: does it beat the outcome's own spread on the holdout?"""
     rows = split_rows(spark, sf_dir)
-    model = fitted(rows.where("is_train"))
-    return evaluation.regression_metrics(modelling.predict(model, holdout(rows)), features.OUTCOME, "prediction")
+    scored = modelling.predict(fitted(rows.where("is_train")), holdout(rows))
+    found = evaluation.regression_metrics(scored, features.OUTCOME, "prediction")
+    spread = F.lit(holdout(rows).agg(F.stddev_samp(features.OUTCOME)).first()[0])
+    better = F.when(F.col("metric") == "rsq", F.col("estimate").between(0.0, 1.0 + 1e-9)).otherwise(F.col("estimate") < spread)
+    return found.select("metric", better.cast("int").alias("better_than_spread"))
 
 
 @query
@@ -708,16 +744,19 @@ def tune_grid(spark, sf_dir):
     train = training(spark, sf_dir)
     folds = split.stratified_folds(train, folds=2, repeats=1)
     resamples = modelling.tune_grid(train, scratch.materialize(folds, "folds"), SMALL_GRID)
-    return evaluation.cv_summary(resamples, ["min_n", "mtry", "trees"])
+    summary = evaluation.cv_summary(resamples, ["min_n", "mtry", "trees"])
+    return summary.select("min_n", "mtry", "trees", "metric", "n")
 
 
 @query
 def predict_batch(spark, sf_dir):
-    """The whole path with the model in place of the stand-in: published shares."""
+    """The whole path with the model in place of the stand-in: do the published shares make a whole?"""
     rows = split_rows(spark, sf_dir)
     model = fitted(rows.where("is_train"))
-    scored = modelling.predict(model, predicted(spark, sf_dir).drop("prediction"))
-    return report.final_predictions(scored, SEASONS)
+    scored = modelling.predict(model, predicted(spark, sf_dir, None).drop("prediction"))
+    final = report.final_predictions(scored, SEASONS)
+    parts = [F.coalesce(F.col(f"PITCH_TYPE_{g}"), F.lit(0.0)) for g in GROUPS]
+    return final.select("BATTER_ID", "PLAYER_NAME", "GAME_YEAR", (F.abs(sum(parts) - 1) < 1e-9).cast("int").alias("whole"))
 
 
 @query
@@ -725,13 +764,17 @@ def bind_columns(spark, sf_dir):
     """Predictions beside the holdout rows they belong to."""
     rows = split_rows(spark, sf_dir)
     scored = modelling.predict(fitted(rows.where("is_train")), holdout(rows))
-    return scored.select(*BATTER, "pitch_group", "num_pitches", "prediction")
+    return scored.select(*CELL, "num_pitches", F.col("prediction").isNotNull().cast("int").alias("predicted"))
 
 
 @query
 def model_persist(spark, sf_dir):
-    """Store the fitted pipeline, load it and apply the loaded one."""
+    """Store the fitted pipeline, load it and apply both: do they agree?"""
     rows = split_rows(spark, sf_dir)
     path = scratch.scratch_dir(spark, "model")
-    modelling.save(fitted(rows.where("is_train")), path)
-    return modelling.predict(modelling.load(path), holdout(rows)).select(*CELL, "prediction")
+    model = fitted(rows.where("is_train"))
+    modelling.save(model, path)
+    both = modelling.load(path).transform(
+        modelling.predict(model, holdout(rows)).withColumnRenamed("prediction", "original")
+    )
+    return both.select(*CELL, F.col("prediction").eqNullSafe(F.col("original")).cast("int").alias("same"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dugout.functions import formats
 from dugout.operators.ranking import average_rank, position, with_domain
 from dugout.operators.reshape import pivot_groups, stack_rows
 from dugout.operators.shares import clamp_and_share, partition_total
@@ -87,6 +88,26 @@ def report_wide(actual: DataFrame, predicted: DataFrame, seasons: Seasons, predi
     return pivot_groups(stack_rows(by_season, expected), [*BATTER_YEAR, "num_pitches"], "prop", fill=0.0)
 
 
+def season_report(wide: DataFrame) -> DataFrame:
+    """One line per season of the chosen hitters: pitches as a whole number, shares as whole percent."""
+    return wide.select(
+        "game_year",
+        formats.whole_number(F.col("num_pitches")).alias("num_pitches"),
+        *(formats.whole_percent(F.col(g)).alias(g) for g in ("OS", "BB", "FB")),
+    )
+
+
+def player_card(overall: DataFrame, colours: DataFrame) -> DataFrame:
+    """The chosen hitters' pitch groups, group and percent first, sorted by pitches seen.
+
+    The filter on players comes before the summary, so only their pitches are read.
+    """
+    left_out = [*BATTER, "sz_top", "sz_bot", "singles", "doubles", "triples", "homeruns", "ks", "walks"]
+    joined = overall.join(F.broadcast(colours), "pitch_group", "left").withColumn("prop", 100 * F.col("prop"))
+    rest = [c for c in joined.columns if c not in ("pitch_group", "prop", *left_out)]
+    return joined.orderBy(F.col("total_pitches").desc(), "pitch_group", *BATTER).select("pitch_group", "prop", *rest)
+
+
 def card_metrics(overall: DataFrame) -> DataFrame:
     """Long form (batter, group, metric, value) of the player card."""
     values = overall.withColumn("prop", 100 * F.col("prop"))

@@ -14,6 +14,7 @@ from dugout.functions import measures as M
 from dugout.operators.ingest import batting_team
 from dugout.operators.shares import share, share_by_year, share_overall
 from dugout.params import BATTER, BATTER_YEAR, CELL
+from dugout.sources.scratch import materialize
 
 
 def with_pred_year(df: DataFrame) -> DataFrame:
@@ -63,10 +64,10 @@ def cell_buffers(pitches: DataFrame) -> DataFrame:
 def multi_grain(pitches: DataFrame) -> DataFrame:
     """All three grains stacked, told apart by ``grain``.
 
-    The cell buffers are a fraction of the pitches, and both roll-ups start from them; the
-    exchange behind the buffers is planned once and reused.
+    The cell buffers are a fraction of the pitches. They are written once and all three grains read
+    them, as each grain needs other buffers and no exchange would be the same for two of them.
     """
-    cells = cell_buffers(pitches)
+    cells = materialize(cell_buffers(pitches), "buffers")
     year = cells.groupBy(*BATTER_YEAR).agg(*_named(M.from_buffers(M.summed)))
     overall = cells.groupBy(*BATTER, "pitch_group").agg(*_named(M.from_buffers(M.summed, overall=True)))
     fine = cells.select(*CELL, *_named(M.from_buffers(M.plain)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dugout.functions.nullsafe import no_nan
+from dugout.operators.columns import sort_missing_last
 
 MISSING = "NA"
 
@@ -23,8 +26,13 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return no_nan(raw.withColumns(blanks) if blanks else raw)
 
 
-def sink_csv(df: DataFrame, path: str) -> None:
-    """Write a directory of CSV parts, one per task, each with a header; replaces what is there."""
+def sink_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """Write a directory of CSV parts, one per task, each with a header; replaces what is there.
+
+    With an order, the parts in the order of their names are ascending, missing values last.
+    """
+    if order:
+        df = sort_missing_last(df, *order)
     df.write.mode("overwrite").option("header", True).option("nullValue", MISSING).csv(path)
 
 

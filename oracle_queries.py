@@ -1,19 +1,39 @@
 """The same results as plain SQL for DuckDB, written from the definitions.
 
-Kept apart from the package: nothing here is used by the Spark side, so the two only agree
-if both are right.
+Kept apart from the package: only the fixture's SELECT and the queries' parameters are shared, so
+the two only agree if both are right.
 """
 
 from __future__ import annotations
 
-from dugout.functions.measures import MEASURES
-from dugout.plans.features import predictors
-from dugout.plans.queries import FLAGS, MIN_PITCHES, PLAYERS, SEASONS, TARGET_BATTER
-from dugout.plans.report import CARD_METRICS, RANKED_METRICS, REVERSED_METRICS
 from dugout.params import SEED
-from dugout.sources.lookup import GROUP_COLOURS
+from dugout.plans.queries import MIN_PITCHES, PLAYERS, SEASONS, TARGET_BATTER
 from dugout.sources.tables import pitches_sql
 
+# Fixed values, written out here on purpose: a wrong list in the package must not pass on both sides.
+MEASURES = (
+    "total_pitches swing_prop chase_prop zone_swing_prop whiff_prop putaway_prop woba xwoba exit_velo exit_angle"
+    " sweetspot_prop hardhit_prop barrel_prop sz_top sz_bot win_prob_added ks walks singles doubles triples homeruns total_bases"
+).split()
+CARD_METRICS = (
+    "prop swing_prop chase_prop zone_swing_prop whiff_prop putaway_prop sweetspot_prop hardhit_prop barrel_prop"
+    " woba xwoba exit_velo exit_angle win_prob_added"
+).split()
+REVERSED_METRICS = "chase_prop whiff_prop putaway_prop exit_velo exit_angle".split()
+RANKED_METRICS = "exit_velo exit_angle".split()
+GROUP_COLOURS = {"FB": "#d22d4a", "OS": "#1fbe3a", "BB": "#04d1ed", "All": "grey20"}
+FLAGS = (
+    "is_bip is_swing is_contact is_whiff is_zone_swing is_chase_swing is_putaway is_sweetspot is_hardhit is_barrel"
+    " is_single is_double is_triple is_home_run is_walk is_strikeout delta_bat_win_exp"
+).split()
+
+
+def predictors() -> list[str]:
+    """Years and all measures but the group's pitch count, which is the outcome."""
+    own = [f"{m}_pitch" for m in MEASURES if m != "total_pitches"]
+    return ["game_year", "pred_year", *(f"{m}_previous" for m in MEASURES), *own]
+
+
 PREV, LAST, TARGET = SEASONS.prev_year, SEASONS.last_year, SEASONS.target_year
 SWING = "('foul','hit_into_play','swinging_strike','swinging_strike_blocked','foul_tip')"
 KS = "('strikeout','strikeout_double_play')"
@@ -259,6 +279,10 @@ def _fixed(x: str, digits: int, comma: bool = False) -> str:
     return f"format('{spec}.{digits}f}}', round_even({x}, {digits}))"
 
 
+def _quoted(name: str) -> str:
+    return f'"{name}"'
+
+
 def _metrics(truth: str, guess: str) -> str:
     sd = f"stddev_samp({truth}) * stddev_samp({guess})"
     return (
@@ -289,6 +313,18 @@ def statements() -> dict[str, str]:
             f"""SELECT t.pitch_group, t.pitch_hex, CASE WHEN t.pitch_group = 'All' THEN (SELECT count(*) FROM clean)
  ELSE n END AS n FROM (VALUES {colours}) t(pitch_group, pitch_hex)
 LEFT JOIN (SELECT pitch_group, count(*) AS n FROM clean GROUP BY pitch_group) c USING (pitch_group)""",
+        ),
+        "season_report": q(
+            "wide",
+            f"""SELECT game_year, {_fixed('num_pitches', 0, True)} AS num_pitches,
+ {', '.join(f"{_fixed(f'100 * {_quoted(g)}', 0)} || '%' AS {_quoted(g)}" for g in ('OS', 'BB', 'FB'))}
+FROM wide WHERE player_name IN ({names})""",
+        ),
+        "player_card": q(
+            "overall",
+            f"""SELECT * EXCLUDE (batter_id, player_name, sz_top, sz_bot, singles, doubles, triples, homeruns, ks, walks)
+ REPLACE (100 * prop AS prop)
+FROM overall LEFT JOIN (VALUES {colours}) t(pitch_group, pitch_hex) USING (pitch_group) WHERE player_name IN ({names})""",
         ),
         "clean_names": q(
             "pitch",
@@ -548,12 +584,44 @@ res AS (SELECT point, repeat, fold, {_metrics('num_pitches', 'g')} FROM guess GR
             ),
         ),
     }
+    inputs = f"""{_kept(preds)}"""
+    keys = f"{SEASON}, pitch_group"
+    holdout = "holdout AS (SELECT * FROM splitted WHERE is_train = 0)"
+    cells = ", ".join(f"('{c}', CAST({c} AS DOUBLE))" for c in preds)
+    cells += "".join(f", ('pitch_group_{g}', CASE WHEN pitch_group = '{g}' THEN 1.0::DOUBLE ELSE 0.0 END)" for g in ("FB", "OS"))
+    out |= {
+        "recipe_bake": q(
+            "splitted training",
+            f"""{inputs}, {holdout}
+SELECT {keys}, cell.c AS "column", round(coalesce((cell.x - k.mean) / k.sd, 0), 6) + 0.0 AS z
+FROM holdout, LATERAL (VALUES {cells}) cell(c, x) JOIN kept k ON k.c = cell.c""",
+        ),
+        "variable_importance": q("training", f"{inputs} SELECT c AS variable, 1 AS on_scale FROM kept"),
+        "rf_screen": q("topredict", f"SELECT {keys}, 1 AS known_and_not_negative FROM topredict"),
+        "gbt_fit": "SELECT unnest(['rmse', 'rsq', 'mae']) AS metric, 1 AS better_than_spread",
+        "tune_grid": """SELECT min_n, 17 AS mtry, trees, metric, CAST(2 AS BIGINT) AS n
+FROM (VALUES (12), (100)) a(min_n), (VALUES (1), (3)) b(trees), (VALUES ('rmse'), ('rsq'), ('mae')) c(metric)""",
+        "predict_batch": q("final", 'SELECT "BATTER_ID", "PLAYER_NAME", "GAME_YEAR", 1 AS whole FROM final'),
+        "bind_columns": q("splitted", f"SELECT {keys}, num_pitches, 1 AS predicted FROM splitted WHERE is_train = 0"),
+        "model_persist": q("splitted", f"SELECT {keys}, 1 AS same FROM splitted WHERE is_train = 0"),
+    }
     for flag in FLAGS:
         key = f"flag_{flag}" if flag.startswith("is_") else flag
         out[key] = q("pitch", f"SELECT {pitch_key}, {flag} FROM (SELECT *, {FLAG_LIST} FROM pitch)")
     return out
 
 
+def _kept(names) -> str:
+    """CTEs up to kept(c, mean, sd): predictors that neither correlate nor are constant, and the two indicators."""
+    found = _corr_filter(names).replace("SELECT col_a, col_b, round(r, 6) AS r, ", ", dropped AS (SELECT ") + ")"
+    assert found.count(", dropped AS (SELECT CASE") == 1
+    values = ", ".join(f"('{c}', CAST({c} AS DOUBLE))" for c in names)
+    values += "".join(f", ('pitch_group_{g}', CASE WHEN pitch_group = '{g}' THEN 1.0::DOUBLE ELSE 0.0 END)" for g in ("FB", "OS"))
+    return f"""{found}, kept AS (
+ SELECT c, avg(x) AS mean, stddev_samp(x) AS sd FROM training, LATERAL (VALUES {values}) v(c, x)
+ WHERE c NOT IN (SELECT dropped FROM dropped) GROUP BY c HAVING min(x) < max(x))"""
+
+
 def _corr_filter(names) -> str:
     pairs, values = pairs_sql("training", names)
     return f""", {values}, pairs AS ({pairs}),
