@@ -87,10 +87,19 @@ def systematic_mix(
     )
     counts = rows.groupBy("skey", "klass", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     sizes = counts.groupBy("skey").agg(F.sum("words").cast("long").alias("source_size"))
-    before = Window.partitionBy("skey").orderBy("klass", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # first the classes of a source, then the buckets of a class, so no task has all buckets of a source
+    classes = Window.partitionBy("skey").orderBy("klass").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = Window.partitionBy("skey", "klass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = (
+        counts.groupBy("skey", "klass")
+        .agg(F.sum("n").alias("in_class"))
+        .select("skey", "klass", F.coalesce(F.sum("in_class").over(classes), F.lit(0)).alias("ahead"))
+    )
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.col("skey"))), 1, 8), 16, 10).cast("double")
     places = (
-        counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        counts.withColumn("before", F.coalesce(F.sum("n").over(buckets), F.lit(0)))
+        .join(ahead, ["skey", "klass"])
+        .withColumn("before", F.col("before") + F.col("ahead"))
         .join(targets(sizes, weights, share, ceiling), "skey")
         .select(
             "skey", "klass", "bucket", "before", "source_size", "target",
