@@ -191,3 +191,52 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
        coalesce(score, 0.0)::DOUBLE AS score
 FROM worded LEFT JOIN found USING (r)
 """
+
+SQL["op9_quotation_linking"] = r"""
+WITH RECURSIVE numbered AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS id, coalesce(conv_id::VARCHAR, '') AS conv,
+         coalesce(turn, -4611686018427387904) AS at_turn FROM conversations),
+split AS (
+  SELECT id, conv, at_turn, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r')) AS line,
+         generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), 1) AS n FROM numbered),
+marked AS (
+  SELECT *, regexp_extract(line, '^[ \t]*((?:>[ \t]?)*)', 1) AS marks FROM split),
+lines AS (
+  SELECT id, conv, at_turn, n, length(regexp_replace(marks, '[^>]', '', 'g')) AS level,
+         CASE WHEN marks = '' THEN line ELSE regexp_replace(line, '^[ \t]*((?:>[ \t]?)*)', '') END AS body FROM marked),
+shapes AS (
+  SELECT id, max(level)::INTEGER AS quote_levels, (count(*) FILTER (WHERE level > 0))::INTEGER AS quoted_lines FROM lines GROUP BY id),
+levels AS (
+  SELECT id, unnest(range(0, quote_levels + 1)) AS level FROM shapes),
+texts AS (
+  SELECT l.id, v.level, any_value(conv) AS conv, any_value(at_turn) AS at_turn,
+         string_agg(CASE WHEN l.level = v.level THEN body ELSE '' END, chr(10) ORDER BY n) AS body
+  FROM lines l JOIN levels v USING (id) GROUP BY l.id, v.level),
+parts AS (
+  SELECT id, level, conv, at_turn, unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t]*(?:\n[ \t]*)+'),
+         regexp_split_to_array(body, '\n'))) AS part FROM texts),
+passages AS (
+  SELECT DISTINCT id, level, conv, at_turn, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS passage FROM parts),
+firsts AS (
+  SELECT conv, passage, min((at_turn, id)) AS first FROM passages WHERE level = 0 AND passage <> '' GROUP BY conv, passage),
+matches AS (
+  SELECT p.id, p.level, f.first FROM passages p JOIN firsts f USING (conv, passage)
+  WHERE p.level > 0 AND f.first < (p.at_turn, p.id)),
+parents AS (
+  SELECT id, max((-level, first))[2] AS parent FROM matches GROUP BY id),
+climb AS (
+  SELECT id, parent[2] AS root, 1::BIGINT AS depth FROM parents
+  UNION ALL SELECT c.id, p.parent[2], c.depth + 1 FROM climb c JOIN parents p ON p.id = c.root),
+tops AS (
+  SELECT id, max((depth, root))[2] AS root, max(depth) AS depth FROM climb GROUP BY id),
+threads AS (
+  SELECT m.*, p.parent[1] AS parent_turn, coalesce(r.at_turn, m.at_turn) AS thread_at, coalesce(t.root, m.id) AS root,
+         coalesce(t.depth, 0)::BIGINT AS depth
+  FROM numbered m LEFT JOIN parents p USING (id) LEFT JOIN tops t USING (id) LEFT JOIN numbered r ON r.id = t.root)
+SELECT conv_id, turn, role,
+       regexp_replace(regexp_replace(x.body, '\n[ \t]*(?:\n[ \t]*)+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text,
+       quote_levels, quoted_lines, parent_turn::BIGINT AS parent_turn,
+       CASE WHEN thread_at <> -4611686018427387904 THEN thread_at END::BIGINT AS thread_turn, depth,
+       (row_number() OVER (PARTITION BY t.conv, conv_id IS NULL ORDER BY thread_at, root, t.at_turn, t.id) - 1)::BIGINT AS position
+FROM threads t JOIN shapes USING (id) JOIN texts x ON x.id = t.id AND x.level = 0
+"""

@@ -23,7 +23,7 @@ def test_every_operator_is_registered():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
-@pytest.mark.parametrize("name", ["op8_diagonal_voting", "op10_systematic_mix"])
+@pytest.mark.parametrize("name", ["op8_diagonal_voting", "op9_quotation_linking", "op10_systematic_mix"])
 def test_queries_agree_with_sql(spark, sf_dir, name):
     assert differences(contract.queries()[name](spark, sf_dir), duck(sf_dir), contract.oracle_sql()[name]) == []
 

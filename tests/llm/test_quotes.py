@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import random
+
+import duckdb
+from compare import differences
+
+import __spark_entry__ as contract
 from dugout.llm.quotes import link_quotes, positions, roots
 
 SHAPE = "conv_id long, turn long, role string, text string, position string, id int"
@@ -75,3 +81,28 @@ def test_long_chains_and_positions(spark):
         own.sort()
         assert [p for p, _, _ in own] == list(range(len(own)))
         assert [x[1:] for x in own] == sorted(x[1:] for x in own)
+
+
+def test_random_threads_against_sql(spark):
+    """The registered SQL, a plain recursive query, over messages that quote each other at random."""
+    rng = random.Random(11)
+    rows, said = [], {}
+    for conv in range(12):
+        for turn in range(rng.randrange(1, 14)):
+            lines = []
+            for _ in range(rng.randrange(0, 4)):
+                if said.get(conv) and rng.random() < 0.6:
+                    quote = rng.choice(said[conv])
+                    lines += [rng.choice(["> ", ">", ">> ", " > > "]) + x.upper() for x in quote.split("\n")]
+                own = " ".join(rng.choice("abcdefg") * 3 for _ in range(rng.randrange(1, 4))) + rng.choice(["", ".", "\n", "\r\nmore here"])
+                lines.append(own)
+            rows.append((conv if conv else None, turn, "r", "\n".join(lines)))
+            said.setdefault(conv, []).append("\n".join(x for x in lines if not x.lstrip().startswith(">")) or "x")
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = link_quotes(frame)
+    got = out.select("row.conv_id", "row.turn", "row.role", *[c for c in out.columns if c != "row"])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert differences(got, con, contract.oracle_sql()["op9_quotation_linking"]) == []
+    assert got.filter("depth > 1").count() > 3
