@@ -1,0 +1,118 @@
+"""Plans and placement: what must not depend on one folder, one task or one slice."""
+
+from __future__ import annotations
+
+import math
+import os
+import re
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from dugout.functions import formats
+from dugout.operators import ingest, ranking, split
+from dugout.operators.columns import sort_missing_last
+from dugout.plans import queries, summaries
+from dugout.sources import files
+
+REPO = Path(__file__).resolve().parent.parent
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_workers_get_the_package_from_another_folder(tmp_path):
+    """Started elsewhere, with no path set: the Python workers still find the package."""
+    code = f"""
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("contract", {str(REPO / "__spark_entry__.py")!r})
+contract = importlib.util.module_from_spec(spec); spec.loader.exec_module(contract)
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate())
+print("rows", contract.queries()["corr_matrix"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")} | {"PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert re.search(r"rows \d{3,}", run.stdout), run.stderr[-2000:]
+
+
+def test_multi_grain_reads_pitches_once(spark, sf_dir):
+    plan = plan_of(summaries.multi_grain(queries.flagged(spark, sf_dir)))
+    assert "l_orderkey" not in plan and "lineitem" not in plan and plan.count("Scan parquet") == 3
+
+
+def test_stored_cells_have_the_named_columns_only(spark, sf_dir):
+    assert queries.stored_cells(spark, sf_dir, queries.NARROW).columns == list(queries.NARROW)
+
+
+def test_split_moves_no_rows(spark):
+    rows = spark.range(0, 3000).select(
+        F.col("id").alias("batter_id"), F.lit("p").alias("player_name"), F.lit(2000).alias("game_year"),
+        F.when(F.col("id") % 10 == 0, F.lit("BB")).otherwise(F.lit("FB")).alias("pitch_group"), F.lit(1.5).alias("wide"),
+    )
+    done = split.stratified_split(rows)
+    plan = plan_of(done)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Sort " not in plan
+    counts = {(r["pitch_group"], r["is_train"]): r["count"] for r in done.groupBy("pitch_group", "is_train").count().collect()}
+    assert counts == {("BB", True): 240, ("BB", False): 60, ("FB", True): 2160, ("FB", False): 540}
+
+
+def test_split_of_tiny_strata(spark):
+    rows = spark.createDataFrame([(1, "a", 1, "x"), (2, None, 1, None), (3, "c", 1, None), (4, "d", 1, None)], "batter_id int, player_name string, game_year int, pitch_group string")
+    got = split.stratified_split(rows, train_share=0.5).groupBy("pitch_group").agg(F.sum(F.col("is_train").cast("int")).alias("n")).collect()
+    assert {r["pitch_group"]: r["n"] for r in got} == {"x": 0, None: 1}
+
+
+def test_rank_with_an_outlier(spark):
+    """Close values and one far away: partitions are cut by number of values, not by width."""
+    values = [(i % 2, i * 1e-6) for i in range(4000)] + [(0, 1e12), (1, None)]
+    df = spark.createDataFrame(values, "k int, v double")
+    ranked = ranking.average_rank(df, "v", ["k"])
+    assert plan_of(ranked).count("Exchange") < 10
+    rows = ranked.orderBy("k", "v").collect()
+    known = [r for r in rows if r["v"] is not None]
+    assert [r["rank"] for r in known if r["k"] == 0] == [float(i) for i in range(1, 2002)]
+    assert [r["rank"] for r in rows if r["v"] is None] == [None]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = df.where("v is not null").repartitionByRange("k", "v").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 0.5 * len(values)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sorted_over_partitions(spark):
+    df = spark.range(0, 5000, numPartitions=7).select(F.when(F.col("id") % 100 != 3, F.col("id") * 7919 % 5003).alias("a"), "id")
+    for descending in (False, True):
+        rows = [r["a"] for r in sort_missing_last(df, "a", descending=descending).collect()]
+        known = [x for x in rows if x is not None]
+        assert known == sorted(known, reverse=descending) and rows[len(known) :] == [None] * 50
+
+
+def test_published_csv_is_ascending(spark, tmp_path):
+    df = spark.range(0, 3000, numPartitions=5).select((F.col("id") * 7919 % 3001).alias("BATTER_ID"), F.lit("x").alias("PLAYER_NAME"))
+    files.sink_csv(df, str(tmp_path / "out"), ["BATTER_ID", "PLAYER_NAME"])
+    ids = [int(line.split(",")[0]) for part in sorted((tmp_path / "out").glob("part-*")) for line in part.read_text().splitlines()[1:]]
+    assert ids == sorted(ids) and len(ids) == 3000
+
+
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [
+        (12345678.0, "12345678"), (100000.0, "1e+05"), (123456.0, "123456"), (0.0001, "1e-04"), (0.00012, "0.00012"), (0.5, "0.5"),
+        (-2.0, "-2"), (0.0, "0"), (1e300, "1e+300"), (-1.5e-7, "-1.5e-07"), (0.1 + 0.2, "0.3"), (1234.5678, "1234.5678"),
+        (math.inf, "Inf"), (-math.inf, "-Inf"), (None, None), (10.0, "10"),
+    ],
+)
+def test_plain_numbers(spark, value, text):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(formats.format_value(F.col("v"), "plain")).first()[0] == text
+
+
+def test_accented_names():
+    assert ingest.snake_names(["Año", "José Name", "Straße", "naïveCase"]) == ["ano", "jose_name", "stra_e", "naive_case"]
