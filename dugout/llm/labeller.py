@@ -16,8 +16,8 @@ from dugout.llm.common import col
 
 #: Sizes of the hashed tag-path and word vectors, of the other figures, and of the state in each direction.
 PATH, WORDS, FIGURES, STATE = 512, 32, 8, 16
-#: The fit takes so many pages, none longer than that, and goes over them so often.
-FIT_PAGES, FIT_LENGTH, EPOCHS, BATCH = 400, 12_000, 6, 32
+#: The fit takes so many pages, none longer than that, and goes over them until it has made so many steps.
+FIT_PAGES, FIT_LENGTH, STEPS, BATCH = 400, 12_000, 90, 32
 #: Pages a worker labels side by side, by their number of blocks.
 SIDE_BY_SIDE = 1 << 14
 
@@ -213,11 +213,12 @@ class Labeller:
         pages = [p for p in pages if p]
         others = [b for p in pages for b in p]
         m, v, turn = {k: 0.0 for k in self.w}, {k: 0.0 for k in self.w}, 0
-        for _ in range(EPOCHS):
+        while pages and turn < STEPS:
             order = rng.permutation(len(pages))
             for first in range(0, len(order), BATCH):
                 some = [varied(pages[i], others, rng) for i in order[first : first + BATCH]]
                 some = [p for p in some if p]
+                turn += 1
                 if not some:
                     continue
                 known = {path: k for k, path in enumerate(dict.fromkeys(b.path for p in some for b, _ in p))}
@@ -241,7 +242,6 @@ class Labeller:
                     np.add.at(sums, of.ravel(), flat)
                     grads[f"path_{d}"], grads[f"gate_{d}"] = paths.T @ sums, flat.sum(axis=0)
                     grads[f"block_{d}"] = blocks.reshape(-1, WORDS + FIGURES).T @ flat
-                turn += 1
                 for k, g in grads.items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
