@@ -151,11 +151,12 @@ def nearest(
     def descend(key, arrays: pd.DataFrame, lookups: pd.DataFrame) -> pd.DataFrame:
         """Entries of the block that share each prefix length with a query, itself not counted."""
         ordered, own = np.sort(arrays["label"].to_numpy()), lookups["label"].to_numpy()
+        own_entry = lookups["entry"].to_numpy()
         counts = np.zeros((len(own), whole + 1), dtype=np.int64)
         for depth in range(whole + 1):
             low, high = span(own, np.full(len(own), depth), whole)
             counts[:, depth] = np.searchsorted(ordered, high, "right") - np.searchsorted(ordered, low, "left") - 1
-        return pd.DataFrame({"entry": lookups["entry"], "counts": list(np.maximum(counts, 0))})
+        return pd.DataFrame({"entry": own_entry, "counts": pd.Series(list(np.maximum(counts, 0)), dtype=object)})
 
     profiles = (
         index.groupBy("tree", "block")
