@@ -26,20 +26,24 @@ _SYMBOL_BITS, _UPPER_BITS, _LOWER_BITS = 10, 11, 8
 _BITS = _SYMBOL_BITS + _UPPER_BITS + _LOWER_BITS
 _ESCAPE_BITS = _UPPER_BITS + _LOWER_BITS
 _UPPER = 256
-_GAIN, _LIMIT, _UPPER_GAIN = 32, 1500, 24
+#: Odds are shares of 2 ** _ODDS_BITS that move by 2 ** -_RATE of the way to what was seen.
+_ODDS_BITS, _RATE, _UPPER_GAIN = 12, 5, 24
+#: Order-0 intervals are renewed at these steps, and then after every _RENEW steps.
+_EARLY, _RENEW = (8, 16, 32, 64), 128
 _U = np.uint64
 
 
 class _Model:
+    """State of all blocks. All figures fit 32 bits."""
+
     def __init__(self, blocks: int, decoding: bool):
-        each = np.arange(blocks, dtype=np.int64)
+        each = np.arange(blocks, dtype=np.int32)
         self.blocks, self.decoding, self.step = blocks, decoding, 0
         self.base2, self.base1 = each * _ORDER2, each * _ORDER1
         self.base_mix, self.base_upper = each * 32, each * _UPPER
         self.order2, self.order1 = np.zeros(blocks * _ORDER2, np.int32), np.zeros(blocks * _ORDER1, np.int32)
-        self.odds = [np.full(blocks * 32, n, np.int32) for n in (12, 8, 16)]
+        self.odds2, self.odds1 = np.full(blocks * 32, 1300, np.int32), np.full(blocks * 32, 900, np.int32)
         self.upper = np.ones(blocks * _UPPER, np.int32)
-        self.last, self.before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
         self._refresh()
 
     def _refresh(self) -> None:
@@ -47,42 +51,50 @@ class _Model:
         counts = self.upper.reshape(self.blocks, _UPPER).astype(np.int64)
         width = 1 + counts * ((1 << _UPPER_BITS) - _UPPER) // counts.sum(axis=1, keepdims=True)
         width[:, 0] += (1 << _UPPER_BITS) - width.sum(axis=1)
-        self.width = width.ravel()
-        self.start = (np.cumsum(width, axis=1) - width).ravel()
+        self.width = width.ravel().astype(np.int32)
+        self.start = (np.cumsum(width, axis=1) - width).ravel().astype(np.int32)
         if self.decoding:
             self.owner = np.repeat(np.tile(np.arange(_UPPER, dtype=np.uint8), self.blocks), self.width)
-            self.base_owner = np.arange(self.blocks, dtype=np.int64) << _UPPER_BITS
+            self.base_owner = np.arange(self.blocks, dtype=np.int32) << _UPPER_BITS
+
+    def places(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table rows of the last two ids and of the last one; unsigned products wrap around."""
+        one = last.astype(np.uint32) * np.uint32(0x1E35A7BD)
+        two = before.astype(np.uint32) * np.uint32(0x2F0B4C47) + one
+        return (
+            self.base2 + ((two >> np.uint32(15)) & np.uint32(_ORDER2 - 1)).astype(np.int32),
+            self.base1 + ((one >> np.uint32(13)) & np.uint32(_ORDER1 - 1)).astype(np.int32),
+        )
 
-    def predict(self) -> None:
-        self.at2 = self.base2 + (((self.before * 0x2F0B4C47 + self.last * 0x1E35A7BD) >> 15) & (_ORDER2 - 1))
-        self.at1 = self.base1 + (((self.last * 0x1E35A7BD) >> 13) & (_ORDER1 - 1))
-        self.e2, self.e1 = self.order2[self.at2], self.order1[self.at1]
+    def predict(self, at2: np.ndarray, at1: np.ndarray) -> None:
+        self.at2, self.at1 = at2, at1
+        self.e2, self.e1 = self.order2[at2], self.order1[at1]
         self.id2, self.id1 = self.e2 >> 2, self.e1 >> 2
         self.mix = self.base_mix + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | (self.id2 == self.id1))
-        self.n = [odds[self.mix] for odds in self.odds]
-        self.total = self.n[0] + self.n[1] + self.n[2]
-        room = (1 << _SYMBOL_BITS) - 3
-        self.f2 = 1 + self.n[0] * room // self.total
-        self.f1 = 1 + self.n[1] * room // self.total
+        self.p2, self.p1 = self.odds2[self.mix], self.odds1[self.mix]
+        room = (1 << _SYMBOL_BITS) - 4
+        self.f2 = ((self.p2 * room) >> _ODDS_BITS) + 1
+        self.f1 = ((self.p1 * room) >> _ODDS_BITS) + 1
         self.rest = self.f2 + self.f1
         self.f0 = (1 << _SYMBOL_BITS) - self.rest
 
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        narrow = (ids << 2).astype(np.int32)
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray) -> None:
+        """ids: what came; missed: the blocks where neither table had it."""
+        fresh = ids << 2
         for table, at, entry, hit in ((self.order2, self.at2, self.e2, hit2), (self.order1, self.at1, self.e1, self.id1 == ids)):
             sure = entry & 3
-            table[at] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, narrow))
-        miss = ~(hit2 | hit1)
-        full = self.total > _LIMIT
-        for odds, n, seen in zip(self.odds, self.n, (hit2, hit1, miss)):
-            odds[self.mix] = np.where(full, (n + 1) >> 1, n) + seen * np.int32(_GAIN)
-        rows = np.flatnonzero(miss)
-        self.upper[self.base_upper[rows] + (ids[rows] >> 8)] += _UPPER_GAIN
-        self.before, self.last = self.last, ids
+            table[at] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
+        self.odds2[self.mix] = self.p2 + (((hit2.astype(np.int32) << _ODDS_BITS) - self.p2) >> _RATE)
+        self.odds1[self.mix] = self.p1 + (((hit1.astype(np.int32) << _ODDS_BITS) - self.p1) >> _RATE)
+        self.upper[self.base_upper[missed] + (ids[missed] >> _LOWER_BITS)] += _UPPER_GAIN
         self.step += 1
-        if self.step % 128 == 0 or self.step in (8, 16, 32, 64):
+        if self.step % _RENEW == 0 or self.step in _EARLY:
             self._refresh()
 
+    def interval(self, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size where a table was right; the rest is filled in by the caller."""
+        return (hit1 * self.f2) << _ESCAPE_BITS, np.where(hit2, self.f2, self.f1) << _ESCAPE_BITS
+
 
 class _Range:
     """Interval [low, low + width) of each block; low + width never passes 2 ** 64, so there are no carries."""
@@ -112,23 +124,27 @@ def _encode_side_by_side(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks, length = ids.shape
     model, coder = _Model(blocks, False), _Range(blocks)
     words, used = np.empty((blocks, length + 2), np.uint32), np.zeros(blocks, np.int64)
-    turned = np.ascontiguousarray(ids.T).astype(np.int64)
-    for now in turned:
-        model.predict()
-        hit2 = model.id2 == now
-        hit1 = (model.id1 == now) & ~hit2
-        upper = model.base_upper + (now >> 8)
-        width = model.width[upper]
-        inner = (model.start[upper] << _LOWER_BITS) + (now & 255) * width
-        start = np.where(
-            hit2, 0, np.where(hit1, model.f2.astype(np.int64) << _ESCAPE_BITS, (model.rest.astype(np.int64) << _ESCAPE_BITS) + model.f0 * inner)
-        )
-        size = np.where(hit2, model.f2.astype(np.int64) << _ESCAPE_BITS, np.where(hit1, model.f1.astype(np.int64) << _ESCAPE_BITS, model.f0 * width))
-        rows = coder.narrow(start, size)
-        if len(rows):
-            words[rows, used[rows]] = coder.move(rows)
-            used[rows] += 1
-        model.update(now, hit2, hit1)
+    turned = np.zeros((length + 2, blocks), np.int32)  # two zeros stand before the first id
+    turned[2:] = ids.T
+    for first in range(0, length, _RENEW):
+        last = min(first + _RENEW, length)
+        every2, every1 = model.places(turned[first:last], turned[first + 1 : last + 1])
+        for now, at2, at1 in zip(turned[first + 2 : last + 2], every2, every1):
+            model.predict(at2, at1)
+            hit2 = model.id2 == now
+            hit1 = (model.id1 == now) & ~hit2
+            missed = np.flatnonzero(~(hit2 | hit1))
+            start, size = model.interval(hit2, hit1)
+            own, f0 = now[missed], model.f0[missed]
+            upper = model.base_upper[missed] + (own >> _LOWER_BITS)
+            width = model.width[upper]
+            start[missed] = (model.rest[missed] << _ESCAPE_BITS) + f0 * ((model.start[upper] << _LOWER_BITS) + (own & 255) * width)
+            size[missed] = f0 * width
+            rows = coder.narrow(start, size)
+            if len(rows):
+                words[rows, used[rows]] = coder.move(rows)
+                used[rows] += 1
+            model.update(now, hit2, hit1, missed)
     every = np.arange(blocks)
     words[every, used], words[every, used + 1] = coder.low >> _U(32), coder.low & _U(0xFFFFFFFF)
     return words, used + 2
@@ -141,28 +157,32 @@ def _decode_side_by_side(words: np.ndarray, length: int) -> np.ndarray:
     out, used = np.empty((length, blocks), np.uint32), np.full(blocks, 2)
     code = (words[:, 0].astype(np.uint64) << _U(32)) | words[:, 1]
     most = _U((1 << _BITS) - 1)
+    before = last = np.zeros(blocks, np.int32)
     for step in range(length):
-        model.predict()
-        spot = np.minimum((code - coder.low) // (coder.width >> _U(_BITS)), most).astype(np.int64)
+        model.predict(*model.places(before, last))
+        spot = np.minimum((code - coder.low) // (coder.width >> _U(_BITS)), most).astype(np.int32)
         symbol = spot >> _ESCAPE_BITS
-        hit2 = symbol < model.f2
-        hit1 = ~hit2 & (symbol < model.rest)
-        inner = np.maximum(spot - (model.rest.astype(np.int64) << _ESCAPE_BITS), 0) // model.f0
-        upper = model.owner[model.base_owner + (inner >> _LOWER_BITS)].astype(np.int64)
-        place = model.base_upper + upper
+        hit2, known = symbol < model.f2, symbol < model.rest
+        hit1 = known & ~hit2
+        missed = np.flatnonzero(~known)
+        start, size = model.interval(hit2, hit1)
+        rest, f0 = model.rest[missed] << _ESCAPE_BITS, model.f0[missed]
+        inner = (spot[missed] - rest) // f0
+        upper = model.owner[model.base_owner[missed] + (inner >> _LOWER_BITS)].astype(np.int32)
+        place = model.base_upper[missed] + upper
         width, begin = model.width[place], model.start[place] << _LOWER_BITS
         lower = (inner - begin) // width
-        now = np.where(hit2, model.id2, np.where(hit1, model.id1, (upper << 8) + lower)).astype(np.int64)
-        start = np.where(
-            hit2, 0, np.where(hit1, model.f2.astype(np.int64) << _ESCAPE_BITS, (model.rest.astype(np.int64) << _ESCAPE_BITS) + model.f0 * (begin + lower * width))
-        )
-        size = np.where(hit2, model.f2.astype(np.int64) << _ESCAPE_BITS, np.where(hit1, model.f1.astype(np.int64) << _ESCAPE_BITS, model.f0 * width))
+        now = np.where(hit2, model.id2, model.id1)
+        now[missed] = (upper << _LOWER_BITS) + lower
+        start[missed] = rest + f0 * (begin + lower * width)
+        size[missed] = f0 * width
         rows = coder.narrow(start, size)
         if len(rows):
             coder.move(rows)
             code[rows] = (code[rows] << _U(32)) | words[rows, used[rows]]
             used[rows] += 1
-        model.update(now, hit2, hit1)
+        model.update(now, hit2, hit1, missed)
+        before, last = last, now
         out[step] = now
     return np.ascontiguousarray(out.T)
 
