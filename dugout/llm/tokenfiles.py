@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dugout.llm import coder
 from dugout.llm.common import col
+from dugout.sources.scratch import materialize
 
 #: Id behind each document.
 END = 1
@@ -139,7 +140,8 @@ def write(docs: DataFrame, target: str, tokenizer: str, *, text: str = "text", k
 def read(spark: SparkSession, source: str) -> DataFrame:
     """(key, start, ids) of each document of the files: ids before it, and its own as little-endian 32-bit bytes.
 
-    Blocks are checked as they are decoded. Starts are sums over the segments' id counts: one row per segment moves.
+    Blocks are checked as they are decoded. Starts are sums over the segments' id counts, written as a table of one row
+    per segment, which Spark sends to all tasks if its size allows and otherwise joins by a shuffle.
     """
     files = spark.read.parquet(source)
     kind = dict(files.dtypes)["keys"].removeprefix("array<").removesuffix(">")
@@ -151,6 +153,7 @@ def read(spark: SparkSession, source: str) -> DataFrame:
     starts = sizes.withColumn("inner", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(before, "part").select(
         "part", "segment", (F.col("before") + F.col("inner")).alias("start")
     )
+    placed = files.join(materialize(starts, "starts"), ["part", "segment"]).select("start", "keys", "lengths", "payload")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,17 +169,10 @@ def read(spark: SparkSession, source: str) -> DataFrame:
                     begin = ends[first] - lengths[first]
                     last = max(first + 1, int(np.searchsorted(ends, begin + OUT_BYTES // 4, side="right")))
                     yield pa.RecordBatch.from_pydict({
-                        "part": pa.array(np.full(last - first, one.column("part")[0].as_py(), np.int32)),
-                        "segment": pa.array(np.full(last - first, one.column("segment")[0].as_py(), np.int32)),
                         "key": names[first:last],
-                        "inner": pa.array(ends[first:last] - lengths[first:last]),
+                        "start": pa.array(one.column("start")[0].as_py() + ends[first:last] - lengths[first:last]),
                         "ids": pa.array([ids[e - n : e].tobytes() for e, n in zip(ends[first:last], lengths[first:last])], pa.binary()),
                     })
                     first = last
 
-    docs = files.select("part", "segment", "keys", "lengths", "payload").mapInArrow(
-        decode, f"part int, segment int, key {kind}, inner long, ids binary"
-    )
-    return docs.join(F.broadcast(starts), ["part", "segment"]).select(
-        "key", (F.col("start") + F.col("inner")).alias("start"), "ids"
-    )
+    return placed.mapInArrow(decode, f"key {kind}, start long, ids binary")
