@@ -687,8 +687,9 @@ def holdout(rows: DataFrame) -> DataFrame:
 
 @query
 def impute_knn(spark, sf_dir):
+    """Training rows filled from all training rows; season and group are terms of the distance."""
     rows = training(spark, sf_dir)
-    return fill_from_neighbours(rows, features.predictors())
+    return fill_from_neighbours(rows, features.predictors(), block=())
 
 
 @query
@@ -703,18 +704,24 @@ def recipe_bake(spark, sf_dir):
 
 
 def screened(spark, sf_dir):
-    """Filter on correlation first, fill what it leaves from neighbours, then scale and fit."""
+    """Filter on correlation first, fill what it leaves from neighbours, then scale and fit.
+
+    Returns the model, the training rows before they were filled, and the columns that are filled.
+    """
     train = training(spark, sf_dir)
     left = [c for c in features.fit_recipe(train).inputs if c not in features.DUMMIES]
-    imputed = scratch.materialize(fill_from_neighbours(train, left), "imputed")
+    imputed = scratch.materialize(fill_from_neighbours(train, left, block=()), "imputed")
     recipe = features.fit_recipe(imputed, numeric=left)
-    return modelling.fit(imputed, modelling.screening_forest(**SMALL_FOREST), recipe)
+    return modelling.fit(imputed, modelling.screening_forest(**SMALL_FOREST), recipe), train, left
 
 
 @query
 def rf_screen(spark, sf_dir):
-    """Forest on the imputed training part, applied to the rows to predict: is each figure known and possible?"""
-    scored = modelling.predict(screened(spark, sf_dir), predicted(spark, sf_dir, None).drop("prediction"))
+    """Forest on the imputed training part, applied to the rows to predict, filled from training rows:
+    is each figure known and possible?"""
+    model, train, left = screened(spark, sf_dir)
+    rows = scratch.materialize(predicted(spark, sf_dir, None).drop("prediction"), "to-predict")
+    scored = modelling.predict(model, fill_from_neighbours(rows, left, block=(), donors=train))
     fine = F.coalesce(F.col("prediction") >= 0, F.lit(False)).cast("int")
     return scored.select(*CELL, fine.alias("known_and_not_negative"))
 
@@ -722,7 +729,7 @@ def rf_screen(spark, sf_dir):
 @query
 def variable_importance(spark, sf_dir):
     """The model's inputs; importances are on a scale from 0 with the largest at 100."""
-    scores = modelling.variable_importance(spark, screened(spark, sf_dir))
+    scores = modelling.variable_importance(spark, screened(spark, sf_dir)[0])
     top = scores.agg(F.max("importance").alias("top")).first()["top"]
     on_scale = F.col("importance").between(0.0, 100.0) & F.lit(abs(top - 100.0) < 1e-9)
     return scores.select("variable", on_scale.cast("int").alias("on_scale"))

@@ -21,9 +21,11 @@ def _rows(n: int, seed: int):
     ]
 
 
-def _brute_force(rows, k: int):
-    values = {r[0]: r[4:7] for r in rows}
+def _brute_force(rows, k: int, donors=None, blocks: bool = True):
+    donors = rows if donors is None else donors
+    values = {r[0]: r[4:7] for r in donors}
     ranges, means = [], []
+    years = [r[2] for r in donors]
     for j in range(3):
         known = [v[j] for v in values.values() if v[j] is not None]
         ranges.append(max(known) - min(known))
@@ -35,27 +37,21 @@ def _brute_force(rows, k: int):
             if r[4 + j] is not None:
                 continue
             found = []
-            for d in rows:
-                if (d[2], d[3]) != (r[2], r[3]) or d[4 + j] is None:
+            for d in donors:
+                if d[4 + j] is None or (blocks and (d[2], d[3]) != (r[2], r[3])):
                     continue
+                # Season and group are two more terms; within a block they are 0.
+                other = abs(d[2] - r[2]) / ((max(years) - min(years)) or 1) + (d[3] != r[3])
                 both = [(r[4 + i], d[4 + i], ranges[i]) for i in range(3) if None not in (r[4 + i], d[4 + i])]
-                found.append((sum(abs(x - y) / s for x, y, s in both) / (len(both) + 2), d[4 + j]))
+                found.append(((other + sum(abs(x - y) / s for x, y, s in both)) / (len(both) + 2), d[4 + j]))
             found.sort(key=lambda f: f[0])
             out[(r[0], j)] = (found, means[j])
         values[r[0]] = filled
     return out
 
 
-@pytest.mark.parametrize("tiles", [(2048, 16384), (7, 5)])
-def test_matches_brute_force(spark, tiles):
-    rows = _rows(160, 3)
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = {
-        r.batter_id: (r.a, r.b, r.c)
-        for r in impute_knn(df, COLUMNS, query_tile=tiles[0], donor_tile=tiles[1]).collect()
-    }
-    assert len(got) == len(rows)
-    for (row, col), (found, mean) in _brute_force(rows, 5).items():
+def _check(got, rows, wanted):
+    for (row, col), (found, mean) in wanted.items():
         if not found:
             assert got[row][col] == pytest.approx(mean)
             continue
@@ -72,6 +68,30 @@ def test_matches_brute_force(spark, tiles):
                 assert got[r[0]][j] == r[4 + j]
 
 
+def _by_id(df):
+    return {r.batter_id: (r.a, r.b, r.c) for r in df.collect()}
+
+
+@pytest.mark.parametrize("tiles", [(2048, 16384), (7, 5)])
+def test_matches_brute_force(spark, tiles):
+    rows = _rows(160, 3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = _by_id(impute_knn(df, COLUMNS, query_tile=tiles[0], donor_tile=tiles[1]))
+    assert len(got) == len(rows)
+    _check(got, rows, _brute_force(rows, 5))
+
+
+@pytest.mark.parametrize("blocks", [True, False])
+def test_new_rows_are_filled_from_training_rows(spark, blocks):
+    train = _rows(120, 8)
+    new = [(1000 + r[0], *r[1:]) for r in _rows(60, 9)]
+    frames = [spark.createDataFrame(rows, SCHEMA) for rows in (new, train)]
+    cut = {} if blocks else {"block": ()}
+    got = _by_id(impute_knn(frames[0], COLUMNS, donors=frames[1], query_tile=11, donor_tile=13, **cut))
+    assert len(got) == len(new)
+    _check(got, new, _brute_force(new, 5, train, blocks))
+
+
 def test_tiling_does_not_change_the_result(spark):
     df = spark.createDataFrame(_rows(200, 5), SCHEMA)
     one = impute_knn(df, COLUMNS).orderBy("batter_id").collect()
