@@ -50,31 +50,6 @@ def fingerprint_column(text: Column, shingle: int) -> Column:
     return prints(text)
 
 
-def variants(items: DataFrame, width: int) -> DataFrame:
-    """One row per fingerprint, half and wildcard bit of its field of 2 * width bits at bit shift.
-
-    Fields that differ in at most one bit of a half share the row of that half and bit. bucket has half and bit in
-    its upper 32 bits and the half's other bits below; other is where the half that may differ more begins.
-    """
-    ones = (1 << width) - 1
-    wild = [(half, bit) for half in (0, 1) for bit in range(width)]
-    options = F.array(*[
-        F.struct(
-            F.lit((half * width + bit) << 32).cast("long").alias("tag"),
-            F.lit(half * width).alias("at"),
-            F.lit(ones & ~(1 << bit)).cast("long").alias("mask"),
-        )
-        for half, bit in wild
-    ])
-    field = F.call_function("shiftrightunsigned", F.col("fp"), F.col("shift") + F.col("wild.at"))
-    return items.select("*", F.explode(options).alias("wild")).select(
-        "fp",
-        "path",
-        F.col("wild.tag").bitwiseOR(field.bitwiseAND(F.col("wild.mask"))).alias("bucket"),
-        (F.col("shift") + F.lit(width) - F.col("wild.at")).alias("other"),
-    )
-
-
 def forest(distance: int):
     """Links that hold a bucket's linked fingerprints together, one fewer than those they connect."""
 
@@ -83,7 +58,7 @@ def forest(distance: int):
         bits = prints.view(np.uint64)
         rest, out = np.arange(len(bits)), []
         while len(rest):
-            reached, front, rest = [], [rest[0]], rest[1:]
+            front, rest = [rest[0]], rest[1:]
             while front:
                 at = front.pop()
                 near = np.bitwise_count(bits[rest] ^ bits[at]) <= distance
@@ -108,35 +83,60 @@ def close_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     if distance > 3:
         raise ValueError("two halves with one wildcard each cover up to three differing bits")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    items, found = prints.select("fp", F.lit(0).alias("shift"), F.lit("").alias("path")), None
+    items, found, more = prints.select("fp"), None, []
     for width in (32, 16, 8):
-        rows = items.select("fp", "shift", "path").transform(variants, width)
-        sizes = rows.groupBy("path", "bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
-        )
+        keys = [*more, "bucket"]  # the first level has no more columns: it moves all rows
+        rows = variants(items, width, more)
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         sizes = materialize(sizes.filter("n > 1"), "buckets")
         pairs = sizes.filter("n = 2").filter(near("a", "b")).select("a", "b")
-        rows = rows.join(sizes.filter("n > 2").select("path", "bucket", "n"), ["path", "bucket"])
-        rows = materialize(rows, "members")
+        rows = materialize(rows.join(sizes.filter("n > 2").select(*keys, "n"), keys), "members")
         few = rows.filter(F.col("n") <= JOIN_UP_TO)
         pairs = pairs.union(
-            few.select("path", "bucket", F.col("fp").alias("a"))
-            .join(few.select("path", "bucket", F.col("fp").alias("b")), ["path", "bucket"])
+            few.select(*keys, F.col("fp").alias("a"))
+            .join(few.select(*keys, F.col("fp").alias("b")), keys)
             .filter("a < b")
             .filter(near("a", "b"))
             .select("a", "b")
         )
         some = rows.filter((F.col("n") > JOIN_UP_TO) & ((F.col("n") <= LINK_UP_TO) | F.lit(width == 8)))
-        pairs = pairs.union(some.groupBy("path", "bucket").applyInPandas(forest(distance), "a long, b long"))
+        pairs = pairs.union(some.groupBy(*keys).applyInPandas(forest(distance), "a long, b long"))
         found = pairs if found is None else found.union(pairs)
-        if width == 8 or rows.filter(F.col("n") > LINK_UP_TO).isEmpty():
+        large = rows.filter(F.col("n") > LINK_UP_TO)
+        if width == 8 or large.isEmpty():
             break
-        items = rows.filter(F.col("n") > LINK_UP_TO).select(
-            "fp", F.col("other").alias("shift"), F.concat_ws("/", "path", F.hex("bucket")).alias("path")
-        )
+        # the half that may differ more is the one the wildcard is not in
+        second = F.shiftright("bucket", 32) >= width
+        shift = F.col("shift") if more else F.lit(0)
+        path = F.concat_ws("/", *(F.col(c).cast("string") for c in keys))
+        items = large.select("fp", (shift + F.when(second, 0).otherwise(width)).alias("shift"), path.alias("path"))
+        more = ["path", "shift"]
     return found
 
 
+def variants(items: DataFrame, width: int, more: list[str]) -> DataFrame:
+    """One row per fingerprint, half and wildcard bit of its field of 2 * width bits, which begins at bit shift or 0.
+
+    Fields that differ in at most one bit of a half share the row of that half and bit. bucket has half and bit in
+    its upper 32 bits and the half's other bits below; more are columns of items that rows of a bucket agree on.
+    """
+    ones = (1 << width) - 1
+    options = F.array(*[
+        F.struct(
+            F.lit((half * width + bit) << 32).cast("long").alias("tag"),
+            F.lit(half * width).alias("at"),
+            F.lit(ones & ~(1 << bit)).cast("long").alias("mask"),
+        )
+        for half in (0, 1)
+        for bit in range(width)
+    ])
+    shift = F.col("shift") if more else F.lit(0)
+    field = F.call_function("shiftrightunsigned", F.col("fp"), shift + F.col("wild.at"))
+    return items.select("*", F.explode(options).alias("wild")).select(
+        "fp", *more, F.col("wild.tag").bitwiseOR(field.bitwiseAND(F.col("wild.mask"))).alias("bucket")
+    )
+
+
 def simhash_components(
     docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, distance: int = 3
 ) -> DataFrame:
