@@ -16,8 +16,8 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block; blocks coded side by side.
-BLOCK, SIDE_BY_SIDE = 4096, 2048
+#: Most and fewest ids of a block; blocks coded side by side, and how many of them short input is cut into.
+BLOCK, SHORT_BLOCK, SIDE_BY_SIDE, FEW = 4096, 512, 2048, 256
 #: A block: mark, number of ids, number of words, checksum of the ids; then the words.
 HEAD = struct.Struct("<4sIII")
 MARK = b"CMR1"
@@ -188,20 +188,21 @@ def _decode_side_by_side(words: np.ndarray, length: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """Blocks of the ids (16 bits each), one behind the other."""
+    """Blocks of the ids (16 bits each), one behind the other; few ids make shorter blocks, so that some run together."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
     if len(ids) and int(ids.max()) >= 1 << 16:
         raise ValueError("the coder takes ids below 65,536")
     out = []
-    for first in range(0, len(ids), BLOCK * SIDE_BY_SIDE):
-        part = ids[first : first + BLOCK * SIDE_BY_SIDE]
-        blocks = -(-len(part) // BLOCK)
-        length = min(BLOCK, len(part))
+    size = min(BLOCK, max(SHORT_BLOCK, len(ids) // FEW))
+    for first in range(0, len(ids), size * SIDE_BY_SIDE):
+        part = ids[first : first + size * SIDE_BY_SIDE]
+        blocks = -(-len(part) // size)
+        length = min(size, len(part))
         filled = np.zeros(blocks * length, np.uint32)
         filled[: len(part)] = part
         words, used = _encode_side_by_side(filled.reshape(blocks, length))
         for b in range(blocks):
-            own = part[b * BLOCK : (b + 1) * BLOCK]
+            own = part[b * size : (b + 1) * size]
             out += [HEAD.pack(MARK, len(own), int(used[b]), zlib.crc32(own.tobytes())), words[b, : used[b]].astype("<u4").tobytes()]
     return b"".join(out)
 
