@@ -20,10 +20,10 @@ from dugout.sources.scratch import materialize
 END = 1
 #: A segment, one record of a file, is closed when it has so many ids; it holds whole documents.
 SEGMENT = coder.BLOCK * coder.SIDE_BY_SIDE
-#: Chunks whose ids a worker keeps before it starts anew; bytes of text handled at once; bytes of ids in a batch.
-CHUNKS_KEPT, TEXT_BYTES, OUT_BYTES = 400_000, 1 << 21, 1 << 23
-#: A mark behind a plain letter or digit, at the end of a chunk: always a piece of its own.
-_MARK = re.compile(rb"(?<=[a-z0-9])([,.;:!?])(?=\s|$)")
+#: Chunks a worker keeps in each of two tables before that starts anew; bytes of text handled at once; bytes of ids in a batch.
+CHUNKS_KEPT, TEXT_BYTES, OUT_BYTES = 300_000, 1 << 21, 1 << 23
+#: A mark behind a letter (ASCII or Latin-1) or digit, at the end of a chunk: always a piece of its own.
+_MARK = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([,.;:!?])(?=\s|$)")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -40,7 +40,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids of chunks met in several groups of texts, and of those met in one so far; each is bounded.
         self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -62,12 +64,16 @@ class Encoder:
         chunks = [
             None if t and "<|" in t else _MARK.sub(rb" \1", (t or "").encode("utf-8").lower()).split() for t in texts
         ]
-        if len(self.known) > CHUNKS_KEPT:
-            self.known.clear()
-        new = list(set().union(*[c for c in chunks if c]) - self.known.keys())
+        distinct = set().union(*[c for c in chunks if c])
+        for table in (self.known, self.young):
+            if len(table) > CHUNKS_KEPT:
+                table.clear()
+        known, young = self.known, self.young
+        known.update((c, young.pop(c)) for c in distinct & young.keys())
+        new = list(distinct - known.keys())
         if new:
-            self.known.update(zip(new, self.library([c.decode("utf-8") for c in new])))
-        get = self.known.__getitem__
+            young.update(zip(new, self.library([c.decode("utf-8") for c in new])))
+        get = {c: known[c] if c in known else young[c] for c in distinct}.__getitem__
         return [self.library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
 
 

@@ -27,7 +27,7 @@ def test_coder_round_trips():
         for ids in (rng.integers(0, 1 << 16, n), rng.zipf(1.3, n) % 49_408, np.tile([5, 6, 7, 1], n)[:n], np.zeros(n, int)):
             data = coder.encode(ids)
             assert (coder.decode(data) == ids).all()
-    assert len(coder.encode(np.tile([5, 6, 7], 1000))) < 100
+    assert len(coder.encode(np.tile([5, 6, 7], 1000))) < 400
     with pytest.raises(ValueError):
         coder.encode(np.array([1 << 16]))
 
@@ -49,14 +49,19 @@ def test_blocks_stand_alone_and_are_checked(monkeypatch):
             coder.decode(spoiled)
 
 
-def test_chunks_encode_like_whole_texts(library):
+def test_chunks_encode_like_whole_texts(library, monkeypatch):
     rng = random.Random(2)
-    pieces = ["Hello,", "world.", "don't", "it's!!", "Ünïcode", "ΣΑΣ", "éa", "x​y", "12,5", "...", "\x0b", "\x1c", " ", " ", "<|endoftext|>", "<|", "a.b,c", "İstanbul", "日本語", "'re,", "»,", "é,", "9.", "\n\t", "The", "THE,"]
+    pieces = ["Hello,", "world.", "don't", "it's!!", "Ünïcode", "ΣΑΣ", "éa", "x​y", "12,5", "...", "\x0b", "\x1c", " ", " ", "<|endoftext|>", "<|", "a.b,c", "İstanbul", "日本語", "'re,", "»,", "é,", "É.", "×.", "÷,", "ñ!", "ñ!!", "e\u0301,", "9.", "\n\t", "The", "THE,"]
     texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(0, 40))) for _ in range(400)]
     texts += ["", " ", LONG[:3000]]
-    encoder = tokenfiles.Encoder(PATH)
-    for text, ids in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for kept in (400_000, 5):
+        monkeypatch.setattr(tokenfiles, "CHUNKS_KEPT", kept)
+        encoder = tokenfiles.Encoder(PATH)
+        for first in range(0, len(texts), 40):
+            some = texts[first : first + 40]
+            for text, ids in zip(some, encoder.encode(some)):
+                assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert len(encoder.known) <= kept + 10_000 and len(encoder.young) <= kept + 10_000
 
 
 def test_files_hold_every_document_in_order(spark, tmp_path, library, monkeypatch):
