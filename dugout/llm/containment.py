@@ -7,17 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout.llm.common import boxed, col, row_hash
+from dugout.sources.scratch import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Hash functions of a signature; each is a band of its own, as five-word shingles are rare enough.
 HASHES = 32
 #: Size classes (in shingles) end at these sizes times a power of two: 8, 11, 16, 22, 32, ...
 BASES = (8, 11)
-#: Bits of the table that tells which signature values items have; fixed, whatever the number of items.
+#: Bits of a table that tells which signature values, or shingles, items have; fixed, whatever the number of items.
 TABLE_BITS = 26
 #: Word hashes kept by a worker before it starts anew; shingles handled at once.
 WORDS_KEPT, PIECE = 1 << 20, 1 << 17
@@ -80,6 +81,11 @@ def tokens(values: np.ndarray, number: int, size: int) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)
 
 
+def lone_tokens(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit token for a shingle anywhere in a text; non-negative."""
+    return hashes >> np.uint64(1)
+
+
 def block_starts(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of blocks of so many rows within runs of these lengths, and the blocks of each run."""
     blocks = -(-lengths // size)
@@ -123,30 +129,58 @@ def windows(hashes: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> dict[i
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
-    """(mark, size, token): the signature of each benchmark item (mark, text) in its size class."""
+    """(mark, shingles, size, tokens): distinct shingle hashes of each benchmark item (mark, text), its size class, and its
+    signature, as tokens of that class and as tokens of the shingles that have its values.
+
+    The class comes from the item's length in shingles, repeated ones counted, as windows are stretches of a text.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            at, sizes, found = [], [], []
+            at, distinct, sizes, found = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingle_hashes(words_of(text), known)
                 if len(hashes):
-                    size = size_class(len(np.unique(hashes)))
-                    at += [i] * HASHES
-                    sizes += [size] * HASHES
-                    low = [np.min((hashes * _ODD[SHINGLE + j]) >> np.uint64(32), keepdims=True) for j in range(HASHES)]
-                    found += [int(tokens(v, j, size)[0]) for j, v in enumerate(low)]
+                    size, own = size_class(len(hashes)), np.unique(hashes)
+                    values = [(own * _ODD[SHINGLE + j]) >> np.uint64(32) for j in range(HASHES)]
+                    signature = [int(tokens(np.min(v, keepdims=True), j, size)[0]) for j, v in enumerate(values)]
+                    smallest = own[[int(np.argmin(v)) for v in values]]
+                    at.append(i)
+                    distinct.append(own.view(np.int64).tolist())
+                    sizes.append(size)
+                    found.append(sorted({*signature, *lone_tokens(smallest).astype(np.int64).tolist()}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("mark").take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(found, pa.int64())],
-                names=["mark", "size", "token"],
+                [
+                    batch.column("mark").take(pa.array(at, pa.int64())), pa.array(distinct, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())),
+                ],
+                names=["mark", "shingles", "size", "tokens"],
             )
 
-    return items.select("mark", "text").mapInArrow(sign, "mark long, size int, token long")
+    return items.select("mark", "text").mapInArrow(sign, "mark long, shingles array<long>, size int, tokens array<long>")
+
+
+def bit_table(values: DataFrame) -> np.ndarray:
+    """Which low bits the numbers of the only column have; at most one number per bit reaches the driver."""
+    bits = np.zeros(1 << TABLE_BITS - 3, dtype=np.uint8)
+    slots = values.select(F.col(values.columns[0]).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("slot")).distinct()
+    for part in np.array_split(slots.toPandas()["slot"].to_numpy(), 64):
+        np.bitwise_or.at(bits, part >> 3, (1 << (part & 7)).astype(np.uint8))
+    return bits
+
 
+def met(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the table has each number."""
+    slot = values & np.uint64((1 << TABLE_BITS) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-def searcher(sizes: list[int], table):
-    """Windows of each text that share a signature value with some item of their class."""
+
+def searcher(sizes: list[int], tables):
+    """Of each text that may hold items: the tokens and the shingles that it shares with some item, each once.
+
+    tables: those of the items' tokens and of their shingles.
+    """
     overlap = 2 * max(sizes) + SHINGLE
 
     def runs(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -156,6 +190,8 @@ def searcher(sizes: list[int], table):
         for i, text in enumerate(texts):
             words = words_of(text)
             for start in range(0, len(words), PIECE):
+                if start and start + SHINGLE > len(words):
+                    break  # no shingle starts here that the piece before does not have
                 group.append((i, words[start : start + PIECE + overlap]))
                 size += len(group[-1][1])
                 if size >= PIECE:
@@ -164,92 +200,94 @@ def searcher(sizes: list[int], table):
         if group:
             yield group
 
+    def distinct_by_run(of: list[np.ndarray], values: list[np.ndarray]) -> dict[int, list[int]]:
+        of, values = np.concatenate(of), np.concatenate(values)
+        out = {}
+        order = np.argsort(of, kind="stable")
+        texts, starts = np.unique(of[order], return_index=True)
+        for i, part in zip(texts.tolist(), np.split(values[order], starts[1:])):
+            out[i] = np.unique(part).astype(np.int64).tolist()
+        return out
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = _WordHashes(), table.value
+        known, (bits, shingle_bits) = _WordHashes(), tables.value
         for batch in batches:
-            at, found, held = [], [], []
+            at, found = [np.array([], np.int64)], [np.array([], np.uint64)]
+            holders, held = [np.array([], np.int64)], [np.array([], np.uint64)]
             for group in runs(batch.column("text").to_pylist()):
                 each = [shingle_hashes(words, known) for _, words in group]
                 lengths = np.array([len(h) for h in each], dtype=np.int64)
-                for size, (marks, of, number) in windows(np.concatenate(each), lengths, sizes).items():
-                    slot = marks & np.uint64((1 << TABLE_BITS) - 1)
-                    seen = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-                    for w in np.flatnonzero(seen.any(axis=0)):
-                        i, words = group[of[w]]
-                        first = number[w] * size
-                        at.append(i)
-                        found.append(marks[seen[:, w] > 0, w].astype(np.int64).tolist())
-                        held.append(b" ".join(words[first : first + 2 * size + SHINGLE - 1]).decode("utf-8", "replace"))
-            rows = pa.array(at, pa.int64())
+                texts = np.array([i for i, _ in group], dtype=np.int64)
+                hashes = np.concatenate(each)
+                for marks, of, _ in windows(hashes, lengths, sizes).values():
+                    for row in marks:
+                        w = np.flatnonzero(met(bits, row))
+                        at.append(texts[of[w]])
+                        found.append(row[w])
+                place = np.flatnonzero(met(shingle_bits, hashes))
+                hashes, owners = hashes[place], np.repeat(texts, lengths)[place]
+                holders.append(owners)
+                held.append(hashes)
+                alone = lone_tokens(hashes)
+                w = np.flatnonzero(met(bits, alone))
+                at.append(owners[w])
+                found.append(alone[w])
+            by_text, shingles_of = distinct_by_run(at, found), distinct_by_run(holders, held)
+            both = [i for i in by_text if i in shingles_of]
+            rows = pa.array(both, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(rows), batch.column("row_hash").take(rows), pa.array(found, pa.list_(pa.int64())), pa.array(held, pa.string())],
-                names=["key", "row_hash", "tokens", "words"],
+                [
+                    batch.column("key").take(rows), batch.column("row_hash").take(rows),
+                    pa.array([by_text[i] for i in both], pa.list_(pa.int64())),
+                    pa.array([shingles_of[i] for i in both], pa.list_(pa.int64())),
+                ],
+                names=["key", "row_hash", "tokens", "held"],
             )
 
     return search
 
 
-def shingles(words: Column) -> Column:
-    """Distinct five-word shingles of an array of words, as text."""
-    n = F.size(words)
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))),
-            lambda i: F.concat_ws(" ", F.slice(words, i, SHINGLE)),
-        )
-    )
-
-
-def plain_words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-
-
 def find_items(
     docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(key, row_hash, item, containment): items of which a text holds the given share of shingles close together.
+    """(key, row_hash, item, containment): items of which a text holds the given share of shingles, wherever they stand.
 
     A short item is a small part of a long text, so the Jaccard similarity of whole texts says nothing. Items are put
-    into size classes, and each text is cut, once per class in use, into overlapping windows of twice the class size;
-    within a window an item that is contained to 0.8 has a Jaccard similarity of 0.257 or more, and 32 hash functions
-    miss it with a probability below 8e-5 (3e-6 if it is contained in full). A window that shares a signature value
-    with an item (an equality join) is verified: exact share of the item's distinct five-word shingles in the window.
-
-    Texts first pass a bit table of the items' values, of fixed size, so that only windows that can match leave the
-    task. Items of fewer than five words are one shingle and are found in texts of just these words; items without a
-    word are in no text. Null and empty texts hold nothing. Repeated rows give one result. Pairs of a text and an
-    item are reported once, with the best window's share. Empty tables give no rows.
+    into size classes, and each text is cut, once per class in use, into overlapping windows of twice the class size.
+    A text is a candidate for an item (an equality join) if one of its windows shares a signature value with the item,
+    or if the text holds, anywhere, one of the up to 32 shingles that gave the item its signature. The latter also
+    meets items that stand in several parts or repeat themselves: of an item contained to 0.8 each of these shingles is
+    missing with a probability of 0.2 at most. Each candidate is verified: share of the item's distinct five-word
+    shingles (64-bit hashes) in the whole text.
+
+    Texts first pass two bit tables of fixed size, of the items' values and of their shingles, so that only what can
+    match leaves the task. Items of fewer than five words are one shingle and are found in texts of just these words;
+    items without a word are in no text. Null and empty texts hold nothing. Repeated rows give one result. Pairs of a
+    text and an item are reported once. Empty tables give no rows.
     """
     spark = docs.sparkSession
     named = items.select(
         col(item).alias("item"), col(item_text).alias("text"), F.xxhash64(col(item), col(item_text)).alias("mark")
     ).dropDuplicates(["mark"])
-    signed = item_tokens(named.filter("text is not null"))
+    signed = materialize(item_tokens(named.filter("text is not null")), "item-tokens")
     sizes = sorted(r["size"] for r in signed.select("size").distinct().collect())
     keyed = docs.select(col(key).alias("key"), row_hash(docs).alias("row_hash"), col(text).alias("text"))
-    bits = np.zeros(1 << TABLE_BITS - 3, dtype=np.uint8)
-    slots = signed.select((F.col("token").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))).alias("slot")).distinct()
-    for part in np.array_split(slots.toPandas()["slot"].to_numpy(), 64):  # at most one number per bit of the table
-        np.bitwise_or.at(bits, part >> 3, (1 << (part & 7)).astype(np.uint8))
     kind = keyed.schema["key"].dataType.simpleString()
-    shape = f"key {kind}, row_hash long, tokens array<long>, words string"
+    shape = f"key {kind}, row_hash long, tokens array<long>, held array<long>"
     if not sizes:
         found = spark.createDataFrame([], shape)
     else:
-        found = keyed.filter("text is not null").mapInArrow(searcher(sizes, spark.sparkContext.broadcast(bits)), shape)
-    wanted = named.withColumn("shingles", shingles(plain_words(F.col("text")))).select("mark", "item", "shingles")
-    pairs = (
-        found.select("key", "row_hash", "words", F.explode("tokens").alias("token"))
-        .join(signed.select("mark", "token").distinct(), "token")
-        .groupBy("key", "row_hash", "words", "mark")
+        tables = tuple(bit_table(signed.select(F.explode(c))) for c in ("tokens", "shingles"))
+        found = keyed.filter("text is not null").mapInArrow(searcher(sizes, spark.sparkContext.broadcast(tables)), shape)
+    wanted = signed.select("mark", "shingles").join(named.select("mark", "item"), "mark")
+    return (
+        found.select("key", "row_hash", "held", F.explode("tokens").alias("token"))
+        .join(signed.select("mark", F.explode("tokens").alias("token")), "token")
+        .groupBy("key", "row_hash", "held", "mark")
         .agg(F.count(F.lit(1)).alias("votes"))
         .join(wanted, "mark")
-    )
-    held = shingles(F.split("words", " "))
-    return (
-        pairs.withColumn("containment", F.size(F.array_intersect("shingles", held)) / F.size("shingles"))
+        .withColumn("containment", F.size(F.array_intersect("shingles", "held")) / F.size("shingles"))
         .filter(F.col("containment") >= threshold)
         .groupBy("key", "row_hash", "item")
         .agg(F.max("containment").alias("containment"))

@@ -49,6 +49,32 @@ def test_against_all_pairs(spark):
     assert all(abs(found[k] - wanted[k]) < 1e-9 for k in found)
 
 
+def test_items_that_repeat_themselves_or_stand_in_parts(spark):
+    """Contained in the whole text, though in none of its windows; verified by plain shingles."""
+    words = [f"w{i}" for i in range(60)]
+    repeating = " ".join([*words[:30], *["again"] * 200, *words[30:]])
+    split = [f"s{i}" for i in range(59)]
+    between = lambda k, n: " ".join(f"b{k}x{i}" for i in range(n))
+    many = [f"m{i}" for i in range(200)]
+    parts = [" ".join(many[i : i + 40]) for i in range(0, 200, 40)]
+    docs = [
+        (1, f"{between(1, 500)} {repeating} {between(2, 500)}"),
+        (2, f"{between(3, 300)} {' '.join(split[:30])} {between(4, 150)} {' '.join(split[30:])} {between(5, 40)}"),
+        (3, " ".join(f"{between(6 + i, 3000)} {p}" for i, p in enumerate(parts))),
+        (4, f"{' '.join(split[:30])} {between(20, 150)}"),
+        (5, " ".join(["again"] * 300)),
+    ]
+    items = [(1, repeating), (2, " ".join(split)), (3, " ".join(many))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["key"], r["item"]): r["containment"] for r in find_items(frame, spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)).collect()}
+    shares = {
+        (d, i): len(plain_shingles(item) & plain_shingles(text)) / len(plain_shingles(item)) for d, text in docs for i, item in items
+    }
+    wanted = {k: share for k, share in shares.items() if share >= 0.8}
+    assert wanted.keys() == {(1, 1), (2, 2), (3, 3)} and found.keys() == wanted.keys()
+    assert all(abs(found[k] - wanted[k]) < 1e-9 for k in found)
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     """The passage stands across the border of two pieces of a long text."""
     passage = " ".join(f"p{i}" for i in range(40))
