@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from dugout.llm.blocks import Block, blocks_of
 from dugout.llm.common import col
+from dugout.sources.scratch import materialize
 
 #: Sizes of the hashed tag-path and word vectors, of the other figures, and of the state in each direction.
 PATH, WORDS, FIGURES, STATE = 512, 32, 8, 16
-#: The fit takes so many pages, none longer than that, and goes over them until it has made so many steps.
-FIT_PAGES, FIT_LENGTH, STEPS, BATCH = 400, 12_000, 90, 32
+#: The fit takes so many pages, of longer ones two runs of so many blocks, of each block's text so many code points,
+#: and goes over them until it has made so many steps.
+FIT_PAGES, RUN, BLOCK_LENGTH, STEPS, BATCH = 400, 256, 12_000, 90, 32
 #: Pages a worker labels side by side, by their number of blocks.
 SIDE_BY_SIDE = 1 << 14
 
@@ -50,6 +53,30 @@ def taught(path: tuple[str, ...]) -> float | None:
     return 1.0 if ARTICLE.intersection(path) else None
 
 
+@dataclass
+class Run:
+    """Consecutive blocks of a page, and the number of blocks before and behind them."""
+
+    blocks: list[Block]
+    before: int = 0
+    behind: int = 0
+
+
+def runs_of(page: list[Block], rng: np.random.Generator) -> list[Run]:
+    """What the fit sees of a page: all blocks, or of a long page a random run around a random block of the article and
+    one around a random block of boilerplate. None if no name on the page teaches anything."""
+    labels = [taught(b.path) for b in page]
+    places = [[i for i, label in enumerate(labels) if label == kind] for kind in (1.0, 0.0)]
+    if not any(places):
+        return []
+    starts = {0}
+    if len(page) > RUN:
+        around = [some[rng.integers(len(some))] for some in places if some]
+        starts = {int(np.clip(i - rng.integers(RUN), 0, len(page) - RUN)) for i in around}
+    cut = lambda b: Block(b.path, b.text[:BLOCK_LENGTH], min(b.linked, BLOCK_LENGTH))
+    return [Run([cut(b) for b in page[s : s + RUN]], s, max(0, len(page) - s - RUN)) for s in sorted(starts)]
+
+
 def varied(page: list[Block], others: list[Block], rng: np.random.Generator) -> list[tuple[Block, float]]:
     """A labelled page for learning: names changed or left out, and now and then a further kind of boilerplate.
 
@@ -117,9 +144,9 @@ class Vectors:
         )
         return np.concatenate([counts / np.sqrt((counts**2).sum()), np.array(figures, np.float32)])
 
-    def page(self, blocks: list[Block]) -> np.ndarray:
-        last = max(1, len(blocks) - 1)
-        return np.stack([self.block(b, i / last) for i, b in enumerate(blocks)])
+    def page(self, blocks: list[Block], before: int = 0, behind: int = 0) -> np.ndarray:
+        last = max(1, before + len(blocks) + behind - 1)
+        return np.stack([self.block(b, (before + i) / last) for i, b in enumerate(blocks)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -178,6 +205,7 @@ def _reverse(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Labeller:
     def __init__(self, seed: int = 2):
         rng = np.random.default_rng(seed)
+        self.learned = False
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.w: dict[str, np.ndarray] = {"out": draw(2 * STATE), "bias": np.zeros(1, np.float32)}
         for d in "fb":
@@ -207,24 +235,25 @@ class Labeller:
             of[: len(paths), k], blocks[: len(own), k] = paths, own
         return of, blocks, lengths
 
-    def fit(self, pages: list[list[Block]], seed: int = 5) -> "Labeller":
+    def fit(self, pages: list[Run], seed: int = 5) -> "Labeller":
         """Learn from pages whose names tell article from boilerplate, varied anew in each round; Adam on log loss."""
         rng, vectors = np.random.default_rng(seed), Vectors()
-        pages = [p for p in pages if p]
-        others = [b for p in pages for b in p]
+        others = [b for p in pages for b in p.blocks]
+        self.learned = any(taught(b.path) == 1.0 for b in others)
         m, v, turn = {k: 0.0 for k in self.w}, {k: 0.0 for k in self.w}, 0
         while pages and turn < STEPS:
             order = rng.permutation(len(pages))
             for first in range(0, len(order), BATCH):
-                some = [varied(pages[i], others, rng) for i in order[first : first + BATCH]]
-                some = [p for p in some if p]
+                some = [(varied(pages[i].blocks, others, rng), pages[i]) for i in order[first : first + BATCH]]
+                ends = [(run.before, run.behind) for p, run in some if p]
+                some = [p for p, _ in some if p]
                 turn += 1
                 if not some:
                     continue
                 known = {path: k for k, path in enumerate(dict.fromkeys(b.path for p in some for b, _ in p))}
                 paths = np.stack([vectors.path(path) for path in known])
                 of, blocks, lengths = self._stacked([
-                    (np.array([known[b.path] for b, _ in p]), vectors.page([b for b, _ in p])) for p in some
+                    (np.array([known[b.path] for b, _ in p]), vectors.page([b for b, _ in p], *e)) for p, e in zip(some, ends)
                 ])
                 truth = np.zeros(of.shape, np.float32)
                 for k, p in enumerate(some):
@@ -249,7 +278,12 @@ class Labeller:
         return self
 
     def label(self, pages: list[list[Block]], vectors: Vectors) -> list[np.ndarray]:
-        """Share of belief, for every block of every page, that it is article; pages of like length run together."""
+        """Share of belief, for every block of every page, that it is article; pages of like length run together.
+
+        Pages with blocks need weights that were learned; random ones would give any text.
+        """
+        if not self.learned and any(pages):
+            raise ValueError("nothing learned: no page the labeller was fitted on names an article")
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
         while order:
@@ -266,21 +300,34 @@ class Labeller:
 
 
 def fit(pages: DataFrame, *, html: str = "html") -> Labeller:
-    """A labeller learned, in one task, from a bounded sample of pages, chosen by a hash of their text."""
+    """A labeller learned, in one task, from FIT_PAGES pages whose names teach something, or all if there are fewer.
+
+    Pages of any length are chosen by a hash of their text, and cut to runs of blocks where they are read, so that
+    the work is bounded by the number of blocks. If too few of the first choice teach anything, more are read. Where
+    no page of the table names an article the labeller stays unlearned, and refuses pages that have blocks.
+    """
     total = pages.count()
     share = F.pmod(F.xxhash64(col(html), F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = (
-        pages.filter(F.length(col(html)) <= FIT_LENGTH)
-        .filter(share < 1.5 * FIT_PAGES / max(1, total))
-        .select(col(html).alias("html"))
-        .orderBy(F.xxhash64("html"))
-        .limit(FIT_PAGES)
-    )
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page, place in zip(batch["html"], batch["place"]):
+                runs = runs_of(blocks_of(page), np.random.default_rng(place % (1 << 32)))
+                if runs:
+                    yield pd.DataFrame({"place": [place], "runs": [pickle.dumps(runs)]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [blocks_of(page) for batch in batches for page in batch["html"]]
+        found = [run for batch in batches for page in batch["runs"] for run in pickle.loads(page)]
         yield pd.DataFrame({"model": [pickle.dumps(Labeller().fit(found))]})
 
+    wanted = 1.5 * FIT_PAGES / max(1, total)
+    while True:
+        chosen = pages.filter(share < wanted).select(col(html).alias("html"), F.xxhash64(col(html)).alias("place"))
+        teaching = materialize(chosen.mapInPandas(cut, "place long, runs binary"), "teaching-pages")
+        if wanted >= 1 or teaching.count() >= FIT_PAGES:
+            break
+        wanted *= 8
+    sample = teaching.orderBy("place", "runs").limit(FIT_PAGES)
     learned = sample.coalesce(1).mapInPandas(learn, "model binary").collect()
     return pickle.loads(learned[0]["model"]) if learned else Labeller()
 

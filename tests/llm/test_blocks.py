@@ -60,6 +60,53 @@ def test_other_templates(model):
     assert kept == ["The title of the story", para, para]
 
 
+def long_page(i):
+    """A page of one of two sites with names of its own, longer than 12,000 code points and than a run of the fit."""
+    rows = "".join(f"<p>Sentence {k} of story {i} says that this and that went on for a while, and then it ended.</p>" for k in range(300))
+    links = "".join(f'<li><a href="/{k}">Part {k}</a></li>' for k in range(30))
+    return f'<html><body><nav><ul>{links}</ul></nav><article><h1>Story {i}</h1>{rows}</article><footer><p>&copy; {i} all of us</p></footer></body></html>'
+
+
+def test_long_pages_teach(spark):
+    """A table of long pages only: the article comes out, and nothing else."""
+    pages = [long_page(i) for i in range(24)]
+    frame = spark.createDataFrame([(p,) for p in pages], "html string").repartition(4)
+    model = labeller.fit(frame)
+    got = {r["html"]: r["t"] for r in frame.select("html", main_text(frame, model).alias("t")).collect()}
+    for page in pages:
+        assert got[page] == " ".join(b.text for b in blocks_of(page) if "article" in b.path)
+
+
+def test_runs_of_long_pages():
+    rng = np.random.default_rng(0)
+    page = blocks_of(long_page(1))
+    for _ in range(20):
+        runs = labeller.runs_of(page, rng)
+        assert all(r.before + len(r.blocks) + r.behind == len(page) and len(r.blocks) == labeller.RUN for r in runs)
+        assert all(r.blocks == page[r.before : r.before + labeller.RUN] for r in runs)
+        assert {taught(b.path) for r in runs for b in r.blocks} == {0.0, 1.0}
+    (whole,) = labeller.runs_of(page[:100], rng)
+    assert whole == labeller.Run(page[:100]) and labeller.runs_of(blocks_of("<p>names nothing"), rng) == []
+
+
+def test_few_pages_that_teach(spark, monkeypatch):
+    """Pages without telling names do not use up the sample."""
+    monkeypatch.setattr(labeller, "FIT_PAGES", 5)
+    silent = [(f"<p>page {i}</p>",) for i in range(400)]
+    frame = spark.createDataFrame(silent + [(long_page(i),) for i in range(3)], "html string")
+    assert labeller.fit(frame).learned
+
+
+def test_nothing_to_learn_from(spark):
+    frame = spark.createDataFrame([("<p>names nothing</p>",), (None,)], "html string")
+    blank = spark.createDataFrame([(None,), ("",)], "html string")
+    model = labeller.fit(frame)
+    assert not model.learned and not labeller.fit(frame.limit(0)).learned
+    assert [r["t"] for r in blank.select(main_text(blank, model).alias("t")).collect()] == ["", ""]
+    with pytest.raises(Exception, match="nothing learned"):
+        frame.select(main_text(frame, model)).collect()
+
+
 def test_defined_results(spark, model):
     rows = [(None, 1), ("", 2), ("<p></p>", 3), ("<html><body></body>", 4), ("<article><p>" + "w " * 50_000 + "</article>", 5)]
     frame = spark.createDataFrame(rows, "html string, text int")
