@@ -16,6 +16,14 @@ UNSEEN = frozenset(
     "head title script style noscript template svg math iframe object canvas select textarea button datalist audio video".split()
 )
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: What may stand in a head; anything else, and text, ends a head that is still open.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Unseen elements without an end tag of their own do not hide what comes behind them: the next of BLOCKS ends them.
+LOOSE = frozenset("button select datalist svg math".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2"
+    " h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 #: Open elements that a new element ends: a paragraph ends at any block, items and cells at their like.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -33,14 +41,30 @@ class Block:
     linked: int
 
 
+def ended(page: str, name: str) -> set[int]:
+    """Where the names of those start tags end that have an end tag; a button or select cannot hold another."""
+    out: set[int] = set()
+    waiting: list[int] = []
+    for tag in re.finditer(rf"<(/?){name}(?=[\s/>])", page, re.I):
+        if not tag[1]:
+            if name in ("button", "select"):
+                waiting.clear()
+            waiting.append(tag.end())
+        elif waiting:
+            out.add(waiting.pop())
+    return out
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's text in order, cut where block elements begin or end; character references decoded, white space
     within a block as one space. Scripts, styles, form controls, comments and markup are no text. Elements left open
-    end with their parents; a page may stop anywhere."""
+    end with their parents, a head at the first thing that cannot be in it; a page may stop anywhere."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
+    loose: list[int] = []  # places in the stack of unseen elements without an end tag
+    with_end: dict[str, set[int]] = {}
     linked = links = unseen = at = 0
 
     def close() -> None:
@@ -53,6 +77,8 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def take(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            leave(len(stack) - 1)
         if text and not unseen:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
@@ -64,6 +90,8 @@ def blocks_of(page: str | None) -> list[Block]:
         for name, _ in stack[upto:]:
             unseen -= name in UNSEEN
         del stack[upto:]
+        while loose and loose[-1] >= upto:
+            loose.pop()
 
     while True:
         found = _TAG.search(page, at)
@@ -87,6 +115,11 @@ def blocks_of(page: str | None) -> list[Block]:
                     leave(k)
                     break
             continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            leave(len(stack) - 1)
+        if loose and (name in BLOCKS or name == stack[loose[0]][0]):
+            close()
+            leave(loose[0])
         if name == "br":
             pieces.append(" ")
             continue
@@ -110,6 +143,11 @@ def blocks_of(page: str | None) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         unseen += name in UNSEEN
+        if name in LOOSE:
+            if name not in with_end:
+                with_end[name] = ended(page, name)
+            if found.end(2) not in with_end[name]:
+                loose.append(len(stack))
         stack.append((name, (name, *parts)))
     close()
     return out

@@ -27,6 +27,24 @@ def test_blocks():
     assert texts("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
 
 
+def test_elements_without_an_end_tag_hide_nothing():
+    meta = '<html><head><meta charset="utf-8"><title>t</title><link rel="x" href="y"><style>p{}</style>'
+    for start in ("<body>", "<body><article>", "<article>", "<p>", "<span>", '<img src="x">', ""):
+        assert texts(f"{meta}\n{start}Whole <b>story</b><p>ends") == ["Whole story", "ends"], start
+    assert blocks_of(f"{meta}<body><article>x")[0].path == ("html", "body", "article")
+    assert texts("<head><template><p>no</p></template><body>b") == ["b"]
+    assert texts("<head><title>t</title></head><p>x</p></head>y") == ["x", "y"]
+    assert texts("<body>a<button>Go<p>b<div>c</div>") == ["a", "b", "c"]
+    assert texts("<body>a<button><div>Go</div></button>b") == ["a", "b"]
+    assert texts("<body><button>Go<button>On</button>b") == ["b"]
+    assert texts("<body><button>Go<p>a</p><button><p>On</p></button>b") == ["a", "b"]
+    assert texts("<body><select><option>x<option>y<div>b</div><select><option>z</select>c") == ["b", "c"]
+    assert texts("<body><svg><g><path d='x'><text>no</text><p>b</p>") == ["b"]
+    assert texts("<body><svg><svg></svg><text>no</text></svg>b") == ["b"]
+    assert texts("<body><template><button>no<p>no</p></template>b") == ["b"]
+    assert texts("<body>" + "<svg>" * 30_000 + "<p>b") == ["b"]
+
+
 def test_paths_and_links():
     page = '<body><div class="Main-col box" id=top><ul><li><a href="/x">go <b>on</b></a> now</ul></div><nav>n</nav>'
     first, second = blocks_of(page)
