@@ -20,6 +20,8 @@ from dugout.sources.schema import PITCH_SCHEMA, PREDICTION_SCHEMA
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: What fitted models give, which no SQL can: tests/test_model_figures.py holds it against plain figures.
+FIGURES: dict[str, Query] = {}
 SEASONS = FIXTURE_SEASONS
 
 #: Runtime parameters of the report queries.
@@ -35,6 +37,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def figures(fn: Query) -> Query:
+    FIGURES[fn.__name__] = fn
+    return fn
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pitches(spark, sf_dir)
 
@@ -715,63 +722,132 @@ def screened(spark, sf_dir):
     return modelling.fit(imputed, modelling.screening_forest(**SMALL_FOREST), recipe), train, left
 
 
-@query
-def rf_screen(spark, sf_dir):
-    """Forest on the imputed training part, applied to the rows to predict, filled from training rows:
-    is each figure known and possible?"""
+@figures
+def rf_screen_predictions(spark, sf_dir):
+    """Forest on the imputed training part, applied to the rows to predict, filled from training rows."""
     model, train, left = screened(spark, sf_dir)
     rows = scratch.materialize(predicted(spark, sf_dir, None).drop("prediction"), "to-predict")
     scored = modelling.predict(model, fill_from_neighbours(rows, left, block=(), donors=train))
+    return scored.select(*CELL, "prediction")
+
+
+@query
+def rf_screen(spark, sf_dir):
+    """Check of ``rf_screen_predictions``: is each figure known and possible?"""
     fine = F.coalesce(F.col("prediction") >= 0, F.lit(False)).cast("int")
-    return scored.select(*CELL, fine.alias("known_and_not_negative"))
+    return rf_screen_predictions(spark, sf_dir).select(*CELL, fine.alias("known_and_not_negative"))
+
+
+@figures
+def variable_importance_scores(spark, sf_dir):
+    """The model's inputs with their importances, the largest at 100."""
+    return modelling.variable_importance(spark, screened(spark, sf_dir)[0])
 
 
 @query
 def variable_importance(spark, sf_dir):
-    """The model's inputs; importances are on a scale from 0 with the largest at 100."""
-    scores = modelling.variable_importance(spark, screened(spark, sf_dir)[0])
+    """Check of ``variable_importance_scores``: importances are on a scale from 0 with the largest at 100."""
+    scores = variable_importance_scores(spark, sf_dir)
     top = scores.agg(F.max("importance").alias("top")).first()["top"]
     on_scale = F.col("importance").between(0.0, 100.0) & F.lit(abs(top - 100.0) < 1e-9)
     return scores.select("variable", on_scale.cast("int").alias("on_scale"))
 
 
-@query
-def gbt_fit(spark, sf_dir):
-    """Fitted on the training part: does it beat the outcome's own spread on the holdout?"""
-    rows = split_rows(spark, sf_dir)
-    scored = modelling.predict(fitted(rows.where("is_train")), holdout(rows))
+def scored_holdout(rows: DataFrame, point: modelling.Point) -> DataFrame:
+    """Holdout rows with the prediction of a model of that point, fitted on the training part."""
+    model = modelling.fit(rows.where("is_train"), modelling.boosted_trees(point))
+    return modelling.predict(model, holdout(rows))
+
+
+def with_spread(scored: DataFrame) -> DataFrame:
+    """Metrics of predictions beside the outcome's own spread, which a model that learned anything beats."""
     found = evaluation.regression_metrics(scored, features.OUTCOME, "prediction")
-    spread = F.lit(holdout(rows).agg(F.stddev_samp(features.OUTCOME)).first()[0])
-    better = F.when(F.col("metric") == "rsq", F.col("estimate").between(0.0, 1.0 + 1e-9)).otherwise(F.col("estimate") < spread)
-    return found.select("metric", better.cast("int").alias("better_than_spread"))
+    return found.withColumn("spread", F.lit(scored.agg(F.stddev_samp(features.OUTCOME)).first()[0]))
+
+
+@figures
+def gbt_fit_metrics(spark, sf_dir):
+    """Fitted on the training part: rmse, rsq and mae on the holdout."""
+    return with_spread(scored_holdout(split_rows(spark, sf_dir), SMALL_FIT))
 
 
 @query
-def tune_grid(spark, sf_dir):
+def gbt_fit(spark, sf_dir):
+    """Check of ``gbt_fit_metrics``: does the fit beat the outcome's own spread on the holdout?"""
+    within = F.col("estimate").between(0.0, 1.0 + 1e-9)
+    better = F.when(F.col("metric") == "rsq", within).otherwise(F.col("estimate") < F.col("spread"))
+    return gbt_fit_metrics(spark, sf_dir).select("metric", better.cast("int").alias("better_than_spread"))
+
+
+#: What tells one tuned setting from another.
+TUNED = ["min_n", "mtry", "trees"]
+
+
+@figures
+def tune_grid_metrics(spark, sf_dir):
+    """Mean, standard error and number of resamples of each metric at each grid point."""
     train = training(spark, sf_dir)
     folds = split.stratified_folds(train, folds=2, repeats=1)
     resamples = modelling.tune_grid(train, scratch.materialize(folds, "folds"), SMALL_GRID)
-    summary = evaluation.cv_summary(resamples, ["min_n", "mtry", "trees"])
-    return summary.select("min_n", "mtry", "trees", "metric", "n")
+    return evaluation.cv_summary(resamples, TUNED).select(*TUNED, "metric", "mean", "std_err", "n")
 
 
 @query
-def predict_batch(spark, sf_dir):
-    """The whole path with the model in place of the stand-in: do the published shares make a whole?"""
+def tune_grid(spark, sf_dir):
+    """Check of ``tune_grid_metrics``: is each metric of each grid point known on all resamples?"""
+    return tune_grid_metrics(spark, sf_dir).select(*TUNED, "metric", "n")
+
+
+@figures
+def show_best(spark, sf_dir):
+    """The five best grid points by each metric, best first."""
+    summary = scratch.materialize(tune_grid_metrics(spark, sf_dir), "tuned")
+    best = [evaluation.show_best(summary, metric, TUNED) for metric in evaluation.METRICS]
+    return best[0].unionByName(best[1]).unionByName(best[2])
+
+
+@figures
+def select_best(spark, sf_dir):
+    """The grid point with the highest mean rsq."""
+    return evaluation.show_best(tune_grid_metrics(spark, sf_dir), "rsq", TUNED, 1).select(*TUNED)
+
+
+@figures
+def final_fit(spark, sf_dir):
+    """The selected point, fitted on the whole training part: its metrics on the holdout."""
+    point = modelling.best_point(tune_grid_metrics(spark, sf_dir))
+    found = with_spread(scored_holdout(split_rows(spark, sf_dir), point))
+    return found.select(F.lit(point.min_n).alias("min_n"), F.lit(point.mtry).alias("mtry"), F.lit(point.trees[0]).alias("trees"), "*")
+
+
+@figures
+def predict_batch_shares(spark, sf_dir):
+    """The whole path with the model in place of the stand-in: the published table."""
     rows = split_rows(spark, sf_dir)
     model = fitted(rows.where("is_train"))
     scored = modelling.predict(model, predicted(spark, sf_dir, None).drop("prediction"))
-    final = report.final_predictions(scored, SEASONS)
+    return report.final_predictions(scored, SEASONS)
+
+
+@query
+def predict_batch(spark, sf_dir):
+    """Check of ``predict_batch_shares``: do the published shares make a whole?"""
     parts = [F.coalesce(F.col(f"PITCH_TYPE_{g}"), F.lit(0.0)) for g in GROUPS]
-    return final.select("BATTER_ID", "PLAYER_NAME", "GAME_YEAR", (F.abs(sum(parts) - 1) < 1e-9).cast("int").alias("whole"))
+    whole = (F.abs(sum(parts) - 1) < 1e-9).cast("int").alias("whole")
+    return predict_batch_shares(spark, sf_dir).select("BATTER_ID", "PLAYER_NAME", "GAME_YEAR", whole)
+
+
+@figures
+def bind_columns_predictions(spark, sf_dir):
+    """Predictions beside the holdout rows they belong to."""
+    return scored_holdout(split_rows(spark, sf_dir), SMALL_FIT).select(*CELL, "num_pitches", "prediction")
 
 
 @query
 def bind_columns(spark, sf_dir):
-    """Predictions beside the holdout rows they belong to."""
-    rows = split_rows(spark, sf_dir)
-    scored = modelling.predict(fitted(rows.where("is_train")), holdout(rows))
-    return scored.select(*CELL, "num_pitches", F.col("prediction").isNotNull().cast("int").alias("predicted"))
+    """Check of ``bind_columns_predictions``: has each holdout row its prediction?"""
+    known = F.col("prediction").isNotNull().cast("int")
+    return bind_columns_predictions(spark, sf_dir).select(*CELL, "num_pitches", known.alias("predicted"))
 
 
 @query
