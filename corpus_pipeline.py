@@ -19,11 +19,14 @@ def _unpacked(rows: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that no learned language explains."""
+    """Drops texts without a letter and texts that no learned language explains; keeps those too short to tell."""
     ship(spark)
     model = language.fit(docs)
-    rows = docs.select(boxed(docs).alias("row"), language.identify(docs, model).alias("found"))
-    return _unpacked(rows.filter((F.col("found.lang") != language.UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE)), docs)
+    rows = docs.select(
+        boxed(docs).alias("row"), language.identify(docs, model).alias("found"), language.too_short(col("text")).alias("too_short")
+    )
+    known = (F.col("found.score") >= MIN_LANGUAGE_SCORE) | F.col("too_short")
+    return _unpacked(rows.filter((F.col("found.lang") != language.UNKNOWN) & known), docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
                 yield pd.DataFrame({"lang": name, "gram": found.view(np.int64)})
 
     docs = {r["lang"]: r["docs"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()}
-    least = F.create_map(*[x for name, n in docs.items() for x in (F.lit(name), F.lit(max(2, MIN_SHARE * n)))]) if docs else None
+    least = F.create_map(*[x for name, n in docs.items() for x in (F.lit(name), F.lit(max(min(2, n), MIN_SHARE * n)))]) if docs else None
     languages = sorted(docs)
     grams = {name: np.array([], dtype=np.uint64) for name in languages}
     if languages:
@@ -162,6 +162,11 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
     return LanguageFilter(languages, grams)
 
 
+def too_short(text: Column) -> Column:
+    """Whether a text has a letter but no gram, a single one between any other characters; nothing can be said of it."""
+    return F.coalesce(F.rlike(text, F.lit(r"^\P{L}*\p{L}\P{L}*\z")), F.lit(False))
+
+
 def identify(docs: DataFrame, model: LanguageFilter, *, text: str = "text") -> Column:
     """Column struct(lang, score) of a text.
 

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from corpus_pipeline import keep_known_languages
 from dugout.llm import language
-from dugout.llm.language import GRAM, Grams, LanguageFilter, fit, identify
+from dugout.llm.language import GRAM, Grams, LanguageFilter, fit, identify, too_short
 from fixtures import LONG, empty_docs
 
 SOUNDS = {"aa": "ka lo mi nu", "bb": "stra plen grif dorn", "cc": "жа ло ми ну"}
@@ -40,6 +42,24 @@ def test_defined_results(spark):
     assert out[4]["lang"] == "aa" and out[5]["lang"] in SOUNDS
 
 
+def test_texts_too_short_for_a_gram_stay_in_the_pipeline(spark, sf_dir):
+    short = [(9101, "A.", "aa", "x"), (9102, "1 É\n", "aa", "x"), (9103, "1.\n", "aa", "x"), (9104, "ŋŋŋŋŋŋ", None, "x"), (9105, "", None, "x")]
+    docs = labelled(spark).unionByName(spark.createDataFrame(short, "doc_id long, text string, lang string, score string"))
+    kept = {r["doc_id"] for r in keep_known_languages(spark, docs, sf_dir).collect()}
+    assert kept & set(range(9100, 9200)) == {9101, 9102}
+    grams = Grams()
+    for t in ("A.", "1 É\n", "a b", "ab"):
+        row = spark.createDataFrame([(t,)], "text string").select(too_short(F.col("text")).alias("s")).first()
+        assert row["s"] == (sum(len(h) for h, _ in grams.pieces([t])) == 0)
+
+
+def test_a_language_with_one_document(spark):
+    one = spark.createDataFrame([(9200, "zuvex qorim " * 9, "dd", "x")], "doc_id long, text string, lang string, score string")
+    docs = labelled(spark).unionByName(one)
+    found = one.select(identify(docs, fit(docs)).alias("f")).first()["f"]
+    assert found["lang"] == "dd" and found["score"] > 0.9
+
+
 def test_nothing_learned(spark):
     docs = empty_docs(spark)
     model = fit(docs)
