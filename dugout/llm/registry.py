@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dugout.llm.common import table, word_count
 from dugout.llm.containment import find_items
-from dugout.llm import labeller, language, licenses, tokenfiles
+from dugout.llm import labeller, language, licenses, syncmers, tokenfiles
 from dugout.llm.forest import nearest
 from dugout.llm.mixing import systematic_mix
 from dugout.llm.quotes import link_quotes
@@ -113,6 +113,19 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.printed(F.col("anchors")).alias("fingerprint"),
+        syncmers.printed(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 SQL["op10_systematic_mix"] = r"""
 WITH docs AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
