@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from dugout.llm.common import table, word_count
 from dugout.llm.containment import find_items
+from dugout.llm.convtrie import prefix_trie
+from dugout.llm.divergence import audit
 from dugout.llm import labeller, language, licenses, syncmers, tokenfiles
 from dugout.llm.forest import nearest
 from dugout.llm.mixing import systematic_mix
@@ -126,6 +128,16 @@ def op12_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("id")
+
+
+@query
+def op13_one_hot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 SQL["op10_systematic_mix"] = r"""
 WITH docs AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
@@ -253,3 +265,76 @@ SELECT conv_id, turn, role,
        (row_number() OVER (PARTITION BY t.conv, conv_id IS NULL ORDER BY thread_at, root, t.at_turn, t.id) - 1)::BIGINT AS position
 FROM threads t JOIN shapes USING (id) JOIN texts x ON x.id = t.id AND x.level = 0
 """
+
+SQL["op11_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 of the decimal number: each byte is added, then eight steps (-1) shift a bit out.
+convs AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+           lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END),
+         4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT v.c, t.place, 0 AS own, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.place <= v.h
+  UNION ALL SELECT v.c, t.place, 1, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.place > v.h),
+placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, place) AS d, md5(length(role)::VARCHAR || ':' || role || text) AS turn,
+         strlen(text)::BIGINT AS size FROM rebuilt),
+walks AS (
+  SELECT c, d, size, md5(string_agg(turn, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS id,
+         d = count(*) OVER (PARTITION BY c) AS ends FROM placed
+  UNION ALL SELECT c, 0, 0, '', c NOT IN (SELECT c FROM placed) FROM convs),
+linked AS (
+  SELECT *, lag(id) OVER (PARTITION BY c ORDER BY d) AS parent FROM walks),
+nodes AS (
+  SELECT id, d, any_value(parent) AS parent, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(size) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends
+  FROM linked GROUP BY id, d),
+kids AS (SELECT parent AS id, count(*) AS kids FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT w.id, w.d, sum(x.saved) AS saved, count(*) FILTER (WHERE x.leaf) AS leaves
+  FROM (SELECT nodes.*, id NOT IN (SELECT id FROM kids) AS leaf FROM nodes) x JOIN linked w ON w.c = x.c AND w.d <= x.d GROUP BY w.id, w.d)
+SELECT nodes.c AS conv_id, nodes.d::BIGINT AS depth, p.c AS parent_conv_id, nodes.n::BIGINT AS n_convs,
+       coalesce(kids.kids, 0)::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens,
+       nodes.ends AS ends_sha256
+FROM nodes JOIN below ON below.id = nodes.id AND below.d = nodes.d LEFT JOIN kids ON kids.id = nodes.id
+LEFT JOIN nodes p ON p.id = nodes.parent AND p.d = nodes.d - 1
+"""
+
+SQL["op13_one_hot_levels"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+used AS (SELECT doc, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM used GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS n_all FROM kept GROUP BY lang),
+sources AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT s.lang, s.source, k.term, k.n_lang, coalesce(c.n, 0) AS n
+  FROM sources s JOIN kept k USING (lang)
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM used GROUP BY lang, source, term) c USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, n,
+         1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p,
+         1 + (1000000000::HUGEINT * (n_lang + 1)) // (n_all + v) AS q
+  FROM cells JOIN langs USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 200
+"""
