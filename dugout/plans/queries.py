@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions import formats, measures
 from dugout.functions.flags import with_flags
-from dugout.operators import columns, ingest, joins, ranking, reshape, shares, split, topk
+from dugout.operators import columns, ingest, joins, ranking, reshape, shares, similar, split, topk
 from dugout.operators import correlation as corr
 from dugout.params import BATTER, BATTER_YEAR, CELL, CORR_CUTOFF, FIXTURE_SEASONS, GROUPS
 from dugout.operators.knn import impute_knn as fill_from_neighbours
@@ -580,6 +580,13 @@ def similarity_table(spark, sf_dir):
     return topk.similarity_table(distances(spark, sf_dir))
 
 
+@query
+def similarity_table_all(spark, sf_dir):
+    """Most and least similar hitters of every hitter of the season."""
+    wide = scratch.materialize(report.report_wide(*report_inputs(spark, sf_dir), SEASONS), "report-wide")
+    return similar.similarity_of_all(wide, SEASONS.target_year, MIN_PITCHES)
+
+
 # --- formats -------------------------------------------------------------------------
 
 

@@ -14,7 +14,6 @@ from dugout.functions import measures as M
 from dugout.operators.ingest import batting_team
 from dugout.operators.shares import share, share_by_year, share_overall
 from dugout.params import BATTER, BATTER_YEAR, CELL
-from dugout.sources.scratch import materialize
 
 
 def with_pred_year(df: DataFrame) -> DataFrame:
@@ -64,19 +63,21 @@ def cell_buffers(pitches: DataFrame) -> DataFrame:
 def multi_grain(pitches: DataFrame) -> DataFrame:
     """All three grains stacked, told apart by ``grain``.
 
-    The cell buffers are a fraction of the pitches. They are written once and all three grains read
-    them, as each grain needs other buffers and no exchange would be the same for two of them.
+    Pitches are scanned and shuffled once, reduced to cell buffers by the partial aggregate. One expand of the cells,
+    a fraction of the pitches, serves all grains; nothing is written.
     """
-    cells = materialize(cell_buffers(pitches), "buffers")
-    year = cells.groupBy(*BATTER_YEAR).agg(*_named(M.from_buffers(M.summed)))
-    overall = cells.groupBy(*BATTER, "pitch_group").agg(*_named(M.from_buffers(M.summed, overall=True)))
-    fine = cells.select(*CELL, *_named(M.from_buffers(M.plain)))
-    tagged = [
-        df.withColumn("grain", F.lit(name)) for name, df in (("year", year), ("cell", fine), ("overall", overall))
+    cells = cell_buffers(pitches)
+    grains = [[F.col(c) for c in keys] for keys in (BATTER_YEAR, CELL, (*BATTER, "pitch_group"))]
+    sums = [F.sum(c).alias(c) for c in cells.columns if c not in CELL]
+    # One bit per key column, set where the grain adds up over it.
+    rows = cells.groupingSets(grains, *CELL).agg(*sums, F.grouping_id().alias("over"))
+    of_all, plain = M.from_buffers(M.plain, overall=True), M.from_buffers(M.plain)
+    measures = [
+        (F.when(F.col("over") == 2, of_all[m]).otherwise(plain[m]) if m in (*M.RATES, *M.IN_PLAY_ONLY) else plain[m]).alias(m)
+        for m in plain
     ]
-    return (
-        tagged[0].unionByName(tagged[1], allowMissingColumns=True).unionByName(tagged[2], allowMissingColumns=True)
-    )
+    grain = F.when(F.col("over") == 0, "cell").when(F.col("over") == 1, "year").otherwise("overall")
+    return rows.select(*CELL, *measures, grain.alias("grain"))
 
 
 def player_cells(pitches: DataFrame) -> DataFrame:
@@ -99,7 +100,3 @@ def player_cells(pitches: DataFrame) -> DataFrame:
         share("total_pitches", BATTER_YEAR).alias("prop"),
         F.col("total_pitches").alias("num_pitches"),
     )
-
-
-def _named(cols: dict) -> list:
-    return [col.alias(name) for name, col in cols.items()]

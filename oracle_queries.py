@@ -517,6 +517,18 @@ FROM (SELECT player_name, row_number() OVER (ORDER BY distance {way}, batter_id)
                 for label, way in (("Most Similar", "ASC"), ("Least Similar", "DESC"))
             ),
         ),
+        "similarity_table_all": q(
+            "wide",
+            f""", season AS (SELECT * FROM wide WHERE game_year = {TARGET}), ranked AS (
+ SELECT a.batter_id, a.player_name, b.player_name AS other, v.value, row_number() OVER (
+  PARTITION BY a.batter_id, a.player_name, v.value ORDER BY v.sign * ((a."FB" - b."FB") * (a."FB" - b."FB")
+  + (a."BB" - b."BB") * (a."BB" - b."BB") + (a."OS" - b."OS") * (a."OS" - b."OS")), b.batter_id, b.player_name) AS k
+ FROM (VALUES ('Most Similar', 1.0::DOUBLE), ('Least Similar', -1.0::DOUBLE)) v(value, sign), season a
+ LEFT JOIN season b ON b.num_pitches >= {MIN_PITCHES} AND (a.batter_id <> b.batter_id OR a.player_name <> b.player_name))
+SELECT batter_id, player_name, value, max(other) FILTER (WHERE k = 1) AS player_1,
+ max(other) FILTER (WHERE k = 2) AS player_2, max(other) FILTER (WHERE k = 3) AS player_3
+FROM ranked GROUP BY batter_id, player_name, value""",
+        ),
         "format_number_styles": q(
             "card",
             f"""SELECT batter_id, player_name, pitch_group, metric,

@@ -1,0 +1,90 @@
+"""Similar hitters of every hitter, against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from dugout.operators import similar
+from dugout.params import GROUPS
+
+SHAPE = "batter_id long, player_name string, game_year int, num_pitches long, FB double, BB double, OS double"
+
+
+def hitters(seed: int, n: int, kind: str):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if kind == "lattice":
+            whole = rng.choice([1, 2, 4, 8])
+            a = rng.randrange(whole + 1)
+            b = rng.randrange(whole - a + 1)
+            shares = (a / whole, b / whole, (whole - a - b) / whole)
+        elif kind == "corner":
+            a = rng.random() * 1e-4
+            shares = (1 - a, a * rng.random(), a / 2)
+        else:
+            x, y, z = (rng.random() for _ in range(3))
+            shares = tuple(v / (x + y + z) for v in (x, y, z))
+        rows.append((i, f"p{i}", 2024, rng.randrange(100), *shares))
+    return rows + [(n, "unknown", 2024, 50, None, 0.5, 0.5), (n + 1, "another year", 2023, 99, 0.2, 0.3, 0.5)]
+
+
+def all_pairs(rows, least: int, k: int):
+    of = {}
+    for r in rows:
+        if r[2] != 2024:
+            continue
+        far = []
+        for o in rows:
+            if o[2] == 2024 and o[3] >= least and o[0] != r[0] and None not in r + o:
+                f, b, s = (x - y for x, y in zip(r[4:], o[4:]))
+                far.append((f * f + b * b + s * s, o[0], o[1]))
+        for label, order in (("Most Similar", far), ("Least Similar", [(-d, i, n) for d, i, n in far])):
+            of[r[0], label] = [n for _, _, n in sorted(order)[:k]]
+    return of
+
+
+def got(spark, rows, least, k=3, **more):
+    df = similar.similarity_of_all(spark.createDataFrame(rows, SHAPE), 2024, least, k, **more)
+    out = df.collect()
+    places = {(r.batter_id, r.value): [r[f"player_{i}"] for i in range(1, k + 1) if r[f"player_{i}"]] for r in out}
+    assert len(places) == len(out)
+    return places
+
+
+@pytest.mark.parametrize(("kind", "cell_points"), [("lattice", 1), ("corner", 4), ("spread", 2), ("spread", 1000)])
+def test_same_as_all_pairs(spark, kind, cell_points):
+    rows = hitters(3, 150, kind)
+    assert got(spark, rows, 30, cell_points=cell_points) == all_pairs(rows, 30, 3)
+
+
+def test_few_hitters_and_none(spark):
+    rows = [(1, "a", 2024, 5, 1.0, 0.0, 0.0), (2, "b", 2024, 5, 1.0, 0.0, 0.0), (3, "c", 2024, 0, 0.0, 1.0, 0.0)]
+    assert got(spark, rows, 1) == all_pairs(rows, 1, 3)
+    assert got(spark, rows, 99) == {(i, v): [] for i in (1, 2, 3) for v in ("Most Similar", "Least Similar")}
+    assert got(spark, [], 1) == {}
+
+
+def test_a_crowd_with_equal_shares_is_one_point(spark):
+    """A third of all hitters share one point: the search holds a bounded number of them and of cells."""
+    rows = hitters(5, 200, "spread") + [(1000 + i, f"q{i}", 2024, 60, 0.5, 0.25, 0.25) for i in range(100)]
+    assert got(spark, rows, 30, cell_points=2) == all_pairs(rows, 30, 3)
+    frame = spark.createDataFrame(rows, SHAPE).where("game_year = 2024 and FB is not null")
+    points = similar.share_points(frame, 4)
+    assert points.selectExpr("max(size(first))").first()[0] == 4 and points.count() == 201
+    # A grid whose widest cell is bounded is found for these points.
+    widest = lambda level: similar.grid(points, level).selectExpr("max(cell_points)").first()[0]
+    assert min(level for level in range(similar.LAST) if widest(level) <= 2) < similar.LAST
+
+
+def test_cells_stay_few(spark):
+    """A search keeps the cells near its edge, not all cells: far fewer than points times cells."""
+    rows = [r for r in hitters(8, 600, "spread") if r[2] == 2024 and r[4] is not None]
+    points = similar.share_points(spark.createDataFrame(rows, SHAPE), 4)
+    targets = points.selectExpr("point as target", *(f"{g} as t_{g}" for g in GROUPS))
+    cells = similar.grid(points, 5)
+    for nearest in (True, False):
+        kept = similar._open_cells(targets.join(cells, how="cross"), 4, nearest)
+        assert kept.count() < 0.12 * len(rows) * cells.count()
