@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 from dugout.llm.common import col
 from dugout.sources.scratch import materialize
 
-#: A term, of text whose A-Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of a term: ASCII letters, upper case as lower case, and all that is not ASCII; others stand between terms.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Documents of a language that a kept term stands in.
 MIN_DOCS = 3
 #: Shares are whole numbers of this part.
@@ -24,49 +23,63 @@ SCALE = 1_000_000_000
 #: Terms of one block of the matrix, and sources of one tile of its columns.
 BLOCK, TILE = 512, 64
 #: Counted terms a task holds before it hands them on, and texts read at once.
-HELD, SLICE = 200_000, 256
+HELD, SLICE = 400_000, 256
 
 COUNTS_SCHEMA = "lang string, source string, term string, n long, docs long"
 JOINT_SCHEMA = "lang string, a int, level_a long, b int, level_b long, n long"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by language and source, added up within the task."""
-    term = re.compile(TERM)
     n: dict = defaultdict(Counter)
     docs: dict = defaultdict(Counter)
     held = 0
 
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, source, t, k, docs[lang, source][t]) for (lang, source), own in n.items() for t, k in own.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        names = [part.split()[0] for part in COUNTS_SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), own in n.items():
+            seen = docs[lang, source]
+            if own:
+                columns = [pa.array([lang] * len(own), pa.string()), pa.array([source] * len(own), pa.string())]
+                columns.append(pa.array(own.keys(), pa.binary()).cast(pa.string()))
+                columns += [pa.array(own.values(), pa.int64()), pa.array(map(seen.__getitem__, own), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+        n.clear(), docs.clear()
 
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             rows = batch.slice(at, SLICE)
-            for lang, source, text in zip(*(c.to_pylist() for c in rows.columns)):
-                own, seen = n[lang, source], docs[lang, source]
+            texts = rows.column(2).cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), texts):
+                own = n[lang, source]
                 before = len(own)
-                found = Counter(term.findall(text.translate(_LOWER)))
-                own.update(found)
-                seen.update(found.keys())
+                words = text.translate(TERM_BYTES).split()
+                own.update(words)
+                docs[lang, source].update(set(words))
                 held += len(own) - before
                 if held > HELD:
-                    yield flush()
-                    n.clear(), docs.clear()
+                    yield from flush()
                     held = 0
-    yield flush()
+    yield from flush()
 
 
-def term_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs) over all documents."""
-    named = [F.coalesce(col(c), F.lit("")).alias(c) for c in (lang, source, text)]
-    parts = docs.select(*named).mapInArrow(counted, COUNTS_SCHEMA)
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def term_cells(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, term, cells, n_lang) of kept terms: cells is an array of (source number, occurrences).
+
+    Tasks have added up their texts before, so a term is dealt once, with all its sources.
+    """
+    parts = named.select("lang", "source", "text").mapInArrow(counted, COUNTS_SCHEMA)
+    dealt = parts.join(groups.select("lang", "source", "number"), ["lang", "source"]).repartition("lang", "term")
+    cells = dealt.groupBy("lang", "term", "number").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return (
+        cells.groupBy("lang", "term")
+        .agg(
+            F.collect_list(F.struct("number", "n")).alias("cells"),
+            F.sum("n").alias("n_lang"),
+            F.sum("docs").alias("docs"),
+        )
+        .filter(F.col("docs") >= MIN_DOCS)
+        .drop("docs")
+    )
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -118,29 +131,21 @@ def block_tables(key: tuple, rows: pd.DataFrame, tile: int) -> pd.DataFrame:
     return pd.DataFrame(named).astype(kinds).assign(lang=lang)[["lang", "a", "level_a", "b", "level_b", "n"]]
 
 
-def joint_tables(kept: DataFrame, groups: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+def joint_tables(kept: DataFrame, langs: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(lang, a, level_a, b, level_b, n): terms of a language with these counts in sources number a and b, a < b.
 
-    ``kept`` holds (lang, source, term, n) of kept terms, ``groups`` (lang, source, number, sources, terms). A
-    language's terms are dealt into blocks of bounded size and its sources into tiles; each block meets each pair of
-    tiles once, and the products of the blocks are added up.
+    ``kept`` holds (lang, term, cells), ``langs`` (lang, sources, terms). A language's terms are dealt into blocks of
+    bounded size and its sources into tiles; each block meets each pair of tiles once, and the products of the blocks
+    are added up.
     """
-    rows = (
-        kept.join(groups.select("lang", "source", "number", "sources", "terms"), ["lang", "source"])
-        .groupBy("lang", "term")
-        .agg(
-            F.collect_list(F.struct("number", "n")).alias("cells"),
-            F.first("sources").alias("n_sources"),
-            F.first("terms").alias("terms"),
-        )
-    )
-    tiles = F.ceil(F.col("n_sources") / tile).cast("int") - 1
+    tiles = F.ceil(F.col("sources") / tile).cast("int") - 1
     dealt = (
-        rows.withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / block)).cast("long"))
+        kept.join(langs.select("lang", F.col("sources"), "terms"), "lang")
+        .withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / block)).cast("long"))
         .withColumn("tile_a", F.explode(F.sequence(F.lit(0), tiles)))
         .withColumn("tile_b", F.explode(F.sequence(F.col("tile_a"), tiles)))
         .select(
-            "lang", "block", "tile_a", "tile_b", "n_sources",
+            "lang", "block", "tile_a", "tile_b", F.col("sources").alias("n_sources"),
             F.col("cells.number").alias("sources"), F.col("cells.n").alias("counts"),
         )
     )
@@ -166,25 +171,25 @@ def audit(
     within tasks before anything is shuffled, so a group with a third of all rows is a few rows per task by then.
     """
     named = docs.select(*[F.coalesce(col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts = materialize(term_counts(named), "counts")
-    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"))
-    terms = terms.filter(F.col("docs") >= MIN_DOCS).drop("docs")
-    kept = materialize(counts.drop("docs").join(terms, ["lang", "term"]), "kept")
-
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_distinct("term").alias("terms"))
     own = Window.partitionBy("lang")
-    groups = (
+    sources = (
         named.select("lang", "source").distinct()
-        .join(totals, ["lang", "source"], "left")
-        .join(langs, "lang", "left")
-        .fillna(0, ["total", "lang_total", "terms"])
         .withColumn("number", (F.row_number().over(own.orderBy("source")) - 1).cast("int"))
         .withColumn("sources", F.count(F.lit(1)).over(own).cast("int"))
     )
+    sources = materialize(sources, "sources")
+    rows = materialize(term_cells(named, sources), "kept")
+    langs = rows.groupBy("lang").agg(F.sum("n_lang").alias("lang_total"), F.count(F.lit(1)).alias("terms"))
+    kept = rows.select("lang", "term", "n_lang", F.explode("cells").alias("cell")).select("lang", "term", "n_lang", "cell.*")
+    totals = kept.groupBy("lang", "number").agg(F.sum("n").alias("total"))
+    groups = (
+        sources.join(totals, ["lang", "number"], "left")
+        .join(langs, "lang", "left")
+        .fillna(0, ["total", "lang_total", "terms"])
+    )
     groups = materialize(groups, "groups")
 
-    joint = materialize(joint_tables(kept, groups, block, tile), "joint")
+    joint = materialize(joint_tables(rows, groups.select("lang", "sources", "terms").distinct(), block, tile), "joint")
     side = lambda x: groups.select(
         "lang", F.col("number").alias(x), F.col("source").alias(f"source_{x}"), F.col("total").alias(f"total_{x}"),
         *(["terms"] if x == "a" else []),
@@ -220,7 +225,7 @@ def audit(
     p = share(F.col("n"), F.col("total"), F.col("terms"))
     q = share(F.col("n_lang"), F.col("lang_total"), F.col("terms"))
     ahead = (
-        kept.join(groups, ["lang", "source"])
+        kept.join(groups, ["lang", "number"])
         .withColumns({"p": p, "q": q})
         .filter("p > q")
         .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), price(F.col("p"), F.col("q")).alias("value"))

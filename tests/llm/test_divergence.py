@@ -12,8 +12,9 @@ from compare import differences, duck
 from fixtures import awkward_docs, empty_docs
 
 import __spark_entry__ as contract
-from dugout.llm.divergence import TERM, audit, block_tables
+from dugout.llm.divergence import audit, block_tables
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 COLUMNS = ["lang", "source", "part", "item", "value", "rank"]
 
 
