@@ -10,14 +10,15 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.operators.joins import left_join
-from dugout.params import CELL, SEED
-from dugout.plans.evaluation import METRICS, metric_columns, show_best
+from dugout.params import CELL, FOLDS, REPEATS, SEED
+from dugout.plans.evaluation import show_best
 from dugout.plans.features import OUTCOME, Recipe, fit_recipe
-from dugout.sources.scratch import materialize
+from dugout.plans.tuning import KEPT, ResultStore, Task
+from dugout.sources.scratch import materialize, scratch_dir
 
 #: Depth and learning rate the boosting library uses unless told otherwise.
 BOOST_DEPTH = 6
@@ -99,60 +100,71 @@ def _spaced(low: int, high: int, levels: int) -> list[int]:
     return sorted({low + (high - low) * i // (levels - 1) for i in range(levels)})
 
 
-def _prefix_metrics(model: GBTRegressionModel, rows: DataFrame, lengths: Sequence[int]) -> Row:
-    """Metrics after the first n trees for every n, in one job.
+def prefix_predictions(model: GBTRegressionModel, rows: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """Each row once per length n, with the prediction of the first n trees (columns trees and prediction).
 
     Boosting adds trees one by one, so the first n of a long fit are the fit of length n.
     """
     scored, weights = rows, model.treeWeights
     for t, tree in enumerate(model.trees):
         scored = tree.setFeaturesCol("features").setPredictionCol(f"tree_{t}").transform(scored)
-    found = []
-    for n in lengths:
-        total = sum((F.col(f"tree_{t}") * float(weights[t]) for t in range(min(n, len(weights)))), F.lit(0.0))
-        found += [col.alias(f"{name}__{n}") for name, col in metric_columns(OUTCOME, total).items()]
-    return scored.agg(*found).first()
+    total, found = F.lit(0.0), {0: F.lit(0.0)}
+    for t, weight in enumerate(weights):
+        total = total + F.col(f"tree_{t}") * float(weight)
+        found[t + 1] = total
+    each = [F.struct(F.lit(n).alias("trees"), found[min(n, len(weights))].alias("prediction")) for n in lengths]
+    return scored.select(*rows.columns, F.explode(F.array(*each)).alias("of")).select(*rows.columns, "of.*")
+
+
+def tasks_of(grid: Sequence[Point], resamples: Sequence[tuple[int, int]] | None = None) -> list[Task]:
+    """The fits of a grid, on all resamples of the usual folds unless others are named."""
+    usual = [(repeat, fold) for repeat in range(1, REPEATS + 1) for fold in range(FOLDS)]
+    return [Task(repeat, fold, p.min_n, p.mtry) for repeat, fold in resamples or usual for p in grid]
 
 
 def tune_grid(
     train: DataFrame,
     folds: DataFrame,
     grid: Sequence[Point],
-    parallelism: int = 4,
+    parallelism: int = 8,
+    store: ResultStore | None = None,
 ) -> DataFrame:
     """Metrics of every grid point on every resample: (min_n, mtry, trees, repeat, fold, metric, estimate).
 
     ``folds`` says which fold a row is held out in, per repeat. The recipe is learned anew on
-    each resample's own analysis rows, so nothing leaks from the rows it is judged on. Fits of
-    one resample run side by side as Spark jobs; what comes back is a few numbers per fit.
+    each resample's own analysis rows, so nothing leaks from the rows it is judged on. Recipes of
+    all resamples, then fits of all resamples and points run side by side as Spark jobs. Each fit
+    writes its predictions to the store; fits that are there are not run again. The metrics
+    come from the stored predictions. The driver holds the list of fits only.
     """
     spark = train.sparkSession
+    store = store or ResultStore(spark, scratch_dir(spark, "tuning"))
     resamples = [tuple(r) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
-    rows: list[tuple] = []
+    points = {(p.min_n, p.mtry): p for p in grid}
+    tasks = tasks_of(grid, resamples)
+    todo = store.missing(tasks)
+
+    def ready(resample: tuple[int, int]) -> DataFrame:
+        repeat, fold = resample
+        marked = left_join(train, folds.where(F.col("repeat") == repeat).select(*CELL, "fold"), CELL)
+        held_out = F.col("fold") == fold
+        recipe = fit_recipe(marked.where(~held_out))
+        return materialize(prepared(marked, recipe).select(*KEPT, "features", held_out.alias("held_out")), "resample")
+
+    def run(task: Task) -> None:
+        rows, point = tables[task.repeat, task.fold], points[task.min_n, task.mtry]
+        model = boosted_trees(point).fit(rows.where(~F.col("held_out")))
+        scored = prefix_predictions(model, rows.where("held_out").drop("held_out"), point.trees)
+        store.add(task, scored.select(*KEPT, "trees", "prediction"))
+
     pool = ThreadPool(parallelism)
     try:
-        for repeat, fold in resamples:
-            marked = left_join(train, folds.where(F.col("repeat") == repeat).select(*CELL, "fold"), CELL)
-            held_out = F.col("fold") == fold
-            recipe = fit_recipe(marked.where(~held_out))
-            ready = prepared(marked, recipe).select("features", OUTCOME, held_out.alias("held_out"))
-            ready = materialize(ready, "resample")
-
-            def run(point: Point, ready=ready, repeat=repeat, fold=fold) -> list[tuple]:
-                model = boosted_trees(point).fit(ready.where(~F.col("held_out")))
-                found = _prefix_metrics(model, ready.where("held_out"), point.trees)
-                return [
-                    (point.min_n, point.mtry, n, repeat, fold, metric, found[f"{metric}__{n}"])
-                    for n in point.trees
-                    for metric in METRICS
-                ]
-
-            for part in pool.map(inheritable_thread_target(run), grid):
-                rows += part
+        wanted = sorted({(t.repeat, t.fold) for t in todo})
+        tables = dict(zip(wanted, pool.map(inheritable_thread_target(spark)(ready), wanted)))
+        pool.map(inheritable_thread_target(spark)(run), todo, chunksize=1)
     finally:
         pool.close()
-    schema = "min_n int, mtry int, trees int, repeat int, fold int, metric string, estimate double"
-    return spark.createDataFrame(rows, schema)
+    return store.metrics(tasks).select("min_n", "mtry", "trees", "repeat", "fold", "metric", "estimate")
 
 
 def best_point(summary: DataFrame) -> Point:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from dugout.operators import columns, ingest, joins, ranking, reshape, shares, s
 from dugout.operators import correlation as corr
 from dugout.params import BATTER, BATTER_YEAR, CELL, CORR_CUTOFF, FIXTURE_SEASONS, GROUPS
 from dugout.operators.knn import impute_knn as fill_from_neighbours
-from dugout.plans import evaluation, features, model_table, modelling, report, summaries
+from dugout.plans import evaluation, features, filling, model_table, modelling, report, summaries, tuning
 from dugout.plans.standin import standin, with_standin
 from dugout.sources import files, lookup, scratch, tables
 from dugout.sources.schema import PITCH_SCHEMA, PREDICTION_SCHEMA
@@ -687,8 +688,7 @@ def regression_metrics(spark, sf_dir):
 
 #: Settings of the registered model queries; the full grid is ``modelling.regular_grid()``.
 SMALL_FIT = modelling.Point(min_n=12, mtry=17, trees=(5,))
-SMALL_GRID = [modelling.Point(n, 17, (1, 3)) for n in (12, 100)]
-SMALL_FOREST = {"trees": 10, "depth": 8}
+SMALL_GRID = [modelling.Point(n, 17, (2, 6)) for n in (12, 100)]
 
 
 def fitted(train: DataFrame):
@@ -718,45 +718,50 @@ def recipe_bake(spark, sf_dir):
 
 
 def screened(spark, sf_dir):
-    """Filter on correlation first, fill what it leaves from neighbours, then scale and fit.
+    """Filter on correlation first, fill what it leaves from neighbours, then scale and fit the screening forest.
 
-    Returns the model, the training rows before they were filled, and the columns that are filled.
+    Returns the model, whose first stage fills new rows from the training rows. It is fitted once per session and
+    data directory; the queries that read it share the stored model.
     """
-    train = training(spark, sf_dir)
-    left = [c for c in features.fit_recipe(train).inputs if c not in features.DUMMIES]
-    imputed = scratch.materialize(fill_from_neighbours(train, left, block=()), "imputed")
-    recipe = features.fit_recipe(imputed, numeric=left)
-    return modelling.fit(imputed, modelling.screening_forest(**SMALL_FOREST), recipe), train, left
+    path, fresh = scratch.shared_dir(spark, "screened", sf_dir, filling.impute_knn)
+    if fresh:
+        train = training(spark, sf_dir)
+        left = [c for c in features.fit_recipe(train).inputs if c not in features.DUMMIES]
+        filler = filling.NeighbourFill.fit(train, left)
+        imputed = scratch.materialize(filler.transform(train), "imputed")
+        recipe = features.fit_recipe(imputed, numeric=left)
+        model = modelling.fit(imputed, modelling.screening_forest(), recipe)
+        modelling.save(PipelineModel([filler, *model.stages]), path)
+    return modelling.load(path)
 
 
 @figures
 def rf_screen_predictions(spark, sf_dir):
     """Forest on the imputed training part, applied to the rows to predict, filled from training rows."""
-    model, train, left = screened(spark, sf_dir)
-    rows = scratch.materialize(predicted(spark, sf_dir, None).drop("prediction"), "to-predict")
-    scored = modelling.predict(model, fill_from_neighbours(rows, left, block=(), donors=train))
-    return scored.select(*CELL, "prediction")
+    rows = predicted(spark, sf_dir, None).drop("prediction")
+    return modelling.predict(screened(spark, sf_dir), rows).select(*CELL, "prediction")
 
 
 @query
 def rf_screen(spark, sf_dir):
-    """Check of ``rf_screen_predictions``: is each figure known and possible?"""
-    fine = F.coalesce(F.col("prediction") >= 0, F.lit(False)).cast("int")
-    return rf_screen_predictions(spark, sf_dir).select(*CELL, fine.alias("known_and_not_negative"))
+    """Check of ``rf_screen_predictions``: is each within the range of the training outcomes?"""
+    ends = training(spark, sf_dir).agg(F.min(features.OUTCOME).alias("lo"), F.max(features.OUTCOME).alias("hi")).first()
+    fine = F.coalesce(F.col("prediction").between(ends.lo, ends.hi), F.lit(False)).cast("int")
+    return rf_screen_predictions(spark, sf_dir).select(*CELL, fine.alias("in_range"))
 
 
 @figures
 def variable_importance_scores(spark, sf_dir):
     """The model's inputs with their importances, the largest at 100."""
-    return modelling.variable_importance(spark, screened(spark, sf_dir)[0])
+    return modelling.variable_importance(spark, screened(spark, sf_dir))
 
 
 @query
 def variable_importance(spark, sf_dir):
-    """Check of ``variable_importance_scores``: importances are on a scale from 0 with the largest at 100."""
+    """Check of ``variable_importance_scores``: are importances on a scale from 0, with exactly one at 100?"""
     scores = variable_importance_scores(spark, sf_dir)
-    top = scores.agg(F.max("importance").alias("top")).first()["top"]
-    on_scale = F.col("importance").between(0.0, 100.0) & F.lit(abs(top - 100.0) < 1e-9)
+    tops = scores.where(F.abs(F.col("importance") - 100) < 1e-9).count()
+    on_scale = F.col("importance").between(0.0, 100.0 + 1e-9) & F.lit(tops == 1)
     return scores.select("variable", on_scale.cast("int").alias("on_scale"))
 
 
@@ -787,16 +792,31 @@ def gbt_fit(spark, sf_dir):
 
 
 #: What tells one tuned setting from another.
-TUNED = ["min_n", "mtry", "trees"]
+TUNED = list(tuning.POINT)
+
+
+def tuned(spark, sf_dir) -> tuning.ResultStore:
+    """The registered grid on all 25 resamples, in a store that the queries of a session share and go on filling."""
+    path, fresh = scratch.shared_dir(spark, "tuning", sf_dir, modelling.tune_grid)
+    store = tuning.ResultStore(spark, path)
+    if fresh or not store.versions():
+        train = training(spark, sf_dir)
+        folds = scratch.materialize(split.stratified_folds(train), "folds")
+        store.publish(modelling.tune_grid(train, folds, SMALL_GRID, store=store))
+    return store
 
 
 @figures
 def tune_grid_metrics(spark, sf_dir):
-    """Mean, standard error and number of resamples of each metric at each grid point."""
-    train = training(spark, sf_dir)
-    folds = split.stratified_folds(train, folds=2, repeats=1)
-    resamples = modelling.tune_grid(train, scratch.materialize(folds, "folds"), SMALL_GRID)
-    return evaluation.cv_summary(resamples, TUNED).select(*TUNED, "metric", "mean", "std_err", "n")
+    """Mean, standard error and number of resamples of each metric at each grid point, from the published results."""
+    return evaluation.cv_summary(tuned(spark, sf_dir).published(), TUNED).select(*TUNED, "metric", "mean", "std_err", "n")
+
+
+@figures
+def tune_grid_predictions(spark, sf_dir):
+    """Kept predictions: each training row once per repeat and setting, predicted while it was held out."""
+    store = tuned(spark, sf_dir)
+    return store.predictions(modelling.tasks_of(SMALL_GRID)).select(*CELL, features.OUTCOME, *TUNED, *tuning.RESAMPLE, "prediction")
 
 
 @query
@@ -827,27 +847,39 @@ def final_fit(spark, sf_dir):
     return found.select(F.lit(point.min_n).alias("min_n"), F.lit(point.mtry).alias("mtry"), F.lit(point.trees[0]).alias("trees"), "*")
 
 
+def selected_model(spark, sf_dir, rows: DataFrame):
+    """The selected point, fitted on the training part once per session, data directory and point."""
+    point = modelling.best_point(tune_grid_metrics(spark, sf_dir))
+    path, fresh = scratch.shared_dir(spark, "selected", sf_dir, point)
+    if fresh:
+        modelling.save(modelling.fit(rows.where("is_train"), modelling.boosted_trees(point)), path)
+    return modelling.load(path)
+
+
 @figures
 def predict_batch_shares(spark, sf_dir):
-    """The whole path with the model in place of the stand-in: the published table."""
-    rows = split_rows(spark, sf_dir)
-    model = fitted(rows.where("is_train"))
+    """The whole path with the selected model in place of the stand-in: the published table."""
+    model = selected_model(spark, sf_dir, split_rows(spark, sf_dir))
     scored = modelling.predict(model, predicted(spark, sf_dir, None).drop("prediction"))
     return report.final_predictions(scored, SEASONS)
 
 
 @query
 def predict_batch(spark, sf_dir):
-    """Check of ``predict_batch_shares``: do the published shares make a whole?"""
+    """Check of ``predict_batch_shares``: is each published share a share, and do they make a whole?"""
     parts = [F.coalesce(F.col(f"PITCH_TYPE_{g}"), F.lit(0.0)) for g in GROUPS]
-    whole = (F.abs(sum(parts) - 1) < 1e-9).cast("int").alias("whole")
-    return predict_batch_shares(spark, sf_dir).select("BATTER_ID", "PLAYER_NAME", "GAME_YEAR", whole)
+    whole = F.abs(sum(parts) - 1) < 1e-9
+    for part in parts:
+        whole = whole & part.between(0.0, 1.0)
+    return predict_batch_shares(spark, sf_dir).select("BATTER_ID", "PLAYER_NAME", "GAME_YEAR", whole.cast("int").alias("whole"))
 
 
 @figures
 def bind_columns_predictions(spark, sf_dir):
-    """Predictions beside the holdout rows they belong to."""
-    return scored_holdout(split_rows(spark, sf_dir), SMALL_FIT).select(*CELL, "num_pitches", "prediction")
+    """Predictions of the selected model beside the holdout rows they belong to."""
+    rows = split_rows(spark, sf_dir)
+    scored = modelling.predict(selected_model(spark, sf_dir, rows), holdout(rows))
+    return scored.select(*CELL, "num_pitches", "prediction")
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_base: dict[str, str] = {}
+_shared: dict[tuple, str] = {}
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -40,3 +41,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession, label: str, *key: object) -> tuple[str, bool]:
+    """(path, is it new): the one scratch folder of this application for a key, such as a data directory.
+
+    For results that several queries of a session read; whoever finds it new fills it.
+    """
+    name = (spark.sparkContext.applicationId, label, *key)
+    fresh = name not in _shared
+    if fresh:
+        _shared[name] = scratch_dir(spark, label)
+    return _shared[name], fresh

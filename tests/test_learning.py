@@ -89,11 +89,12 @@ def test_prefix_of_a_long_fit_is_the_short_fit(rows):
     ready = modelling.prepared(train, recipe).select("features", features.OUTCOME)
     long = modelling.boosted_trees(modelling.Point(12, 17, (4,))).fit(ready)
     short = modelling.boosted_trees(modelling.Point(12, 17, (2,))).fit(ready)
-    found = modelling._prefix_metrics(long, ready, [2, 4])
+    scored = modelling.prefix_predictions(long, ready, [2, 4])
+    found = {(r.trees, r.metric): r.estimate for r in evaluation.regression_metrics(scored, features.OUTCOME, "prediction", by=["trees"]).collect()}
     want = evaluation.regression_metrics(short.transform(ready), features.OUTCOME, "prediction")
     for r in want.collect():
-        assert found[f"{r.metric}__2"] == pytest.approx(r.estimate, rel=1e-9)
-    assert found["rmse__4"] < found["rmse__2"]
+        assert found[2, r.metric] == pytest.approx(r.estimate, rel=1e-9)
+    assert found[4, "rmse"] < found[2, "rmse"]
 
 
 def test_best_point_is_the_highest_rsq(spark):
