@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from dugout.llm.common import boxed, col
 from dugout.sources.scratch import materialize
 
-#: Quote marks before a line, blanks between them allowed.
-MARKS = r"^[ \t]*((?:>[ \t]?)*)"
+#: White space around a message, and the blank lines between paragraphs. No pattern here repeats a group: such loops
+#: recurse, and a message of many lines or marks would end the JVM.
+BLANKS, BETWEEN = " \t\n\x0b\f\r", r"\n[ \t]*\n[ \t\n]*"
+
+
+def marks_of(line: Column) -> Column:
+    """Quote marks before a line, each with one blank behind it at most; blanks before the first do not count."""
+    run = F.regexp_extract(line, r"^[ \t]*(>[> \t]*)", 1)
+    return F.when(run.rlike(r"[ \t][ \t]"), F.regexp_extract(run, r"^(.*?[ \t])[ \t]", 1)).otherwise(run)
 
 
 def parsed_lines(text: Column) -> Column:
     """array<struct<level, body>>: quote level of each line, and the line behind its marks."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
-    marks = lambda line: F.regexp_extract(line, MARKS, 1)
+    marked = F.transform(lines, lambda line: F.struct(line.alias("line"), marks_of(line).alias("marks")))
+    behind = lambda x: F.length(F.regexp_extract(x["line"], r"^([ \t]*)", 1)) + F.length(x["marks"]) + 1
     return F.transform(
-        lines,
-        lambda line: F.struct(
-            F.length(F.regexp_replace(marks(line), "[^>]", "")).alias("level"),
-            F.when(marks(line) == "", line).otherwise(F.regexp_replace(line, MARKS, "")).alias("body"),
+        marked,
+        lambda x: F.struct(
+            F.length(F.regexp_replace(x["marks"], "[^>]", "")).alias("level"),
+            F.when(x["marks"] == "", x["line"]).otherwise(F.substring(x["line"], behind(x), F.length(x["line"]))).alias("body"),
         ),
     )
 
@@ -36,7 +44,7 @@ def normalised(text: Column) -> Column:
 
 def passages(text: Column) -> Column:
     """Distinct hashes of the whole text, of its paragraphs and of its lines, blank ones left out."""
-    parts = F.concat(F.array(text), F.split(text, r"\n[ \t]*(?:\n[ \t]*)+"), F.split(text, r"\n"))
+    parts = F.concat(F.array(text), F.split(text, BETWEEN), F.split(text, r"\n"))
     filled = F.filter(F.transform(parts, normalised), lambda x: x != "")
     return F.array_distinct(F.transform(filled, lambda x: F.xxhash64(x, F.length(x))))
 
@@ -110,8 +118,9 @@ def link_quotes(
     ).withColumn("own", at_level(F.col("lines"), F.lit(0)))
     levels = F.array_max(F.transform("lines", lambda x: x["level"]))
     quoting = staged.filter(F.exists("lines", lambda x: x["level"] > 0))
+    occurring = F.array_distinct(F.filter(F.transform("lines", lambda x: x["level"]), lambda level: level > 0))
     quoted = (
-        quoting.select("id", "conv", "at", "lines", F.explode(F.sequence(F.lit(1), levels)).alias("level"))
+        quoting.select("id", "conv", "at", "lines", F.explode(occurring).alias("level"))
         .select("id", "conv", "at", "level", F.explode(passages(at_level(F.col("lines"), F.col("level")))).alias("passage"))
     )
     quoted = materialize(quoted, "quoted")
@@ -143,7 +152,7 @@ def link_quotes(
     known = lambda c: F.when(F.col(c) != -(1 << 62), F.col(c))
     return staged.join(placed.drop("conv", "at"), "id").select(
         "row",
-        F.regexp_replace(F.regexp_replace("own", r"\n[ \t]*(?:\n[ \t]*)+", "\n\n"), r"^\s+|\s+$", "").alias("text"),
+        F.btrim(F.regexp_replace("own", BETWEEN, "\n\n"), F.lit(BLANKS)).alias("text"),
         levels.alias("quote_levels"),
         F.size(F.filter("lines", lambda x: x["level"] > 0)).alias("quoted_lines"),
         known("parent_at").alias("parent_turn"),

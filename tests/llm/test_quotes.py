@@ -61,6 +61,17 @@ def test_awkward_messages(spark):
     assert link_quotes(spark.createDataFrame([], SHAPE)).count() == 0
 
 
+def test_very_long_messages(spark):
+    """Blank lines, quoted lines and marks in great numbers, and blanks before the end of a text."""
+    many = 100_000
+    rows = [(1, 0, "a", "first" + "\n \t" * many + "last"), (1, 1, "a", "> first\n" * many), (1, 2, "a", ">" * many + " deep")]
+    rows += [(1, 3, "a", "> " * many + "x"), (1, 4, "a", "a" + " " * many + "b"), (1, 5, "a", "> y\n" + ">" * 3000 + " z\n" * 3000)]
+    r = linked(spark, rows)
+    assert r[1, 0]["text"] == "first\n\nlast" and r[1, 1]["parent_turn"] == 0 and r[1, 1]["quoted_lines"] == many
+    assert r[1, 2]["quote_levels"] == r[1, 3]["quote_levels"] == many and r[1, 5]["quote_levels"] == 3000
+    assert len(r[1, 4]["text"]) == many + 2
+
+
 def test_one_conversation_with_a_common_line(spark):
     """Thousands share a line, and thousands quote it: links stay one per message."""
     rows = [(1, 2 * i, "a", f"thanks\nnote {i}") for i in range(300)] + [(1, 2 * i + 1, "b", f"> thanks\nreply {i}") for i in range(300)]
