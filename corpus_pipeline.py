@@ -12,6 +12,13 @@ from dugout.sources.shipping import ship
 
 #: Least share of a text's grams that its language must explain.
 MIN_LANGUAGE_SCORE = 0.2
+#: Rows that a Python worker and the queue beside it hold at once; texts may be long, and all stages share a session.
+BATCH_ROWS = 1000
+
+
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
@@ -20,7 +27,7 @@ def _unpacked(rows: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that no learned language explains; keeps those too short to tell."""
-    ship(spark)
+    _prepare(spark)
     model = language.fit(docs)
     rows = docs.select(
         boxed(docs).alias("row"), language.identify(docs, model).alias("found"), language.too_short(col("text")).alias("too_short")
@@ -31,13 +38,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each SimHash component: three-word shingles, at most three differing bits."""
-    ship(spark)
+    _prepare(spark)
     return simhash.drop_near_duplicates(docs, shingle=3, distance=3)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item: 0.8 or more of its five-word shingles."""
-    ship(spark)
+    _prepare(spark)
     return containment.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with shard and slot."""
-    ship(spark)
+    _prepare(spark)
     plain = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")])
     return _unpacked(sharding.shuffle_into_shards(plain, 40), plain, "shard", "slot")
 
