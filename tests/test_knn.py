@@ -5,9 +5,14 @@ from __future__ import annotations
 import math
 import random
 
+import duckdb
+import numpy as np
 import pytest
 
+from dugout.operators import knn
 from dugout.operators.knn import impute_knn
+from dugout.plans import features
+from dugout.plans import queries as Q
 
 COLUMNS = ["game_year", "a", "b", "c"]
 SCHEMA = "batter_id long, player_name string, game_year int, pitch_group string, a double, b double, c double"
@@ -108,3 +113,62 @@ def test_block_without_donor_falls_back_to_the_mean(spark):
     ]
     got = impute_knn(spark.createDataFrame(rows, SCHEMA), COLUMNS).where("batter_id = 1").first()
     assert got.a == 6.0
+
+
+def _sql(columns: list[str], gappy: list[str], k: int) -> str:
+    """Neighbours of every row among all rows, with ties by key: distance to nine digits, then hash of the key."""
+    key = "md5(concat_ws('|', batter_id, player_name, game_year, pitch_group))"
+    ranges = ", ".join(f"nullif(max({c}) - min({c}), 0)::DOUBLE AS r{i}" for i, c in enumerate(columns))
+    scaled = ", ".join(f"{c}::DOUBLE / coalesce(r{i}, 1) AS s{i}" for i, c in enumerate(columns))
+    total = " + ".join(f"coalesce(abs(a.s{i} - b.s{i}), 0)" for i in range(len(columns)))
+    shared = " + ".join(f"(a.s{i} IS NOT NULL AND b.s{i} IS NOT NULL)::INT" for i in range(len(columns)))
+    fills = ", ".join(
+        f"list_avg(list_transform(min({{'d': d, 'id': b_id, 'v': b{i}}}, {k}) FILTER (WHERE a{i} IS NULL AND b{i} IS NOT NULL), lambda x: x.v)) AS f{i}"
+        for i, c in enumerate(columns) if c in gappy
+    )
+    values = ", ".join(f"a.{c}::DOUBLE AS a{i}, b.{c}::DOUBLE AS b{i}" for i, c in enumerate(columns) if c in gappy)
+    return f"""WITH ranges AS (SELECT {ranges} FROM train), scaled AS (SELECT *, {key} AS id, {scaled} FROM train, ranges),
+met AS (SELECT a.id AS a_id, b.id AS b_id, {values},
+ round(({total} + (a.pitch_group <> b.pitch_group)::INT) / ({shared} + 1), 9) AS d FROM scaled a, scaled b),
+found AS (SELECT a_id, {fills} FROM met GROUP BY a_id)
+SELECT batter_id, game_year, pitch_group, {", ".join(f"coalesce({c}::DOUBLE, f{i}, avg({c}) OVER ()) AS {c}" for i, c in enumerate(columns) if c in gappy)}
+FROM scaled JOIN found ON id = a_id"""
+
+
+def test_the_whole_training_table_against_sql(spark, sf_dir, monkeypatch):
+    """Every cell of the registered query on the smallest tables; larger ones are too many pairs for SQL."""
+    rows = Q.training(spark, sf_dir)
+    monkeypatch.setattr(Q, "training", lambda *_: rows)
+    names = features.predictors()
+    train = rows.toPandas()  # noqa: F841, read by name below
+    gappy = [c for c in names if train[c].isna().any()]
+    con = duckdb.connect()
+    wanted = con.sql(_sql(names, gappy, 5)).df().set_index(["batter_id", "game_year", "pitch_group"]).sort_index()
+    got = Q.impute_knn(spark, sf_dir).toPandas().set_index(["batter_id", "game_year", "pitch_group"]).sort_index()
+    assert len(got) == len(wanted) == len(train) and train[gappy].isna().sum().sum() > 1000
+    np.testing.assert_allclose(got[gappy].to_numpy(float), wanted[gappy].to_numpy(float), rtol=0, atol=1e-7)
+
+
+def test_bounds_leave_out_tiles(spark):
+    """Far clusters: tile pairs grow with the rows, not with their square, and the fills stay those of the double loop."""
+    def clusters(n: int):
+        rows = []
+        for i in range(n):
+            at = (i // 40) * 40.0
+            gap = i % 4 == 0
+            rows.append((i, f"p{i}", 2000, "FB", None if gap else at + i % 7, at + i % 5, at + i % 3))
+        return rows
+
+    pairs = {}
+    for n in (400, 1600):
+        df = spark.createDataFrame(clusters(n), SCHEMA)
+        spread = {c: (r, m, s) for c, r, m, s in zip(*(lambda x: (x.columns, x.ranges, x.means, x.sds))(knn.learn(df, COLUMNS)))}
+        how = (COLUMNS, (), knn.CELL, 5, 16, 32, spread)
+        queries, donors, scheduled, _, _ = knn.tile_pairs(df, df, *how)
+        tiles = [t.select(c).distinct().count() for t, c in ((queries, "query_tile"), (donors, "donor_tile"))]
+        pairs[n] = scheduled.count()
+        assert pairs[n] < 0.6 * tiles[0] * tiles[1]
+    assert pairs[1600] < 9 * pairs[400]
+    rows = clusters(400)
+    got = _by_id(impute_knn(spark.createDataFrame(rows, SCHEMA), COLUMNS, block=(), query_tile=16, donor_tile=32))
+    _check(got, rows, _brute_force(rows, 5, blocks=False))
