@@ -27,7 +27,13 @@ BLOCKS = frozenset(
 #: Open elements that a new element ends: a paragraph ends at any block, items and cells at their like.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: A comment, a CDATA section, a declaration or a tag. Only a quote right behind an equals sign opens a quoted value, which
+#: may hold >; one that is never closed is a letter like any other. Nothing is read twice from one place.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>",
+    re.S,
+)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -66,6 +72,7 @@ def blocks_of(page: str | None) -> list[Block]:
     loose: list[int] = []  # places in the stack of unseen elements without an end tag
     with_end: dict[str, set[int]] = {}
     linked = links = unseen = at = 0
+    last = page.rfind(">")
 
     def close() -> None:
         nonlocal linked
@@ -94,7 +101,7 @@ def blocks_of(page: str | None) -> list[Block]:
             loose.pop()
 
     while True:
-        found = _TAG.search(page, at)
+        found = _TAG.search(page, at) if at <= last else None
         if not found:
             rest = page[at:]
             take(rest if "<" not in rest or not re.search(r"<[a-zA-Z/!]", rest) else rest[: re.search(r"<[a-zA-Z/!]", rest).start()])
@@ -125,6 +132,8 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if name == "a":
             links = 1
+        if name == "hr":
+            close()
         if name in INLINE or name in EMPTY:
             continue
         close()
@@ -139,7 +148,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         parts = [p for v in _NAMES.findall(found[3]) for p in _PART.findall(v.lower())] if "=" in found[3] else []
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at) if at <= last else None
             at = end.end() if end else len(page)
             continue
         unseen += name in UNSEEN

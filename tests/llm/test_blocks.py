@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -153,3 +155,22 @@ def test_gradients():
         more[at] += step
         less[at] -= step
         assert abs((loss(given, more) - loss(given, less)) / (2 * step) - to_weights[at]) < 5e-3
+
+
+def texts(page):
+    return [b.text for b in blocks_of(page)]
+
+
+def test_quotes_that_are_no_quotes():
+    assert texts("<p data=it's>Hello</p>") == ["Hello"] and texts('<p class="x>Hello') == ["Hello"]
+    assert texts("<p title='a > b' data=\"c > d\">Hello</p>") == ["Hello"] and texts("<p a = 'x>y' b>Hello") == ["Hello"]
+    assert texts('<a href=x"y>one</a> two') == ["one two"] and texts("<p ' \">Hello</p>") == ["Hello"]
+    assert texts("<![CDATA[a > b]]>c") == ["c"] and texts("one<hr>two") == ["one", "two"] and texts("one<hr/>two") == ["one", "two"]
+
+
+def test_tag_like_text_is_read_in_linear_time():
+    start = time.perf_counter()
+    for piece in ("<a ", "<!", "<!-", "</script ", "<a x=", "<a x='", '<a x="', "<a x=\"'", "<", "<script>", "<p <", "a<b ", "</", "<a '"):
+        for end in ("", ">", "'>", '">', " x"):
+            blocks_of(piece * 40_000 + end)
+    assert time.perf_counter() - start < 30
