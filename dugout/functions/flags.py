@@ -56,7 +56,7 @@ def _first_level() -> dict[str, Column]:
         **{flag: as_flag(events == event) for flag, event in HITS.items()},
         "is_walk": as_flag(member(events, WALKS)),
         "is_strikeout": as_flag(member(events, STRIKEOUTS)),
-        "delta_bat_win_exp": F.when(half == "Bot", home_gain).when(half == "Top", -home_gain),
+        "delta_bat_win_exp": F.when(half == "Top", -home_gain).when(half == "Bot", home_gain),
     }
 
 

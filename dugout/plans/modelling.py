@@ -149,7 +149,9 @@ def tune_grid(
         marked = left_join(train, folds.where(F.col("repeat") == repeat).select(*CELL, "fold"), CELL)
         held_out = F.col("fold") == fold
         recipe = fit_recipe(marked.where(~held_out))
-        return materialize(prepared(marked, recipe).select(*KEPT, "features", held_out.alias("held_out")), "resample")
+        rows = prepared(marked, recipe).select(*KEPT, "features", held_out.alias("held_out"))
+        # As many files as the rows need: fits run side by side, so a small table is best read by one task of each.
+        return materialize(rows.hint("rebalance"), "resample")
 
     def run(task: Task) -> None:
         rows, point = tables[task.repeat, task.fold], points[task.min_n, task.mtry]

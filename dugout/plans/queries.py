@@ -728,7 +728,9 @@ def screened(spark, sf_dir):
         train = training(spark, sf_dir)
         left = [c for c in features.fit_recipe(train).inputs if c not in features.DUMMIES]
         filler = filling.NeighbourFill.fit(train, left)
-        imputed = scratch.materialize(filler.transform(train), "imputed")
+        # Trees are grown over and over on these rows: every core gets a part of them, however few they are.
+        imputed = filler.transform(train).repartition(spark.sparkContext.defaultParallelism)
+        imputed = scratch.materialize(imputed, "imputed")
         recipe = features.fit_recipe(imputed, numeric=left)
         model = modelling.fit(imputed, modelling.screening_forest(), recipe)
         modelling.save(PipelineModel([filler, *model.stages]), path)
