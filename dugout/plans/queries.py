@@ -689,6 +689,8 @@ def regression_metrics(spark, sf_dir):
 #: Settings of the registered model queries; the full grid is ``modelling.regular_grid()``.
 SMALL_FIT = modelling.Point(min_n=12, mtry=17, trees=(5,))
 SMALL_GRID = [modelling.Point(n, 17, (2, 6)) for n in (12, 100)]
+#: Trees of the registered screening forest; the forest's own default is 500.
+SCREENING_TREES = 200
 
 
 def fitted(train: DataFrame):
@@ -732,7 +734,7 @@ def screened(spark, sf_dir):
         imputed = filler.transform(train).repartition(spark.sparkContext.defaultParallelism)
         imputed = scratch.materialize(imputed, "imputed")
         recipe = features.fit_recipe(imputed, numeric=left)
-        model = modelling.fit(imputed, modelling.screening_forest(), recipe)
+        model = modelling.fit(imputed, modelling.screening_forest(trees=SCREENING_TREES), recipe)
         modelling.save(PipelineModel([filler, *model.stages]), path)
     return modelling.load(path)
 

@@ -83,7 +83,7 @@ def test_screening(spark, sf_dir, monkeypatch):
     """Filling is left out; tests/test_knn.py has it."""
     monkeypatch.setattr(Q.filling, "impute_knn", lambda rows, names, **_: rows.fillna(0.0, list(names)))
     forest = Q.modelling.screening_forest
-    monkeypatch.setattr(Q.modelling, "screening_forest", lambda: forest(trees=10, depth=8))
+    monkeypatch.setattr(Q.modelling, "screening_forest", lambda **_: forest(trees=10, depth=8))
     model = Q.screened(spark, sf_dir)
     raw = model.stages[-1].featureImportances.toArray()
     scores = {r["variable"]: r["importance"] for r in Q.variable_importance_scores(spark, sf_dir).collect()}
