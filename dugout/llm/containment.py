@@ -42,14 +42,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
-def shingle_hashes(words: list[bytes], known: _WordHashes) -> np.ndarray:
-    """Hash of each five-word shingle in turn; fewer words are one shingle, none have none."""
-    if not words:
+def gram_hashes(words: list[bytes], width: int, known: _WordHashes) -> np.ndarray:
+    """Hash of each run of so many words in turn, which depends on the width too; fewer words have none."""
+    n = len(words) - width + 1
+    if n < 1:
         return np.array([], dtype=np.uint64)
     each = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = max(1, len(words) - SHINGLE + 1)
-    out = np.full(n, len(words) if len(words) < SHINGLE else SHINGLE, dtype=np.uint64)
-    for k in range(min(SHINGLE, len(words))):
+    out = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
         out += (each[k : k + n] ^ (each[k : k + n] >> np.uint64(31))) * _ODD[k]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -81,11 +81,6 @@ def tokens(values: np.ndarray, number: int, size: int) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)
 
 
-def lone_tokens(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit token for a shingle anywhere in a text; non-negative."""
-    return hashes >> np.uint64(1)
-
-
 def block_starts(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of blocks of so many rows within runs of these lengths, and the blocks of each run."""
     blocks = -(-lengths // size)
@@ -129,45 +124,58 @@ def windows(hashes: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> dict[i
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
-    """(mark, shingles, size, tokens): distinct shingle hashes of each benchmark item (mark, text), its size class, and its
-    signature, as tokens of that class and as tokens of the shingles that have its values.
+    """(mark, width, shingles, sizes, tokens) of each benchmark item (mark, text) that has a word.
 
-    The class comes from the item's length in shingles, repeated ones counted, as windows are stretches of a text.
+    shingles are the hashes of its distinct five-word shingles; an item of fewer words is one shingle of that width,
+    without classes. sizes are its classes, tokens its signature in each. The class is that of its length in shingles,
+    as windows are stretches of a text; an item that repeats itself is also in the class of its distinct ones, as the
+    long windows of the other hold few of them.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            at, distinct, sizes, found = [], [], [], []
+            at, widths, distinct, classes, found = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                hashes = shingle_hashes(words_of(text), known)
-                if len(hashes):
-                    size, own = size_class(len(hashes)), np.unique(hashes)
-                    values = [(own * _ODD[SHINGLE + j]) >> np.uint64(32) for j in range(HASHES)]
-                    signature = [int(tokens(np.min(v, keepdims=True), j, size)[0]) for j, v in enumerate(values)]
-                    smallest = own[[int(np.argmin(v)) for v in values]]
-                    at.append(i)
-                    distinct.append(own.view(np.int64).tolist())
-                    sizes.append(size)
-                    found.append(sorted({*signature, *lone_tokens(smallest).astype(np.int64).tolist()}))
+                words = words_of(text)
+                if not words:
+                    continue
+                width = min(SHINGLE, len(words))
+                hashes = gram_hashes(words, width, known)
+                own = np.unique(hashes)
+                sizes = sorted({size_class(len(hashes)), size_class(len(own))}) if width == SHINGLE else []
+                lowest = [np.min((own * _ODD[SHINGLE + j]) >> np.uint64(32), keepdims=True) for j in range(HASHES)]
+                at.append(i)
+                widths.append(width)
+                distinct.append(own.view(np.int64).tolist())
+                classes.append(sizes)
+                found.append([int(tokens(low, j, size)[0]) for size in sizes for j, low in enumerate(lowest)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("mark").take(pa.array(at, pa.int64())), pa.array(distinct, pa.list_(pa.int64())),
-                    pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())),
+                    batch.column("mark").take(pa.array(at, pa.int64())), pa.array(widths, pa.int32()),
+                    pa.array(distinct, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int32())),
+                    pa.array(found, pa.list_(pa.int64())),
                 ],
-                names=["mark", "shingles", "size", "tokens"],
+                names=["mark", "width", "shingles", "sizes", "tokens"],
             )
 
-    return items.select("mark", "text").mapInArrow(sign, "mark long, shingles array<long>, size int, tokens array<long>")
+    return items.select("mark", "text").mapInArrow(
+        sign, "mark long, width int, shingles array<long>, sizes array<int>, tokens array<long>"
+    )
 
 
 def bit_table(values: DataFrame) -> np.ndarray:
-    """Which low bits the numbers of the only column have; at most one number per bit reaches the driver."""
-    bits = np.zeros(1 << TABLE_BITS - 3, dtype=np.uint8)
-    slots = values.select(F.col(values.columns[0]).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("slot")).distinct()
-    for part in np.array_split(slots.toPandas()["slot"].to_numpy(), 64):
-        np.bitwise_or.at(bits, part >> 3, (1 << (part & 7)).astype(np.uint8))
-    return bits
+    """Which low bits the numbers of the only column have, joined to words of 64 bits before they reach the driver."""
+    slot = F.col(values.columns[0]).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    words = (
+        values.select(slot.alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits"))
+        .toPandas()
+    )
+    bits = np.zeros(1 << TABLE_BITS - 6, dtype="<i8")
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
 
 
 def met(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -176,12 +184,13 @@ def met(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def searcher(sizes: list[int], tables):
-    """Of each text that may hold items: the tokens and the shingles that it shares with some item, each once.
+def searcher(sizes: list[int], widths: list[int], inside: bool, tables):
+    """Of each text that may hold items: tokens of its windows, and shingles, that some item may have too, each once.
 
-    tables: those of the items' tokens and of their shingles.
+    widths: those of the items of fewer than five words, whose runs of words are looked for anywhere in a text
+    (inside), or only in texts of just so many words. tables: bits of the items' tokens and of their shingles.
     """
-    overlap = 2 * max(sizes) + SHINGLE
+    overlap = 2 * max(sizes, default=0) + SHINGLE
 
     def runs(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes]]]]:
         """(text, words) in groups of bounded size; pieces of a long text overlap by the largest window."""
@@ -191,7 +200,7 @@ def searcher(sizes: list[int], tables):
             words = words_of(text)
             for start in range(0, len(words), PIECE):
                 if start and start + SHINGLE > len(words):
-                    break  # no shingle starts here that the piece before does not have
+                    break  # the piece before has all that starts here
                 group.append((i, words[start : start + PIECE + overlap]))
                 size += len(group[-1][1])
                 if size >= PIECE:
@@ -215,31 +224,31 @@ def searcher(sizes: list[int], tables):
             at, found = [np.array([], np.int64)], [np.array([], np.uint64)]
             holders, held = [np.array([], np.int64)], [np.array([], np.uint64)]
             for group in runs(batch.column("text").to_pylist()):
-                each = [shingle_hashes(words, known) for _, words in group]
-                lengths = np.array([len(h) for h in each], dtype=np.int64)
                 texts = np.array([i for i, _ in group], dtype=np.int64)
-                hashes = np.concatenate(each)
-                for marks, of, _ in windows(hashes, lengths, sizes).values():
-                    for row in marks:
-                        w = np.flatnonzero(met(bits, row))
-                        at.append(texts[of[w]])
-                        found.append(row[w])
-                place = np.flatnonzero(met(shingle_bits, hashes))
-                hashes, owners = hashes[place], np.repeat(texts, lengths)[place]
-                holders.append(owners)
-                held.append(hashes)
-                alone = lone_tokens(hashes)
-                w = np.flatnonzero(met(bits, alone))
-                at.append(owners[w])
-                found.append(alone[w])
+                for width in [*widths, SHINGLE]:
+                    each = [
+                        gram_hashes(words if width == SHINGLE or inside or len(words) == width else [], width, known)
+                        for _, words in group
+                    ]
+                    lengths = np.array([len(h) for h in each], dtype=np.int64)
+                    hashes, some = np.concatenate(each), lengths > 0
+                    if width == SHINGLE and sizes and some.any():
+                        owners = texts[some]
+                        for marks, of, _ in windows(hashes, lengths[some], sizes).values():
+                            for row in marks:
+                                w = np.flatnonzero(met(bits, row))
+                                at.append(owners[of[w]])
+                                found.append(row[w])
+                    place = np.flatnonzero(met(shingle_bits, hashes))
+                    holders.append(np.repeat(texts, lengths)[place])
+                    held.append(hashes[place])
             by_text, shingles_of = distinct_by_run(at, found), distinct_by_run(holders, held)
-            both = [i for i in by_text if i in shingles_of]
-            rows = pa.array(both, pa.int64())
+            rows = pa.array(list(shingles_of), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key").take(rows), batch.column("row_hash").take(rows),
-                    pa.array([by_text[i] for i in both], pa.list_(pa.int64())),
-                    pa.array([shingles_of[i] for i in both], pa.list_(pa.int64())),
+                    pa.array([by_text.get(i, []) for i in shingles_of], pa.list_(pa.int64())),
+                    pa.array(list(shingles_of.values()), pa.list_(pa.int64())),
                 ],
                 names=["key", "row_hash", "tokens", "held"],
             )
@@ -249,54 +258,75 @@ def searcher(sizes: list[int], tables):
 
 def find_items(
     docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text",
-    threshold: float = THRESHOLD,
+    threshold: float = THRESHOLD, inside: bool = True,
 ) -> DataFrame:
     """(key, row_hash, item, containment): items of which a text holds the given share of shingles, wherever they stand.
 
     A short item is a small part of a long text, so the Jaccard similarity of whole texts says nothing. Items are put
     into size classes, and each text is cut, once per class in use, into overlapping windows of twice the class size.
-    A text is a candidate for an item (an equality join) if one of its windows shares a signature value with the item,
-    or if the text holds, anywhere, one of the up to 32 shingles that gave the item its signature. The latter also
-    meets items that stand in several parts or repeat themselves: of an item contained to 0.8 each of these shingles is
-    missing with a probability of 0.2 at most. Each candidate is verified: share of the item's distinct five-word
-    shingles (64-bit hashes) in the whole text.
-
-    Texts first pass two bit tables of fixed size, of the items' values and of their shingles, so that only what can
-    match leaves the task. Items of fewer than five words are one shingle and are found in texts of just these words;
-    items without a word are in no text. Null and empty texts hold nothing. Repeated rows give one result. Pairs of a
-    text and an item are reported once. Empty tables give no rows.
+    A text is a candidate for an item (an equality join) if one of its windows shares one of the item's 32 signature
+    values. An item that stands in several parts has a chance in each window that holds a part. Each candidate is then
+    verified in the whole text: the item's distinct five-word shingles (64-bit hashes), a row each, are joined to those
+    the text holds, and counted. A text that holds many items costs no more than the sum of their shingles.
+
+    Items of one to four words have no class: their words in a row are looked for anywhere in a text, or only in texts
+    of just these words if not inside. Texts first pass two bit tables of fixed size, of the items' signatures and of
+    their shingles, so that only what can match leaves the task. Items without a word are in no text. Null and empty
+    texts hold nothing. Repeated rows give one result. Pairs of a text and an item are reported once. Empty tables give
+    no rows.
     """
     spark = docs.sparkSession
     named = items.select(
         col(item).alias("item"), col(item_text).alias("text"), F.xxhash64(col(item), col(item_text)).alias("mark")
     ).dropDuplicates(["mark"])
     signed = materialize(item_tokens(named.filter("text is not null")), "item-tokens")
-    sizes = sorted(r["size"] for r in signed.select("size").distinct().collect())
+    sizes = sorted(r[0] for r in signed.select(F.explode("sizes")).distinct().collect())
+    widths = sorted(r[0] for r in signed.filter(F.col("width") < SHINGLE).select("width").distinct().collect())
     keyed = docs.select(col(key).alias("key"), row_hash(docs).alias("row_hash"), col(text).alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
     shape = f"key {kind}, row_hash long, tokens array<long>, held array<long>"
-    if not sizes:
+    if not sizes and not widths:
         found = spark.createDataFrame([], shape)
     else:
-        tables = tuple(bit_table(signed.select(F.explode(c))) for c in ("tokens", "shingles"))
-        found = keyed.filter("text is not null").mapInArrow(searcher(sizes, spark.sparkContext.broadcast(tables)), shape)
-    wanted = signed.select("mark", "shingles").join(named.select("mark", "item"), "mark")
-    return (
-        found.select("key", "row_hash", "held", F.explode("tokens").alias("token"))
+        tables = spark.sparkContext.broadcast(tuple(bit_table(signed.select(F.explode(c))) for c in ("tokens", "shingles")))
+        search = searcher(sizes, widths, inside, tables)
+        found = materialize(keyed.filter("text is not null").mapInArrow(search, shape), "item-texts")
+    met_by_windows = (
+        found.select("key", "row_hash", F.explode("tokens").alias("token"))
         .join(signed.select("mark", F.explode("tokens").alias("token")), "token")
-        .groupBy("key", "row_hash", "held", "mark")
-        .agg(F.count(F.lit(1)).alias("votes"))
-        .join(wanted, "mark")
-        .withColumn("containment", F.size(F.array_intersect("shingles", "held")) / F.size("shingles"))
+        .select("key", "row_hash", "mark")
+        .distinct()
+    )
+    held = found.select(F.col("key").alias("held_key"), F.col("row_hash").alias("held_hash"), F.explode("held").alias("held")).distinct()
+    wanted = met_by_windows.join(signed.select("mark", "shingles"), "mark").select(
+        "key", "row_hash", "mark", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")
+    )
+    long_ones = (
+        wanted.join(
+            held,
+            F.col("key").eqNullSafe(F.col("held_key")) & (F.col("row_hash") == F.col("held_hash")) & (F.col("shingle") == F.col("held")),
+        )
+        .groupBy("key", "row_hash", "mark")
+        .agg((F.count(F.lit(1)) / F.first("n")).alias("containment"))
         .filter(F.col("containment") >= threshold)
+    )
+    short_ones = held.join(
+        signed.filter(F.col("width") < SHINGLE).select("mark", F.col("shingles")[0].alias("held")), "held"
+    ).select(F.col("held_key").alias("key"), F.col("held_hash").alias("row_hash"), "mark", F.lit(1.0).alias("containment"))
+    return (
+        long_ones.unionByName(short_ones)
+        .join(named.select("mark", "item"), "mark")
         .groupBy("key", "row_hash", "item")
         .agg(F.max("containment").alias("containment"))
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", **names: str) -> DataFrame:
-    """docs without the rows that hold an item."""
-    hits = find_items(docs, items, text=text, key=key, **names).select(
+    """docs without the rows that hold an item.
+
+    An item of one to four words, such as a number, stands in many clean texts; it drops only texts of just its words.
+    """
+    hits = find_items(docs, items, text=text, key=key, inside=False, **names).select(
         F.col("key").alias("hit_key"), F.col("row_hash").alias("hit_hash")
     ).distinct()
     boxes = docs.select(boxed(docs).alias("row"), col(key).alias("key"), row_hash(docs).alias("row_hash"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,6 +14,7 @@ ITEMS = "item_id long, text string, containment string"
 
 
 def plain_shingles(text):
+    """Fewer than five words are one shingle."""
     words = [w.decode() for w in words_of(text)]
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
@@ -75,6 +77,51 @@ def test_items_that_repeat_themselves_or_stand_in_parts(spark):
     assert all(abs(found[k] - wanted[k]) < 1e-9 for k in found)
 
 
+def test_windows_alone_find_the_candidates(spark):
+    """Recall over all pairs: verbatim, edited down to 0.8, in two parts, and of items that repeat themselves."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    items, docs, verbatim = [], [], set()
+    for i in range(150):
+        words = some(rng.randrange(15, 120))
+        if i % 5 == 0:
+            words = [*words[:10], *["on"] * rng.randrange(5, 200), *words[10:]]
+        items.append((i, " ".join(words), ""))
+        cut = rng.randrange(5, len(words) - 5)
+        keep = len(words) - (len(words) - 4) // 6
+        for kind, parts in enumerate(([*words], [*words[:cut], *some(rng.randrange(1, 400)), *words[cut:]], words[:keep])):
+            docs.append((i * 10 + kind, " ".join([*some(rng.randrange(0, 600)), *parts, *some(rng.randrange(0, 600))])))
+        verbatim.add((i * 10, i))
+    wanted = set()
+    own = {i: plain_shingles(t) for i, t, _ in items}
+    for d, text in docs:
+        held = plain_shingles(text)
+        wanted |= {(d, i) for i, part in own.items() if len(part & held) >= 0.8 * len(part)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {(r["key"], r["item"]) for r in find_items(frame, spark.createDataFrame(items, ITEMS)).collect()}
+    assert found <= wanted and verbatim <= found and len(wanted) > 380
+    assert len(found) >= 0.98 * len(wanted)
+
+
+def test_one_text_of_many_items(spark):
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(40)), "") for i in range(5000)]
+    docs = [(1, " ".join(t for _, t, _ in items)), (2, items[7][1])]
+    begin = time.monotonic()
+    found = find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS))
+    assert Counter(r["key"] for r in found.collect()) == {1: 5000, 2: 1}
+    assert time.monotonic() - begin < 60
+
+
+def test_items_of_few_words(spark):
+    items = [(1, "Forty two!", ""), (2, "yes", ""), (3, "one two three four", ""), (4, "two three four", "")]
+    docs = [(1, "it is forty-two, she said"), (2, "Yes"), (3, "yes or no"), (4, "zero one two three four five"), (5, "forty and two"), (6, LONG + " forty two")]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    found = {(r["key"], r["item"], r["containment"]) for r in find_items(frame, marks).collect()}
+    assert found == {(1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 3, 1.0), (4, 4, 1.0), (6, 1, 1.0)}
+    assert {r["doc_id"] for r in drop_contaminated(frame, marks).collect()} == {1, 3, 4, 5, 6}
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     """The passage stands across the border of two pieces of a long text."""
     passage = " ".join(f"p{i}" for i in range(40))
