@@ -3,8 +3,9 @@
 A block of up to BLOCK ids is coded with a model that starts anew, so any block can be read alone. For each id an
 order-2 and an order-1 table (by hash of the last ids) each predict one id with a confidence; the pair of confidences
 selects adaptive odds for "as order 2 says", "as order 1 says" and "neither", which mixes the two; the rest is coded
-by order-0 frequencies of the ids' upper bytes, learned in the block, with the lower byte uniform. All three are one
-interval of a 29-bit distribution and one step of a 64-bit range coder that puts out 32-bit words.
+by order-0 shares of whole ids. These are counted over many blocks and kept beside them (`Order0`), as a block alone is
+too short to learn them; without a count every id has the same share. All three are one interval of a 30-bit
+distribution and one step of a 64-bit range coder that puts out 32-bit words.
 
 Blocks know nothing of each other, so their steps are done side by side, as columns of numpy arrays.
 """
@@ -17,198 +18,193 @@ import zlib
 import numpy as np
 
 #: Most and fewest ids of a block; blocks coded side by side, and how many of them short input is cut into.
-BLOCK, SHORT_BLOCK, SIDE_BY_SIDE, FEW = 4096, 512, 2048, 256
+BLOCK, SHORT_BLOCK, SIDE_BY_SIDE, FEW = 2048, 512, 2048, 256
 #: A block: mark, number of ids, number of words, checksum of the ids; then the words.
 HEAD = struct.Struct("<4sIII")
-MARK = b"CMR1"
-_ORDER2, _ORDER1 = 4096, 2048
-_SYMBOL_BITS, _UPPER_BITS, _LOWER_BITS = 10, 11, 8
-_BITS = _SYMBOL_BITS + _UPPER_BITS + _LOWER_BITS
-_ESCAPE_BITS = _UPPER_BITS + _LOWER_BITS
-_UPPER = 256
-#: Odds are shares of 2 ** _ODDS_BITS that move by 2 ** -_RATE of the way to what was seen.
-_ODDS_BITS, _RATE, _UPPER_GAIN = 12, 5, 24
-#: Order-0 intervals are renewed at these steps, and then after every _RENEW steps.
-_EARLY, _RENEW = (8, 16, 32, 64), 128
+MARK = b"CMR2"
+_ORDER2, _ORDER1 = 2048, 1024
+_SYMBOL_BITS, _ORDER0_BITS = 12, 18
+_BITS = _SYMBOL_BITS + _ORDER0_BITS
+#: Odds are shares of 2 ** _SYMBOL_BITS that move by 2 ** -_RATE of the way to what was seen.
+_RATE, _FIRST_ODDS = 5, (1300, 900)
+_CONTEXTS = 32
 _U = np.uint64
 
 
+class Order0:
+    """Shares of 2 ** 18 that ids have; each id that occurs has at least one part."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.counts = ids.astype(np.int64), counts.astype(np.int64)
+        room = (1 << _ORDER0_BITS) - len(self.ids)
+        share = 1 + self.counts * room // max(1, int(self.counts.sum()))
+        if len(share):
+            share[np.argmax(share)] += (1 << _ORDER0_BITS) - share.sum()
+        self.size, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.size[self.ids], self.start[self.ids] = share, np.cumsum(share) - share
+        self.owner = np.repeat(self.ids.astype(np.int32), share)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Order0:
+        counts = np.bincount(ids, minlength=1)
+        seen = np.flatnonzero(counts)
+        return cls(seen, counts[seen])
+
+    @classmethod
+    def flat(cls) -> Order0:
+        return cls(np.arange(1 << 16), np.ones(1 << 16))
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.stack([np.diff(self.ids, prepend=0), self.counts]).astype("<u4").tobytes())
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Order0:
+        steps, counts = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+        return cls(np.cumsum(steps, dtype=np.int64), counts)
+
+
 class _Model:
-    """State of all blocks. All figures fit 32 bits."""
-
-    def __init__(self, blocks: int, decoding: bool):
-        each = np.arange(blocks, dtype=np.int32)
-        self.blocks, self.decoding, self.step = blocks, decoding, 0
-        self.base2, self.base1 = each * _ORDER2, each * _ORDER1
-        self.base_mix, self.base_upper = each * 32, each * _UPPER
-        self.order2, self.order1 = np.zeros(blocks * _ORDER2, np.int32), np.zeros(blocks * _ORDER1, np.int32)
-        self.odds2, self.odds1 = np.full(blocks * 32, 1300, np.int32), np.full(blocks * 32, 900, np.int32)
-        self.upper = np.ones(blocks * _UPPER, np.int32)
-        self._refresh()
-
-    def _refresh(self) -> None:
-        """Order-0 intervals from the counts so far."""
-        counts = self.upper.reshape(self.blocks, _UPPER).astype(np.int64)
-        width = 1 + counts * ((1 << _UPPER_BITS) - _UPPER) // counts.sum(axis=1, keepdims=True)
-        width[:, 0] += (1 << _UPPER_BITS) - width.sum(axis=1)
-        self.width = width.ravel().astype(np.int32)
-        self.start = (np.cumsum(width, axis=1) - width).ravel().astype(np.int32)
-        if self.decoding:
-            self.owner = np.repeat(np.tile(np.arange(_UPPER, dtype=np.uint8), self.blocks), self.width)
-            self.base_owner = np.arange(self.blocks, dtype=np.int32) << _UPPER_BITS
-
-    def places(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Table rows of the last two ids and of the last one; unsigned products wrap around."""
-        one = last.astype(np.uint32) * np.uint32(0x1E35A7BD)
-        two = before.astype(np.uint32) * np.uint32(0x2F0B4C47) + one
-        return (
-            self.base2 + ((two >> np.uint32(15)) & np.uint32(_ORDER2 - 1)).astype(np.int32),
-            self.base1 + ((one >> np.uint32(13)) & np.uint32(_ORDER1 - 1)).astype(np.int32),
-        )
-
-    def predict(self, at2: np.ndarray, at1: np.ndarray) -> None:
-        self.at2, self.at1 = at2, at1
-        self.e2, self.e1 = self.order2[at2], self.order1[at1]
-        self.id2, self.id1 = self.e2 >> 2, self.e1 >> 2
-        self.mix = self.base_mix + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | (self.id2 == self.id1))
-        self.p2, self.p1 = self.odds2[self.mix], self.odds1[self.mix]
-        room = (1 << _SYMBOL_BITS) - 4
-        self.f2 = ((self.p2 * room) >> _ODDS_BITS) + 1
-        self.f1 = ((self.p1 * room) >> _ODDS_BITS) + 1
-        self.rest = self.f2 + self.f1
-        self.f0 = (1 << _SYMBOL_BITS) - self.rest
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray) -> None:
-        """ids: what came; missed: the blocks where neither table had it."""
-        fresh = ids << 2
-        for table, at, entry, hit in ((self.order2, self.at2, self.e2, hit2), (self.order1, self.at1, self.e1, self.id1 == ids)):
-            sure = entry & 3
-            table[at] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
-        self.odds2[self.mix] = self.p2 + (((hit2.astype(np.int32) << _ODDS_BITS) - self.p2) >> _RATE)
-        self.odds1[self.mix] = self.p1 + (((hit1.astype(np.int32) << _ODDS_BITS) - self.p1) >> _RATE)
-        self.upper[self.base_upper[missed] + (ids[missed] >> _LOWER_BITS)] += _UPPER_GAIN
-        self.step += 1
-        if self.step % _RENEW == 0 or self.step in _EARLY:
-            self._refresh()
-
-    def interval(self, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size where a table was right; the rest is filled in by the caller."""
-        return (hit1 * self.f2) << _ESCAPE_BITS, np.where(hit2, self.f2, self.f1) << _ESCAPE_BITS
-
-
-class _Range:
-    """Interval [low, low + width) of each block; low + width never passes 2 ** 64, so there are no carries."""
+    """State of all blocks; what belongs to order 2 and to order 1 are the two rows of its arrays."""
 
     def __init__(self, blocks: int):
-        self.low, self.width = np.zeros(blocks, np.uint64), np.full(blocks, ~_U(0))
-
-    def narrow(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Take the part [start, start + size) of 2 ** _BITS; the blocks that now move on by a word."""
-        part = self.width >> _U(_BITS)
-        self.low += start.astype(np.uint64) * part
-        self.width = size.astype(np.uint64) * part
-        return np.flatnonzero(self.width < _U(1 << 32))
-
-    def move(self, rows: np.ndarray) -> np.ndarray:
-        """Shift these blocks by a word and return it; an interval across a word's border is cut at the border."""
-        low, width = self.low[rows], self.width[rows]
-        word = low >> _U(32)
-        across = (low + (width - _U(1))) >> _U(32) != word
-        width = np.where(across, _U(1 << 32) - (low & _U(0xFFFFFFFF)), width)
-        self.low[rows], self.width[rows] = low << _U(32), width << _U(32)
-        return word
-
-
-def _encode_side_by_side(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        each = np.arange(blocks, dtype=np.int64)
+        self.base = np.stack([each * _ORDER2, blocks * _ORDER2 + each * _ORDER1])
+        self.table = np.zeros(blocks * (_ORDER2 + _ORDER1), np.int32)
+        self.base_odds = np.stack([each, each + blocks]) * _CONTEXTS
+        self.odds = np.repeat(np.array(_FIRST_ODDS, np.int32), blocks * _CONTEXTS)
+        self.mask = np.array([[_ORDER2 - 1], [_ORDER1 - 1]])
+        self.mixed = np.zeros((2, blocks), np.int64)
+
+    def predict(self, before: np.ndarray, last: np.ndarray) -> None:
+        """The ids both tables expect after these two, and the sizes of their intervals."""
+        np.multiply(last, 0x1E35A7BD, out=self.mixed[1])
+        np.multiply(before, 0x2F0B4C47, out=self.mixed[0])
+        self.mixed[0] += self.mixed[1]
+        self.at = ((self.mixed >> 15) & self.mask) + self.base
+        self.entry = self.table.take(self.at)
+        self.sure, self.ids = self.entry & 3, self.entry >> 2
+        context = (self.sure[0] << 3) | (self.sure[1] << 1) | (self.ids[0] == self.ids[1])
+        self.at_odds = self.base_odds + context
+        self.p = self.odds.take(self.at_odds)
+        self.size = ((self.p * ((1 << _SYMBOL_BITS) - 8)) >> _SYMBOL_BITS) + 1
+        self.rest = self.size[0] + self.size[1]
+
+    def update(self, now: np.ndarray, hit: np.ndarray) -> None:
+        """now: what came; hit: whether it came as order 2 said, and as only order 1 said."""
+        said = self.ids == now
+        missed = np.where(self.sure > 0, self.entry - 1, now << 2)
+        self.table[self.at] = np.where(said, self.entry + (self.sure < 3), missed)
+        self.odds[self.at_odds] = self.p + (((hit.astype(np.int32) << _SYMBOL_BITS) - self.p) >> _RATE)
+
+
+def _encode_side_by_side(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarray]:
     """ids: (blocks, length). Words of each block, and how many."""
     blocks, length = ids.shape
-    model, coder = _Model(blocks, False), _Range(blocks)
-    words, used = np.empty((blocks, length + 2), np.uint32), np.zeros(blocks, np.int64)
+    model = _Model(blocks)
+    low, width = np.zeros(blocks, np.uint64), np.full(blocks, ~_U(0))
+    words, used = np.zeros((blocks, length + 2), np.uint32), np.zeros(blocks, np.int64)
     turned = np.zeros((length + 2, blocks), np.int32)  # two zeros stand before the first id
     turned[2:] = ids.T
-    for first in range(0, length, _RENEW):
-        last = min(first + _RENEW, length)
-        every2, every1 = model.places(turned[first:last], turned[first + 1 : last + 1])
-        for now, at2, at1 in zip(turned[first + 2 : last + 2], every2, every1):
-            model.predict(at2, at1)
-            hit2 = model.id2 == now
-            hit1 = (model.id1 == now) & ~hit2
-            missed = np.flatnonzero(~(hit2 | hit1))
-            start, size = model.interval(hit2, hit1)
-            own, f0 = now[missed], model.f0[missed]
-            upper = model.base_upper[missed] + (own >> _LOWER_BITS)
-            width = model.width[upper]
-            start[missed] = (model.rest[missed] << _ESCAPE_BITS) + f0 * ((model.start[upper] << _LOWER_BITS) + (own & 255) * width)
-            size[missed] = f0 * width
-            rows = coder.narrow(start, size)
-            if len(rows):
-                words[rows, used[rows]] = coder.move(rows)
-                used[rows] += 1
-            model.update(now, hit2, hit1, missed)
+    for before, last, now in zip(turned, turned[1:], turned[2:]):
+        model.predict(before, last)
+        hit = model.ids == now
+        hit[1] &= ~hit[0]
+        start, size = np.where(hit[1], model.size[0], 0), np.where(hit[0], model.size[0], model.size[1])
+        start, size = start.astype(np.int64) << _ORDER0_BITS, size.astype(np.int64) << _ORDER0_BITS
+        missed = np.flatnonzero(~(hit[0] | hit[1]))
+        own, rest = now[missed], model.rest[missed].astype(np.int64)
+        f0 = (1 << _SYMBOL_BITS) - rest
+        start[missed] = (rest << _ORDER0_BITS) + f0 * order0.start[own]
+        size[missed] = f0 * order0.size[own]
+        part = width >> _U(_BITS)
+        moved = low + start.astype(np.uint64) * part
+        carry = np.flatnonzero(moved < low)
+        at = used[carry] - 1
+        while len(carry):  # add one to the words already put out
+            words[carry, at] += np.uint32(1)
+            full = words[carry, at] == 0
+            carry, at = carry[full], at[full] - 1
+        low, width = moved, size.astype(np.uint64) * part
+        rows = np.flatnonzero(width < _U(1 << 32))
+        if len(rows):
+            words[rows, used[rows]] = low[rows] >> _U(32)
+            used[rows] += 1
+            low[rows] <<= _U(32)
+            width[rows] <<= _U(32)
+        model.update(now, hit)
     every = np.arange(blocks)
-    words[every, used], words[every, used + 1] = coder.low >> _U(32), coder.low & _U(0xFFFFFFFF)
+    words[every, used], words[every, used + 1] = low >> _U(32), low & _U(0xFFFFFFFF)
     return words, used + 2
 
 
-def _decode_side_by_side(words: np.ndarray, length: int) -> np.ndarray:
+def _decode_side_by_side(words: np.ndarray, length: int, order0: Order0) -> np.ndarray:
     """words: (blocks, longest), filled up behind their ends."""
     blocks = len(words)
-    model, coder = _Model(blocks, True), _Range(blocks)
-    out, used = np.empty((length, blocks), np.uint32), np.full(blocks, 2)
-    code = (words[:, 0].astype(np.uint64) << _U(32)) | words[:, 1]
+    model = _Model(blocks)
+    width, used = np.full(blocks, ~_U(0)), np.full(blocks, 2)
+    code = (words[:, 0].astype(np.uint64) << _U(32)) | words[:, 1]  # counted from the interval's start
+    out = np.empty((length, blocks), np.int32)
     most = _U((1 << _BITS) - 1)
     before = last = np.zeros(blocks, np.int32)
     for step in range(length):
-        model.predict(*model.places(before, last))
-        spot = np.minimum((code - coder.low) // (coder.width >> _U(_BITS)), most).astype(np.int32)
-        symbol = spot >> _ESCAPE_BITS
-        hit2, known = symbol < model.f2, symbol < model.rest
-        hit1 = known & ~hit2
+        model.predict(before, last)
+        part = width >> _U(_BITS)
+        spot = np.minimum(code // part, most).astype(np.int64)
+        symbol = spot >> _ORDER0_BITS
+        second, known = symbol < model.size[0], symbol < model.rest
+        hit = np.stack([second, known & ~second])
+        start, size = np.where(second, 0, model.size[0]), np.where(second, model.size[0], model.size[1])
+        start, size = start.astype(np.int64) << _ORDER0_BITS, size.astype(np.int64) << _ORDER0_BITS
+        now = np.where(second, model.ids[0], model.ids[1])
         missed = np.flatnonzero(~known)
-        start, size = model.interval(hit2, hit1)
-        rest, f0 = model.rest[missed] << _ESCAPE_BITS, model.f0[missed]
-        inner = (spot[missed] - rest) // f0
-        upper = model.owner[model.base_owner[missed] + (inner >> _LOWER_BITS)].astype(np.int32)
-        place = model.base_upper[missed] + upper
-        width, begin = model.width[place], model.start[place] << _LOWER_BITS
-        lower = (inner - begin) // width
-        now = np.where(hit2, model.id2, model.id1)
-        now[missed] = (upper << _LOWER_BITS) + lower
-        start[missed] = rest + f0 * (begin + lower * width)
-        size[missed] = f0 * width
-        rows = coder.narrow(start, size)
+        rest = model.rest[missed].astype(np.int64)
+        f0 = (1 << _SYMBOL_BITS) - rest
+        own = order0.owner[(spot[missed] - (rest << _ORDER0_BITS)) // f0]
+        start[missed] = (rest << _ORDER0_BITS) + f0 * order0.start[own]
+        size[missed] = f0 * order0.size[own]
+        now[missed] = own
+        code -= start.astype(np.uint64) * part
+        width = size.astype(np.uint64) * part
+        rows = np.flatnonzero(width < _U(1 << 32))
         if len(rows):
-            coder.move(rows)
             code[rows] = (code[rows] << _U(32)) | words[rows, used[rows]]
+            width[rows] <<= _U(32)
             used[rows] += 1
-        model.update(now, hit2, hit1, missed)
+        model.update(now, hit)
         before, last = last, now
         out[step] = now
-    return np.ascontiguousarray(out.T)
+    return np.ascontiguousarray(out.T).astype(np.uint32)
+
 
+def encode(ids: np.ndarray, order0: Order0 | None = None) -> bytes:
+    """Blocks of the ids (16 bits each), one behind the other; few ids make shorter blocks, so that some run together.
 
-def encode(ids: np.ndarray) -> bytes:
-    """Blocks of the ids (16 bits each), one behind the other; few ids make shorter blocks, so that some run together."""
+    order0 must have each of the ids; the reader needs the same.
+    """
     ids = np.ascontiguousarray(ids, dtype="<u4")
     if len(ids) and int(ids.max()) >= 1 << 16:
         raise ValueError("the coder takes ids below 65,536")
+    order0 = order0 or Order0.flat()
+    if not order0.size[ids].all():
+        raise ValueError("order 0 lacks one of the ids")
     out = []
     size = min(BLOCK, max(SHORT_BLOCK, len(ids) // FEW))
     for first in range(0, len(ids), size * SIDE_BY_SIDE):
         part = ids[first : first + size * SIDE_BY_SIDE]
         blocks = -(-len(part) // size)
         length = min(size, len(part))
-        filled = np.zeros(blocks * length, np.uint32)
+        filled = np.full(blocks * length, part[0])  # any id that order 0 has
         filled[: len(part)] = part
-        words, used = _encode_side_by_side(filled.reshape(blocks, length))
+        words, used = _encode_side_by_side(filled.reshape(blocks, length), order0)
         for b in range(blocks):
             own = part[b * size : (b + 1) * size]
             out += [HEAD.pack(MARK, len(own), int(used[b]), zlib.crc32(own.tobytes())), words[b, : used[b]].astype("<u4").tobytes()]
     return b"".join(out)
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes, order0: Order0 | None = None) -> np.ndarray:
     """The ids of blocks that stand one behind the other; ValueError if one is not what was written."""
+    order0 = order0 or Order0.flat()
     heads, at = [], 0
     while at < len(data):
         mark, n, used, check = HEAD.unpack_from(data, at)
@@ -223,7 +219,7 @@ def decode(data: bytes) -> np.ndarray:
         words = np.zeros((len(some), max(used for _, used, *_ in some) + length), np.uint32)
         for row, (_, used, _, begin) in zip(words, some):
             row[:used] = np.frombuffer(data, "<u4", used, begin)
-        ids = _decode_side_by_side(words, length)
+        ids = _decode_side_by_side(words, length, order0)
         for row, (n, _, check, begin) in zip(ids, some):
             own = row[:n].astype("<u4")
             if zlib.crc32(own.tobytes()) != check:

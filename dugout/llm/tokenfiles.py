@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,9 +24,11 @@ END = 1
 #: A segment, one record of a file, is closed when it has so many ids; it holds whole documents.
 SEGMENT = coder.BLOCK * coder.SIDE_BY_SIDE
 #: Chunks a worker keeps in each of two tables before that starts anew; bytes of text handled at once; bytes of ids in a batch.
-CHUNKS_KEPT, TEXT_BYTES, OUT_BYTES = 300_000, 1 << 21, 1 << 23
-#: A mark behind a letter (ASCII or Latin-1) or digit, at the end of a chunk: always a piece of its own.
-_MARK = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([,.;:!?])(?=\s|$)")
+CHUNKS_KEPT, TEXT_BYTES, OUT_BYTES = 300_000, 1 << 23, 1 << 23
+#: Signs behind a letter or digit (of ASCII or Latin-1), up to the end of a chunk, are always a piece of their own.
+_SIGNS = "".join(c for c in string.punctuation if c != "'")
+_LETTERS = {*string.ascii_lowercase, *string.digits, *(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))}
+_WORD = re.compile("[a-zà-öø-ÿ]+")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -37,16 +42,20 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: For chunks of small letters only, which are one piece each and need no normalizing.
+        self.lettered = Tokenizer.from_file(path)
+        self.lettered.normalizer = normalizers.Sequence([])
+        self.lettered.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         #: Ids of chunks met in several groups of texts, and of those met in one so far; each is bounded.
-        self.known: dict[bytes, bytes] = {}
-        self.young: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+    def library(self, texts: list[str], lettered: bool = False) -> list[bytes]:
+        encoded = (self.lettered if lettered else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -60,21 +69,57 @@ class Encoder:
             start = stop
         return out
 
-    def _few(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [
-            None if t and "<|" in t else _MARK.sub(rb" \1", (t or "").encode("utf-8").lower()).split() for t in texts
-        ]
-        distinct = set().union(*[c for c in chunks if c])
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        """Ids of these chunks; signs at a chunk's end are a chunk of their own for the library."""
         for table in (self.known, self.young):
             if len(table) > CHUNKS_KEPT:
                 table.clear()
         known, young = self.known, self.young
-        known.update((c, young.pop(c)) for c in distinct & young.keys())
-        new = list(distinct - known.keys())
-        if new:
-            young.update(zip(new, self.library([c.decode("utf-8") for c in new])))
-        get = {c: known[c] if c in known else young[c] for c in distinct}.__getitem__
-        return [self.library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
+        out = list(map(known.get, distinct))
+        unknown = [i for i, ids in enumerate(out) if ids is None]
+        new, stems, signs = [], [], []
+        for i in unknown:
+            chunk = distinct[i]
+            ids = young.pop(chunk, None)
+            if ids is not None:
+                out[i] = known[chunk] = ids
+                continue
+            stem = chunk.rstrip(_SIGNS)
+            if not stem or stem[-1] not in _LETTERS:
+                stem = chunk
+            new.append(i)
+            stems.append(stem)
+            signs.append(chunk[len(stem) :])
+        parts: dict[str, bytes | None] = dict.fromkeys(stems)
+        parts.update(dict.fromkeys(signs))
+        for p in parts:
+            parts[p] = known.get(p) or young.get(p)
+        unmet = [p for p, ids in parts.items() if ids is None]
+        for lettered in (True, False):
+            some = [p for p in unmet if (_WORD.fullmatch(p) is not None) == lettered]
+            parts.update(zip(some, self.library(some, lettered)))
+        for i, stem, sign in zip(new, stems, signs):
+            out[i] = young[distinct[i]] = parts[stem] + parts[sign] if sign else parts[stem]
+        return out
+
+    def _few(self, texts: list[str | None]) -> list[bytes]:
+        """Chunks become numbers in Arrow; Python sees each distinct one once, and numpy gathers the ids."""
+        whole = {i for i, t in enumerate(texts) if t and "<|" in t}
+        plain = pa.array([None if i in whole else t for i, t in enumerate(texts)], pa.large_string()).fill_null("")
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        numbered = chunks.flatten().dictionary_encode()
+        pieces = self._ids(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        pool, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
+        at = numbered.indices.to_numpy()
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
+        border = ends[chunks.offsets.to_numpy()]
+        return [
+            self.library([t])[0] if i in whole else ids[first:last].tobytes()
+            for i, (t, first, last) in enumerate(zip(texts, border.tolist(), border[1:].tolist()))
+        ]
 
 
 def encoder(path: str) -> Encoder:
@@ -88,7 +133,7 @@ def write(docs: DataFrame, target: str, tokenizer: str, *, text: str = "text", k
 
     The rows are range-partitioned by key and a hash of the text and sorted, so a key with many rows is cut as well.
     A record of a file is a segment: part and segment number, number of ids, the keys of its documents, how many ids
-    each has, and the ids as blocks of the range coder. Spark's writer commits files, so tasks may be run again.
+    each has, the shares of ids in the segment, and the ids as blocks of the range coder that start from these. Spark's writer commits files, so tasks may be run again.
     """
     kind = dict(docs.select(col(key).alias("key")).dtypes)["key"]
 
@@ -99,14 +144,16 @@ def write(docs: DataFrame, target: str, tokenizer: str, *, text: str = "text", k
         end, key_type = np.array([END], dtype="<u4").tobytes(), None
 
         def closed() -> pa.RecordBatch:
-            payload = coder.encode(np.frombuffer(b"".join(held), dtype="<u4"))
+            every = np.frombuffer(b"".join(held), dtype="<u4")
+            shares = coder.Order0.of(every)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()),
                 "segment": pa.array([segment], pa.int32()),
                 "ids": pa.array([size], pa.int64()),
                 "keys": pa.array([keys], pa.list_(key_type)),
                 "lengths": pa.array([lengths], pa.list_(pa.int64())),
-                "payload": pa.array([payload], pa.binary()),
+                "order0": pa.array([shares.pack()], pa.binary()),
+                "payload": pa.array([coder.encode(every, shares)], pa.binary()),
             })
 
         for batch in batches:
@@ -139,7 +186,7 @@ def write(docs: DataFrame, target: str, tokenizer: str, *, text: str = "text", k
         .select("key", "text")
     )
     ordered.mapInArrow(
-        encode, f"part int, segment int, ids long, keys array<{kind}>, lengths array<long>, payload binary"
+        encode, f"part int, segment int, ids long, keys array<{kind}>, lengths array<long>, order0 binary, payload binary"
     ).write.option("compression", "none").parquet(target)
 
 
@@ -159,13 +206,14 @@ def read(spark: SparkSession, source: str) -> DataFrame:
     starts = sizes.withColumn("inner", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(before, "part").select(
         "part", "segment", (F.col("before") + F.col("inner")).alias("start")
     )
-    placed = files.join(materialize(starts, "starts"), ["part", "segment"]).select("start", "keys", "lengths", "payload")
+    placed = files.join(materialize(starts, "starts"), ["part", "segment"]).select("start", "keys", "lengths", "order0", "payload")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                ids = coder.decode(one.column("payload")[0].as_py())
+                shares = coder.Order0.unpack(one.column("order0")[0].as_py())
+                ids = coder.decode(one.column("payload")[0].as_py(), shares)
                 lengths = np.array(one.column("lengths")[0].as_py(), dtype=np.int64)
                 ends = np.cumsum(lengths)
                 if len(ids) != (ends[-1] if len(ends) else 0):

@@ -32,6 +32,29 @@ def test_coder_round_trips():
         coder.encode(np.array([1 << 16]))
 
 
+def test_counted_shares_beat_a_plain_order_0_code():
+    """Words of a long-tailed vocabulary, some in fixed phrases: fewer bits an id than their entropy, shares included."""
+    rng = np.random.default_rng(5)
+    words = rng.permutation(40_000)[:5000]
+    ids = words[np.minimum(rng.zipf(1.2, 300_000), 5000) - 1]
+    for at in rng.integers(0, len(ids) - 20, 6000):
+        ids[at : at + 12] = words[100:112]
+    order0 = coder.Order0.unpack(coder.Order0.of(ids).pack())
+    data = coder.encode(ids, order0)
+    assert (coder.decode(data, order0) == ids).all()
+    shares = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * (len(data) + len(order0.pack())) / len(ids) < -(shares * np.log2(shares)).sum()
+    with pytest.raises(ValueError):
+        coder.encode(np.array([words[0], 50_000]), order0)
+    assert len(coder.encode(np.array([], int), coder.Order0.of(np.array([], int)))) == 0
+
+
+def test_every_id_occurs_once():
+    ids = np.random.default_rng(6).permutation(1 << 16)
+    order0 = coder.Order0.of(ids)
+    assert (coder.decode(coder.encode(ids, order0), order0) == ids).all()
+
+
 def test_blocks_stand_alone_and_are_checked(monkeypatch):
     monkeypatch.setattr(coder, "BLOCK", 100)
     ids = np.random.default_rng(1).integers(0, 300, 950)
@@ -51,7 +74,7 @@ def test_blocks_stand_alone_and_are_checked(monkeypatch):
 
 def test_chunks_encode_like_whole_texts(library, monkeypatch):
     rng = random.Random(2)
-    pieces = ["Hello,", "world.", "don't", "it's!!", "Ünïcode", "ΣΑΣ", "éa", "x​y", "12,5", "...", "\x0b", "\x1c", " ", " ", "<|endoftext|>", "<|", "a.b,c", "İstanbul", "日本語", "'re,", "»,", "é,", "É.", "×.", "÷,", "ñ!", "ñ!!", "e\u0301,", "9.", "\n\t", "The", "THE,"]
+    pieces = ["Hello,", "world.", "don't", "it's!!", "Ünïcode", "ΣΑΣ", "éa", "x​y", "12,5", "...", "\x0b", "\x1c", " ", " ", "<|endoftext|>", "<|", "a.b,c", "İstanbul", "日本語", "'re,", "»,", "é,", "É.", "×.", "÷,", "ñ!", "ñ!!", "e\u0301,", "9.", "é###", "ñ,$$$", "e\u0301%%%", "x'%%", "a\u0338=", "=\u0338", "straße", "ÿy", "µm", "ﬁn", "\n\t", "The", "THE,"]
     texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(0, 40))) for _ in range(400)]
     texts += ["", " ", LONG[:3000]]
     for kept in (400_000, 5):
@@ -98,4 +121,4 @@ def test_segments_hold_whole_documents(spark, tmp_path):
     assert all(sum(f["lengths"]) == f["ids"] and len(f["keys"]) == len(f["lengths"]) for f in files)
     ids = tokenfiles.read(spark, target).select("key", F.crc32("ids").alias("c"), F.octet_length("ids").alias("n")).collect()
     assert len({r["c"] for r in ids}) == 1 and {r["n"] for r in ids} == {4 * 61}
-    assert ids[0]["c"] == zlib.crc32(np.array(coder.decode(files[0]["payload"])[:61], "<u4").tobytes())
+    assert ids[0]["c"] == zlib.crc32(np.array(coder.decode(files[0]["payload"], coder.Order0.unpack(files[0]["order0"]))[:61], "<u4").tobytes())
