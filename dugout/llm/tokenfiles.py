@@ -24,7 +24,7 @@ END = 1
 #: A segment, one record of a file, is closed when it has so many ids; it holds whole documents.
 SEGMENT = coder.BLOCK * coder.SIDE_BY_SIDE
 #: Chunks a worker keeps in each of two tables before that starts anew; bytes of text handled at once; bytes of ids in a batch.
-CHUNKS_KEPT, TEXT_BYTES, OUT_BYTES = 300_000, 1 << 23, 1 << 23
+CHUNKS_KEPT, TEXT_BYTES, OUT_BYTES = 500_000, 1 << 23, 1 << 23
 #: Signs behind a letter or digit (of ASCII or Latin-1), up to the end of a chunk, are always a piece of their own.
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
 _LETTERS = {*string.ascii_lowercase, *string.digits, *(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))}
