@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,14 +18,15 @@ TREES, BLOCK_ROWS, MOST_BLOCKS = 40, 50_000, 4096
 #: Candidates gathered over all trees before the ascent ends: FACTOR * rows ** POWER.
 FACTOR, POWER = 16.0, 2.0 / 3.0
 #: Coordinates of a random rotation that make up a hash string, and bits of a string that carry meaning.
-MOST_COORDINATES, STRING_BITS, TIE_BITS = 64, 56, 6
+MOST_COORDINATES, STRING_BITS, TIE_BITS = 64, 48, 14
 
 
 class Strings:
     """Hash strings of vectors, one per tree, as sortable non-negative 62-bit numbers.
 
     A tree rotates the vector at random and lists its coordinates from the largest in absolute value down, each with
-    its sign. Near vectors agree on a long beginning of that list. The last bits only spread equal strings.
+    its sign. Near vectors agree on a long beginning of that list. The last bits are a hash of the vector's bytes and only
+    spread equal strings, such as those of a vector's multiples, over many labels and so over many blocks.
     """
 
     def __init__(self, size: int, trees: int = TREES, seed: int = 1):
@@ -43,7 +45,7 @@ class Strings:
         """(rows, trees)."""
         out = np.zeros((len(vectors), self.trees), dtype=np.int64)
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-        ties = (np.abs(unit).sum(axis=1) * 1e9).astype(np.int64) & ((1 << TIE_BITS) - 1)
+        ties = np.array([crc32(v.tobytes()) & ((1 << TIE_BITS) - 1) for v in vectors], dtype=np.int64)
         for t, rotation in enumerate(self.rotations):
             turned = unit @ rotation
             first = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, : self.symbols]
@@ -59,6 +61,15 @@ def unpacked(column: pd.Series, kind: str, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), size).astype(np.float64)
 
 
+def in_range(vector, kind: str) -> np.ndarray:
+    """The vector; one of doubles times a power of two that brings its largest part to between a half and one.
+
+    That changes no cosine and keeps squares from over- and underflowing. Squares of single floats fit a double.
+    """
+    out = np.asarray(vector, dtype=kind) + 0
+    return out if kind == "<f4" else np.ldexp(out, -np.frexp(np.abs(out).max())[1])
+
+
 def span(label: np.ndarray, depth: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last label that share the beginning of so many bits."""
     free = (whole + TIE_BITS - depth).astype(np.int64)
@@ -71,8 +82,9 @@ def nearest(
 ) -> DataFrame:
     """(query, rank, id, score): the k nearest found for each row that wanted selects, by cosine, itself left out.
 
-    Rows with equal vectors are one entry that keeps its k + 1 smallest keys, all a top-k can ever use. Each entry has
-    a hash string per tree; a tree is its entries in the order of their strings, cut at quantiles into blocks of
+    Rows with equal vectors, or multiples of each other by a power of two where parts are doubles, are one entry that
+    keeps its k + 1 smallest keys, all a top-k can ever use. Other multiples share their strings but not their labels,
+    so blocks cut them apart. Entries are numbered, as two vectors may have one key. Each entry has a hash string per tree; a tree is its entries in the order of their strings, cut at quantiles into blocks of
     bounded size, one task each. First every query descends: a block finds by binary search how many entries share
     each length of prefix with it. Then all trees ascend together: the depth is the longest prefix length at which the
     trees hold enough candidates in sum. Last, the blocks that the query's prefix range touches score all entries in
@@ -94,7 +106,7 @@ def nearest(
 
     @F.pandas_udf("binary")
     def packed(values: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(v, dtype=kind) + 0).tobytes() for v in values], dtype=object)
+        return pd.Series([in_range(v, kind).tobytes() for v in values], dtype=object)
 
     rows = materialize(
         usable.filter(F.size(col(vector)) == size).select(
@@ -113,7 +125,7 @@ def nearest(
     entries = materialize(
         few.groupBy("packed")
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        .select(F.col("ids")[0].alias("entry"), "ids", "packed", labels("packed").alias("labels")),
+        .select(F.monotonically_increasing_id().alias("entry"), "ids", "packed", labels("packed").alias("labels")),
         "entries",
     )
     total = entries.count()
@@ -185,7 +197,7 @@ def nearest(
         out = []
         if len(arrays) and len(lookups):
             arrays = arrays.sort_values("label", kind="stable")
-            ordered, entry = arrays["label"].to_numpy(), arrays["entry"].to_numpy()
+            ordered, entry, least_id = (arrays[c].to_numpy() for c in ("label", "entry", "least_id"))
             points = unpacked(arrays["packed"], kind, size)
             norms = np.sqrt((points * points).sum(axis=1))
             asks = unpacked(lookups["packed"], kind, size)
@@ -200,12 +212,12 @@ def nearest(
                     near = np.flatnonzero(scores >= least)
                 else:
                     near = np.arange(end - start)
-                near = near[np.lexsort((entry[start + near], -scores[near]))][: k + 1]
+                near = near[np.lexsort((least_id[start + near], -scores[near]))][: k + 1]
                 out.append(pd.DataFrame({"asked": who, "entry": entry[start + near], "score": scores[near]}))
         return pd.concat(out) if out else pd.DataFrame({"asked": [], "entry": [], "score": []})
 
     found = (
-        placed(trees_of(entries, "packed"))
+        placed(trees_of(entries.withColumn("least_id", F.col("ids")[0]), "least_id", "packed"))
         .groupBy("tree", "block")
         .cogroup(sought.select("tree", "block", "entry", "packed", "low", "high").groupBy("tree", "block"))
         .applyInPandas(gather, "asked long, entry long, score double")

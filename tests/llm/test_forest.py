@@ -101,3 +101,43 @@ def test_strings(size):
     assert ((low <= labels[:, 0]) & (labels[:, 0] <= high)).all()
     low, high = span(labels[:, 0], np.zeros(50, int), strings.depth)
     assert (low == 0).all() and (high >= labels.max()).all()
+
+
+def test_extreme_magnitudes(spark):
+    """Doubles whose squares would over- or underflow keep their cosine, which a power of ten does not change."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 10))
+    scale = np.array([1e-200, 1e200, 1.0, 1e-310, 1e300])[np.arange(60) % 5]
+    rows = [(i, (v * s).tolist(), 0, "") for i, (v, s) in enumerate(zip(base, scale))]
+    found = results(nearest(spark.createDataFrame(rows, SHAPE.replace("float", "double")), wanted=F.col("vec_id") < 20))
+    norms = np.sqrt((base * base).sum(axis=1))
+    for q in range(20):
+        cosines = base @ base[q] / (norms * norms[q])
+        wanted = [i for i in np.argsort(-cosines) if i != q][:5]
+        assert [x for x, _ in found[q]] == wanted
+        # parts near 1e-310 have few digits left
+        assert np.allclose([s for _, s in found[q]], cosines[wanted], rtol=0, atol=1e-9)
+
+
+def test_multiples_of_one_vector_over_many_blocks(spark, monkeypatch):
+    """Multiples share their hash strings; blocks cut them apart, and none is lost."""
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=12)
+    vectors = [(one * (1 + i / 7)).tolist() if i % 3 == 0 else rng.normal(size=12).tolist() for i in range(600)]
+    labels = Strings(12, trees=2).labels(np.array(vectors[::3]))
+    assert len(set(labels[:, 0] >> forest.TIE_BITS)) == 1 and len(set(labels[:, 0])) > 150
+    rows = [(i, v, 0, "") for i, v in enumerate(vectors)]
+    found = results(nearest(spark.createDataFrame(rows, SHAPE), wanted=F.col("vec_id").isin(0, 300, 597, 1, 100)))
+    for q in (0, 300, 597):
+        assert all(x % 3 == 0 and round(s, 6) == 1 for x, s in found[q])
+    wanted = brute(list(range(600)), vectors, (0, 300, 597, 1, 100))
+    for q, near in wanted.items():
+        assert np.allclose([s for _, s in found[q]], [s for _, s in near], atol=1e-12)
+
+
+def test_two_vectors_with_one_id(spark):
+    rows = [(1, [1.0, 0.0, 0.1], 0, ""), (1, [0.0, 1.0, 0.2], 0, ""), (2, [1.0, 0.1, 0.1], 0, ""), (3, [0.1, 1.0, 0.2], 0, "")]
+    found = results(nearest(spark.createDataFrame(rows, SHAPE), wanted=F.col("vec_id") > 1, k=2))
+    assert [x for x, _ in found[2]] == [1, 3] and [x for x, _ in found[3]] == [1, 2]
+    assert round(found[3][0][1], 3) == round(1.04 / np.sqrt(1.04 * 1.05), 3)
