@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dugout.llm.common import boxed, col, row_hash, source_key
+from dugout.sources.scratch import materialize
 
 #: Rows that share source and size class are cut into so many ordered hash buckets.
 BUCKET_BITS = 12
@@ -67,7 +68,8 @@ def systematic_mix(
 
     A row's place is the count of all rows in earlier buckets of its source plus its number within its own bucket.
     A bucket is source, size class and the leading bits of the hash, so no task holds a whole source or class,
-    whatever share of the rows it has. Counts are aggregated before they move.
+    whatever share of the rows it has. Counts are aggregated before they move and written once, one row per bucket, so
+    the rows are read twice: to be counted and to be dealt. A size that is costly to tell is best a column of a table.
 
     Null sources are one source, which comes last; null sizes count as 0; a source of size 0 is not taken. Rows with
     the same key and size stand in the order of a hash of all columns; identical rows take any order, which gives the
@@ -85,7 +87,9 @@ def systematic_mix(
         size_class(F.col("size")).alias("klass"),
         F.shiftright(F.conv(F.substring("draw", 1, 4), 16, 10).cast("int"), 16 - BUCKET_BITS).alias("bucket"),
     )
-    counts = rows.groupBy("skey", "klass", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    counts = materialize(
+        rows.groupBy("skey", "klass", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "counts"
+    )
     sizes = counts.groupBy("skey").agg(F.sum("words").cast("long").alias("source_size"))
     # first the classes of a source, then the buckets of a class, so no task has all buckets of a source
     classes = Window.partitionBy("skey").orderBy("klass").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,7 +17,7 @@ from dugout.llm.mixing import systematic_mix
 from dugout.llm.quotes import link_quotes
 from dugout.llm.sharding import shuffle_into_shards
 from dugout.llm.simhash import simhash_components
-from dugout.sources.scratch import scratch_dir
+from dugout.sources.scratch import materialize, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,7 +110,7 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
-    return systematic_mix(docs, F.col("words")).select(
+    return systematic_mix(materialize(docs, "words"), F.col("words")).select(
         "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
