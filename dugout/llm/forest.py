@@ -84,9 +84,10 @@ def nearest(
 
     Rows with equal vectors, or multiples of each other by a power of two where parts are doubles, are one entry that
     keeps its k + 1 smallest keys, all a top-k can ever use. Other multiples share their strings but not their labels,
-    so blocks cut them apart. Entries are numbered, as two vectors may have one key. Each entry has a hash string per tree; a tree is its entries in the order of their strings, cut at quantiles into blocks of
-    bounded size, one task each. First every query descends: a block finds by binary search how many entries share
-    each length of prefix with it. Then all trees ascend together: the depth is the longest prefix length at which the
+    so blocks cut them apart. Entries are numbered, as two vectors may have one key. Each entry has a hash string
+    per tree; a tree is its entries in the order of their strings, cut at quantiles into blocks of bounded size, one
+    task each. First every query descends: a block finds by binary search how many entries share each length of prefix
+    with it. Then all trees ascend together: the depth is the longest prefix length at which the
     trees hold enough candidates in sum. Last, the blocks that the query's prefix range touches score all entries in
     that range, whole levels, in double precision on the original vectors, and keep their k + 1 best.
 
@@ -148,14 +149,18 @@ def nearest(
         cuts = np.array([r["cuts"] for r in points], dtype=np.int64)
     held = spark.sparkContext.broadcast(cuts)
 
-    @F.pandas_udf("array<int>")
-    def block_of(tree: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    @F.pandas_udf("first int, last int")
+    def block_of(tree: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
         """Blocks of a tree that hold labels from low to high: the first and the last."""
-        out = [np.searchsorted(held.value[t], [a, b], side="right").astype(np.int32) for t, a, b in zip(tree, low, high)]
-        return pd.Series(out, dtype=object)
+        which, out = tree.to_numpy(), np.zeros((2, len(tree)), dtype=np.int32)
+        for t in np.unique(which):
+            own = np.flatnonzero(which == t)
+            for row, ends in zip(out, (low, high)):
+                row[own] = np.searchsorted(held.value[t], ends.to_numpy()[own], side="right")
+        return pd.DataFrame({"first": out[0], "last": out[1]})
 
     def placed(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("block", block_of("tree", "label", "label")[0] if blocks > 1 else F.lit(0))
+        return frame.withColumn("block", block_of("tree", "label", "label")["first"] if blocks > 1 else F.lit(0))
 
     trees_of = lambda frame, *more: frame.select("entry", *more, F.posexplode("labels").alias("tree", "label"))
     index = placed(trees_of(entries))
@@ -189,7 +194,7 @@ def nearest(
     )
     if blocks > 1:
         touched = block_of("tree", "low", "high")
-        sought = sought.withColumn("touched", touched).withColumn("block", F.explode(F.sequence(F.col("touched")[0], F.col("touched")[1])))
+        sought = sought.withColumn("touched", touched).withColumn("block", F.explode(F.sequence(F.col("touched.first"), F.col("touched.last"))))
     else:
         sought = sought.withColumn("block", F.lit(0))
 
