@@ -23,11 +23,11 @@ from dugout.sources.scratch import materialize
 END = 1
 #: A segment, one record of a file, is closed when it has so many ids; it holds whole documents.
 SEGMENT = coder.BLOCK * coder.SIDE_BY_SIDE
-#: Chunks a worker keeps in each of two tables before that starts anew; bytes of text handled at once; bytes of ids in a batch.
-CHUNKS_KEPT, TEXT_BYTES, OUT_BYTES = 500_000, 1 << 23, 1 << 23
+#: Parts of chunks a worker keeps before its table starts anew; bytes of text handled at once; bytes of ids in a batch.
+PARTS_KEPT, TEXT_BYTES, OUT_BYTES = 500_000, 1 << 23, 1 << 23
 #: Signs behind a letter or digit (of ASCII or Latin-1), up to the end of a chunk, are always a piece of their own.
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
-_LETTERS = {*string.ascii_lowercase, *string.digits, *(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))}
+_LETTER_LAST = "[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 _WORD = re.compile("[a-zà-öø-ÿ]+")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -36,8 +36,8 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     The tokenizer lower-cases and never makes a piece across white space, so the ids of a text are those of its chunks
-    between ASCII white space; each distinct chunk goes through the library once. Texts that may hold a special
-    token's name go through it whole.
+    between ASCII white space, each cut in two where signs follow its last letter or digit; each distinct part goes
+    through the library once. Texts that may hold a special token's name go through it whole.
     """
 
     def __init__(self, path: str):
@@ -49,9 +49,8 @@ class Encoder:
         self.lettered = Tokenizer.from_file(path)
         self.lettered.normalizer = normalizers.Sequence([])
         self.lettered.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: Ids of chunks met in several groups of texts, and of those met in one so far; each is bounded.
+        #: Ids of the parts met, a bounded table.
         self.known: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
 
     def library(self, texts: list[str], lettered: bool = False) -> list[bytes]:
         encoded = (self.lettered if lettered else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
@@ -69,59 +68,53 @@ class Encoder:
             start = stop
         return out
 
-    def _ids(self, distinct: list[str]) -> list[bytes]:
-        """Ids of these chunks; signs at a chunk's end are a chunk of their own for the library."""
-        for table in (self.known, self.young):
-            if len(table) > CHUNKS_KEPT:
-                table.clear()
-        known, young = self.known, self.young
-        out = list(map(known.get, distinct))
-        unknown = [i for i, ids in enumerate(out) if ids is None]
-        new, stems, signs = [], [], []
-        for i in unknown:
-            chunk = distinct[i]
-            ids = young.pop(chunk, None)
-            if ids is not None:
-                out[i] = known[chunk] = ids
-                continue
-            stem = chunk.rstrip(_SIGNS)
-            if not stem or stem[-1] not in _LETTERS:
-                stem = chunk
-            new.append(i)
-            stems.append(stem)
-            signs.append(chunk[len(stem) :])
-        parts: dict[str, bytes | None] = dict.fromkeys(stems)
-        parts.update(dict.fromkeys(signs))
-        for p in parts:
-            parts[p] = known.get(p) or young.get(p)
-        unmet = [p for p, ids in parts.items() if ids is None]
-        for lettered in (True, False):
-            some = [p for p in unmet if (_WORD.fullmatch(p) is not None) == lettered]
-            parts.update(zip(some, self.library(some, lettered)))
-        for i, stem, sign in zip(new, stems, signs):
-            out[i] = young[distinct[i]] = parts[stem] + parts[sign] if sign else parts[stem]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of these distinct parts."""
+        if len(self.known) > PARTS_KEPT:
+            self.known.clear()
+        out = list(map(self.known.get, parts))
+        words, others = [], []
+        for part, ids in zip(parts, out):
+            if ids is None:
+                (words if _WORD.fullmatch(part) else others).append(part)
+        if words or others:
+            self.known.update(zip(words, self.library(words, lettered=True)))
+            self.known.update(zip(others, self.library(others)))
+            out = list(map(self.known.get, parts))
         return out
 
     def _few(self, texts: list[str | None]) -> list[bytes]:
-        """Chunks become numbers in Arrow; Python sees each distinct one once, and numpy gathers the ids."""
+        """Parts become numbers in Arrow; Python sees each distinct one once, and numpy gathers the ids."""
         whole = {i for i, t in enumerate(texts) if t and "<|" in t}
         plain = pa.array([None if i in whole else t for i, t in enumerate(texts)], pa.large_string()).fill_null("")
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         numbered = chunks.flatten().dictionary_encode()
-        pieces = self._ids(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        parts = halves(numbered.dictionary).dictionary_encode()
+        pieces = self._ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         pool, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
-        at = numbered.indices.to_numpy()
+        at = parts.indices.to_numpy().reshape(-1, 2)[numbered.indices.to_numpy()].ravel()
         each = sizes[at]
         ends = np.concatenate([[0], np.cumsum(each)])
         ids = pool[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
-        border = ends[chunks.offsets.to_numpy()]
+        border = ends[2 * chunks.offsets.to_numpy()]
         return [
             self.library([t])[0] if i in whole else ids[first:last].tobytes()
             for i, (t, first, last) in enumerate(zip(texts, border.tolist(), border[1:].tolist()))
         ]
 
 
+def halves(chunks: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Two strings for each chunk, by a second set of offsets over the same bytes: the chunk up to its last letter or
+    digit and the signs behind that; the whole chunk and an empty string where something else stands last."""
+    stems = pc.ascii_rtrim(chunks, characters=_SIGNS)
+    cut = pc.if_else(pc.match_substring_regex(stems, _LETTER_LAST), pc.binary_length(stems), pc.binary_length(chunks))
+    first = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    offsets = np.empty(2 * len(chunks) + 1, np.int64)
+    offsets[::2], offsets[1::2] = first, first[:-1] + cut.to_numpy()
+    return pa.LargeStringArray.from_buffers(2 * len(chunks), pa.py_buffer(offsets), chunks.buffers()[2])
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
