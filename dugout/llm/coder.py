@@ -40,7 +40,7 @@ class Order0:
         share = 1 + self.counts * room // max(1, int(self.counts.sum()))
         if len(share):
             share[np.argmax(share)] += (1 << _ORDER0_BITS) - share.sum()
-        self.size, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.size, self.start = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.size[self.ids], self.start[self.ids] = share, np.cumsum(share) - share
         self.owner = np.repeat(self.ids.astype(np.int32), share)
 
@@ -64,7 +64,7 @@ class Order0:
 
 
 class _Model:
-    """State of all blocks; what belongs to order 2 and to order 1 are the two rows of its arrays."""
+    """State of all blocks; what belongs to order 2 and to order 1 are the two rows of its arrays. Shares fit 32 bits."""
 
     def __init__(self, blocks: int):
         each = np.arange(blocks, dtype=np.int64)
@@ -88,6 +88,7 @@ class _Model:
         self.p = self.odds.take(self.at_odds)
         self.size = ((self.p * ((1 << _SYMBOL_BITS) - 8)) >> _SYMBOL_BITS) + 1
         self.rest = self.size[0] + self.size[1]
+        self.shares = self.size << _ORDER0_BITS
 
     def update(self, now: np.ndarray, hit: np.ndarray) -> None:
         """now: what came; hit: whether it came as order 2 said, and as only order 1 said."""
@@ -109,10 +110,9 @@ def _encode_side_by_side(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, n
         model.predict(before, last)
         hit = model.ids == now
         hit[1] &= ~hit[0]
-        start, size = np.where(hit[1], model.size[0], 0), np.where(hit[0], model.size[0], model.size[1])
-        start, size = start.astype(np.int64) << _ORDER0_BITS, size.astype(np.int64) << _ORDER0_BITS
+        start, size = np.where(hit[1], model.shares[0], 0), np.where(hit[0], model.shares[0], model.shares[1])
         missed = np.flatnonzero(~(hit[0] | hit[1]))
-        own, rest = now[missed], model.rest[missed].astype(np.int64)
+        own, rest = now[missed], model.rest[missed]
         f0 = (1 << _SYMBOL_BITS) - rest
         start[missed] = (rest << _ORDER0_BITS) + f0 * order0.start[own]
         size[missed] = f0 * order0.size[own]
@@ -149,15 +149,14 @@ def _decode_side_by_side(words: np.ndarray, length: int, order0: Order0) -> np.n
     for step in range(length):
         model.predict(before, last)
         part = width >> _U(_BITS)
-        spot = np.minimum(code // part, most).astype(np.int64)
+        spot = np.minimum(code // part, most).astype(np.int32)
         symbol = spot >> _ORDER0_BITS
         second, known = symbol < model.size[0], symbol < model.rest
         hit = np.stack([second, known & ~second])
-        start, size = np.where(second, 0, model.size[0]), np.where(second, model.size[0], model.size[1])
-        start, size = start.astype(np.int64) << _ORDER0_BITS, size.astype(np.int64) << _ORDER0_BITS
+        start, size = np.where(second, 0, model.shares[0]), np.where(second, model.shares[0], model.shares[1])
         now = np.where(second, model.ids[0], model.ids[1])
         missed = np.flatnonzero(~known)
-        rest = model.rest[missed].astype(np.int64)
+        rest = model.rest[missed]
         f0 = (1 << _SYMBOL_BITS) - rest
         own = order0.owner[(spot[missed] - (rest << _ORDER0_BITS)) // f0]
         start[missed] = (rest << _ORDER0_BITS) + f0 * order0.start[own]

@@ -7,6 +7,7 @@ import re
 import string
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ END = 1
 SEGMENT = coder.BLOCK * coder.SIDE_BY_SIDE
 #: Parts of chunks a worker keeps before its table starts anew; bytes of text handled at once; bytes of ids in a batch.
 PARTS_KEPT, TEXT_BYTES, OUT_BYTES = 500_000, 1 << 23, 1 << 23
+#: Words of small letters that go through the library as one text.
+LINES = 1000
 #: Signs behind a letter or digit (of ASCII or Latin-1), up to the end of a chunk, are always a piece of their own.
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
 _LETTER_LAST = "[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
@@ -45,16 +48,27 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: For chunks of small letters only, which are one piece each and need no normalizing.
-        self.lettered = Tokenizer.from_file(path)
-        self.lettered.normalizer = normalizers.Sequence([])
-        self.lettered.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: For parts of small letters only, which are one piece each and need no normalizing: one to a line.
+        self.lines = Tokenizer.from_file(path)
+        self.lines.normalizer = normalizers.Sequence([])
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        #: The id that stands for a line's end, and only for that.
+        (self.line_end,) = self.lines.encode("\n", add_special_tokens=False).ids
         #: Ids of the parts met, a bounded table.
         self.known: dict[str, bytes] = {}
 
-    def library(self, texts: list[str], lettered: bool = False) -> list[bytes]:
-        encoded = (self.lettered if lettered else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of small letters. The library gets many in one text, as each text costs it more than a word."""
+        pages = ["\n".join(words[i : i + LINES]) + "\n" for i in range(0, len(words), LINES)]
+        ids = array("I", chain.from_iterable(e.ids for e in self.lines.encode_batch_fast(pages, add_special_tokens=False)))
+        ends = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.line_end)
+        every = ids.tobytes()
+        return [every[first:end] for first, end in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -78,7 +92,7 @@ class Encoder:
             if ids is None:
                 (words if _WORD.fullmatch(part) else others).append(part)
         if words or others:
-            self.known.update(zip(words, self.library(words, lettered=True)))
+            self.known.update(zip(words, self.words(words)))
             self.known.update(zip(others, self.library(others)))
             out = list(map(self.known.get, parts))
         return out
@@ -91,12 +105,16 @@ class Encoder:
         numbered = chunks.flatten().dictionary_encode()
         parts = halves(numbered.dictionary).dictionary_encode()
         pieces = self._ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        pool, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
-        at = parts.indices.to_numpy().reshape(-1, 2)[numbered.indices.to_numpy()].ravel()
-        each = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
+        # 32 bits do: a batch's texts, and so its ids, number fewer than 2 ** 31 bytes
+        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces)) >> 2
+        pool, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        at = parts.indices.to_numpy().reshape(-1, 2).take(numbered.indices.to_numpy(), axis=0).ravel()
+        each = sizes.take(at)
+        ends = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(each, out=ends[1:])
+        places = np.repeat(starts.take(at) - ends[:-1], each)
+        places += np.arange(ends[-1], dtype=np.int32)
+        ids = pool.take(places)
         border = ends[2 * chunks.offsets.to_numpy()]
         return [
             self.library([t])[0] if i in whole else ids[first:last].tobytes()
