@@ -38,3 +38,19 @@ def test_extremes_of_pairs_over_many_batches():
         both = whole[~np.isnan(whole[:, row["i"]]) & ~np.isnan(whole[:, row["j"]]), row["i"]]
         ends = (both.min(), both.max()) if len(both) else (np.inf, -np.inf)
         assert (row["n"], row["lo"], row["hi"]) == (len(both), *ends)
+
+
+def test_line_items_are_joined_after_orders_found_their_customers(spark, sf_dir):
+    plan = plan_of(tables.pitches(spark, sf_dir))
+    assert plan.index("= o_orderkey") < plan.index("= c_custkey")
+
+
+def test_only_the_season_before_meets_absent_names(spark):
+    seasons = Seasons(2000, 2001, 2002)
+    rows = [("a", 2000), ("a", 2001), ("b", 2000), ("b", 2000), ("c", None), (None, 2000), (None, 1999)]
+    df = spark.createDataFrame(rows, "player_name string, game_year int").withColumn("pred_year", F.col("game_year") + 1)
+    moved = model_table.carry_over(df, seasons)
+    got = sorted((str(r.player_name), r.game_year or 0, r.pred_year or 0) for r in moved.collect())
+    wanted = [("None", 1999, 2000), ("None", 2000, 2002), ("a", 2000, 2001), ("a", 2001, 2002), ("b", 2000, 2002), ("b", 2000, 2002), ("c", 0, 0)]
+    assert got == wanted
+    assert plan_of(moved).startswith("Union")
