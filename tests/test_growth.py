@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dugout.operators import correlation as corr
+from dugout.operators import split
 from dugout.params import Seasons
-from dugout.plans import model_table
+from dugout.plans import model_table, modelling
 from dugout.plans import queries as Q
 from dugout.sources import scratch, tables
 
@@ -54,3 +55,34 @@ def test_only_the_season_before_meets_absent_names(spark):
     wanted = [("None", 1999, 2000), ("None", 2000, 2002), ("a", 2000, 2001), ("a", 2001, 2002), ("b", 2000, 2002), ("b", 2000, 2002), ("c", 0, 0)]
     assert got == wanted
     assert plan_of(moved).startswith("Union")
+
+
+def test_files_of_fitted_rows_are_bounded(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(scratch, "FITTED_FILE_ROWS", 100)
+    rows = Q.split_rows(spark, sf_dir, [*Q.CELL, "pred_year"])
+    sizes = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 100 < sum(sizes)
+
+
+def test_moments_of_all_resamples_in_one_pass(spark):
+    rows = [(float(i % 7), None if i % 4 == 0 else float(i * i % 11), i % 3, (i // 2) % 3 if i else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, fold_1 int, fold_2 int").repartition(4)
+    found = {}
+    for r in corr.resample_moments(df, ["a", "b"], {1: "fold_1", 2: "fold_2"}).collect():
+        found[r.repeat, r.fold, r.i, r.j] = (r.n, r.lo, r.hi, r["shift"] + r.sx / r.n, r.sxx - r.sx * r.sx / r.n)
+    for repeat in (1, 2):
+        for fold in range(3):
+            apart = corr.pair_moments(df.where(F.col(f"fold_{repeat}") != fold), ["a", "b"]).collect()
+            for r in apart:
+                wanted = (r.n, r.lo, r.hi, r["shift"] + r.sx / r.n, r.sxx - r.sx * r.sx / r.n)
+                assert np.allclose(found[repeat, fold, r.i, r.j], wanted, rtol=1e-9, atol=1e-9)
+    assert len(found) == 2 * 3 * 4
+
+
+def test_tuning_stores_the_rows_once_for_all_resamples(spark, sf_dir, monkeypatch):
+    train = Q.training(spark, sf_dir)
+    folds = scratch.materialize(split.stratified_folds(train, folds=3, repeats=1), "folds")
+    stored, store = [], modelling.materialize
+    monkeypatch.setattr(modelling, "materialize", lambda df, label, *more: (stored.append(label), store(df, label, *more))[1])
+    found = modelling.tune_grid(train, folds, [modelling.Point(100, 17, (1,))])
+    assert stored == ["folded"] and found.count() == 3 * 3
