@@ -86,3 +86,8 @@ def test_tuning_stores_the_rows_once_for_all_resamples(spark, sf_dir, monkeypatc
     monkeypatch.setattr(modelling, "materialize", lambda df, label, *more: (stored.append(label), store(df, label, *more))[1])
     found = modelling.tune_grid(train, folds, [modelling.Point(100, 17, (1,))])
     assert stored == ["folded"] and found.count() == 3 * 3
+
+
+def test_guesses_are_taken_apart_after_they_met_the_folds(spark, sf_dir):
+    plan = plan_of(Q.cv_summary(spark, sf_dir))
+    assert plan.index("Generate explode(") < plan.index("Join")
