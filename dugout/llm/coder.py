@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 
 #: Most and fewest ids of a block; blocks coded side by side, and how many of them short input is cut into.
-BLOCK, SHORT_BLOCK, SIDE_BY_SIDE, FEW = 2048, 512, 2048, 256
+BLOCK, SHORT_BLOCK, SIDE_BY_SIDE, FEW = 2048, 512, 3072, 384
 #: A block: mark, number of ids, number of words, checksum of the ids; then the words.
 HEAD = struct.Struct("<4sIII")
 MARK = b"CMR2"
@@ -28,6 +28,8 @@ _BITS = _SYMBOL_BITS + _ORDER0_BITS
 #: Odds are shares of 2 ** _SYMBOL_BITS that move by 2 ** -_RATE of the way to what was seen.
 _RATE, _FIRST_ODDS = 5, (1300, 900)
 _CONTEXTS = 32
+#: Steps whose places in the tables the encoder finds at once.
+_STEPS = 32
 _U = np.uint64
 
 
@@ -64,38 +66,59 @@ class Order0:
 
 
 class _Model:
-    """State of all blocks; what belongs to order 2 and to order 1 are the two rows of its arrays. Shares fit 32 bits."""
+    """State of all blocks; what belongs to order 2 and to order 1 are the two rows of its arrays. Shares fit 32 bits.
+
+    An entry of a table is an id, shifted by two bits, and how sure it is: 0 to 3. Entries of all blocks for one hash stand
+    together, as do their odds of one context: blocks meet the same frequent ids, so what a step reads is mostly in the cache.
+    """
 
     def __init__(self, blocks: int):
         each = np.arange(blocks, dtype=np.int64)
-        self.base = np.stack([each * _ORDER2, blocks * _ORDER2 + each * _ORDER1])
+        self.blocks, self.base = blocks, np.stack([each, blocks * _ORDER2 + each])
         self.table = np.zeros(blocks * (_ORDER2 + _ORDER1), np.int32)
-        self.base_odds = np.stack([each, each + blocks]) * _CONTEXTS
+        self.base_odds = np.stack([each, blocks * _CONTEXTS + each])
         self.odds = np.repeat(np.array(_FIRST_ODDS, np.int32), blocks * _CONTEXTS)
-        self.mask = np.array([[_ORDER2 - 1], [_ORDER1 - 1]])
-        self.mixed = np.zeros((2, blocks), np.int64)
-
-    def predict(self, before: np.ndarray, last: np.ndarray) -> None:
-        """The ids both tables expect after these two, and the sizes of their intervals."""
-        np.multiply(last, 0x1E35A7BD, out=self.mixed[1])
-        np.multiply(before, 0x2F0B4C47, out=self.mixed[0])
-        self.mixed[0] += self.mixed[1]
-        self.at = ((self.mixed >> 15) & self.mask) + self.base
-        self.entry = self.table.take(self.at)
-        self.sure, self.ids = self.entry & 3, self.entry >> 2
-        context = (self.sure[0] << 3) | (self.sure[1] << 1) | (self.ids[0] == self.ids[1])
+        self.mask = np.array([[_ORDER2 - 1], [_ORDER1 - 1]], np.int32)
+
+    def places(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where both tables say what comes after these two ids, of one step or of several; 32 bits hold all that counts."""
+        mixed = np.empty((*last.shape[:-1], 2, last.shape[-1]), np.int32)
+        np.multiply(last, 0x1E35A7BD, out=mixed[..., 1, :])
+        np.multiply(before, 0x2F0B4C47, out=mixed[..., 0, :])
+        mixed[..., 0, :] += mixed[..., 1, :]
+        mixed >>= 15
+        mixed &= self.mask
+        mixed *= self.blocks
+        at = mixed.astype(np.int64)
+        at += self.base
+        return at
+
+    def predict(self, at: np.ndarray) -> None:
+        """What both tables say there, and the sizes of its intervals."""
+        self.at = at
+        self.entry = entry = self.table.take(at)
+        self.sure = entry & 3
+        # entries with one id differ in the two lowest bits alone
+        one = (entry[0] ^ entry[1]).view(np.uint32) < 4
+        context = (self.sure[0] * 8 + self.sure[1] * 2).astype(np.int64)
+        context += one.view(np.int8).astype(np.int64)
+        context *= self.blocks
         self.at_odds = self.base_odds + context
         self.p = self.odds.take(self.at_odds)
         self.size = ((self.p * ((1 << _SYMBOL_BITS) - 8)) >> _SYMBOL_BITS) + 1
         self.rest = self.size[0] + self.size[1]
         self.shares = self.size << _ORDER0_BITS
 
-    def update(self, now: np.ndarray, hit: np.ndarray) -> None:
-        """now: what came; hit: whether it came as order 2 said, and as only order 1 said."""
-        said = self.ids == now
-        missed = np.where(self.sure > 0, self.entry - 1, now << 2)
-        self.table[self.at] = np.where(said, self.entry + (self.sure < 3), missed)
-        self.odds[self.at_odds] = self.p + (((hit.astype(np.int32) << _SYMBOL_BITS) - self.p) >> _RATE)
+    def update(self, marked: np.ndarray, said: np.ndarray, hit: np.ndarray) -> None:
+        """marked: entries that what came begins with; said: who had said so; hit: if it came as order 2 said, and as only order 1 said."""
+        entry = self.entry
+        missed = np.where(self.sure == 0, marked, entry - 1)
+        self.table[self.at] = np.where(said, np.minimum(entry + 1, entry | 3), missed)
+        moved = np.left_shift(hit, _SYMBOL_BITS, dtype=np.int32)
+        moved -= self.p
+        moved >>= _RATE
+        moved += self.p
+        self.odds[self.at_odds] = moved
 
 
 def _encode_side_by_side(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, np.ndarray]:
@@ -103,73 +126,90 @@ def _encode_side_by_side(ids: np.ndarray, order0: Order0) -> tuple[np.ndarray, n
     blocks, length = ids.shape
     model = _Model(blocks)
     low, width = np.zeros(blocks, np.uint64), np.full(blocks, ~_U(0))
-    words, used = np.zeros((blocks, length + 2), np.uint32), np.zeros(blocks, np.int64)
+    words = np.zeros((length + 2, blocks), np.uint32)
+    flat, used = words.reshape(-1), np.arange(blocks)  # where the next word of each block goes
     turned = np.zeros((length + 2, blocks), np.int32)  # two zeros stand before the first id
     turned[2:] = ids.T
-    for before, last, now in zip(turned, turned[1:], turned[2:]):
-        model.predict(before, last)
-        hit = model.ids == now
-        hit[1] &= ~hit[0]
-        start, size = np.where(hit[1], model.shares[0], 0), np.where(hit[0], model.shares[0], model.shares[1])
-        missed = np.flatnonzero(~(hit[0] | hit[1]))
-        own, rest = now[missed], model.rest[missed]
-        f0 = (1 << _SYMBOL_BITS) - rest
-        start[missed] = (rest << _ORDER0_BITS) + f0 * order0.start[own]
-        size[missed] = f0 * order0.size[own]
-        part = width >> _U(_BITS)
-        moved = low + start.astype(np.uint64) * part
-        carry = np.flatnonzero(moved < low)
-        at = used[carry] - 1
-        while len(carry):  # add one to the words already put out
-            words[carry, at] += np.uint32(1)
-            full = words[carry, at] == 0
-            carry, at = carry[full], at[full] - 1
-        low, width = moved, size.astype(np.uint64) * part
-        rows = np.flatnonzero(width < _U(1 << 32))
-        if len(rows):
-            words[rows, used[rows]] = low[rows] >> _U(32)
-            used[rows] += 1
-            low[rows] <<= _U(32)
-            width[rows] <<= _U(32)
-        model.update(now, hit)
-    every = np.arange(blocks)
-    words[every, used], words[every, used + 1] = low >> _U(32), low & _U(0xFFFFFFFF)
-    return words, used + 2
+    for begin in range(0, length, _STEPS):
+        came = turned[begin + 2 : begin + 2 + _STEPS]
+        places = model.places(turned[begin : begin + len(came)], turned[begin + 1 : begin + 1 + len(came)])
+        for at, marked, own_start, own_size in zip(places, came << 2, order0.start.take(came), order0.size.take(came)):
+            model.predict(at)
+            said = (model.entry ^ marked).view(np.uint32) < 4
+            hit = said.copy()
+            hit[1] &= ~said[0]
+            f0 = (1 << _SYMBOL_BITS) - model.rest
+            start, size = f0 * own_start, f0 * own_size
+            start += model.rest << _ORDER0_BITS
+            np.copyto(start, model.shares[0], where=hit[1])
+            np.copyto(size, model.shares[1], where=hit[1])
+            np.copyto(start, 0, where=hit[0])
+            np.copyto(size, model.shares[0], where=hit[0])
+            width >>= _U(_BITS)
+            moved = start.astype(np.uint64)
+            moved *= width
+            moved += low
+            carry = np.flatnonzero(moved < low)
+            at = used.take(carry) - blocks
+            while len(carry):  # add one to the words already put out
+                flat[at] += np.uint32(1)
+                full = flat[at] == 0
+                carry, at = carry[full], at[full] - blocks
+            low = moved
+            width *= size.astype(np.uint64)
+            rows = np.flatnonzero(width < _U(1 << 32))
+            if len(rows):
+                out, at = low.take(rows), used.take(rows)
+                flat[at] = out >> _U(32)
+                used[rows] = at + blocks
+                low[rows] = out << _U(32)
+                width[rows] = width.take(rows) << _U(32)
+            model.update(marked, said, hit)
+    flat[used], flat[used + blocks] = low >> _U(32), low & _U(0xFFFFFFFF)
+    used = used // blocks + 2
+    return np.ascontiguousarray(words[: used.max()].T), used
 
 
 def _decode_side_by_side(words: np.ndarray, length: int, order0: Order0) -> np.ndarray:
     """words: (blocks, longest), filled up behind their ends."""
     blocks = len(words)
     model = _Model(blocks)
-    width, used = np.full(blocks, ~_U(0)), np.full(blocks, 2)
+    flat, used = words.T.reshape(-1), np.arange(blocks) + 2 * blocks  # a copy in which the blocks' next words stand together
+    width = np.full(blocks, ~_U(0))
     code = (words[:, 0].astype(np.uint64) << _U(32)) | words[:, 1]  # counted from the interval's start
     out = np.empty((length, blocks), np.int32)
     most = _U((1 << _BITS) - 1)
     before = last = np.zeros(blocks, np.int32)
+    said, hit = np.empty((2, 2, blocks), bool)
     for step in range(length):
-        model.predict(before, last)
-        part = width >> _U(_BITS)
-        spot = np.minimum(code // part, most).astype(np.int32)
+        model.predict(model.places(before, last))
+        width >>= _U(_BITS)
+        spot = np.minimum(code // width, most).astype(np.int32)
         symbol = spot >> _ORDER0_BITS
-        second, known = symbol < model.size[0], symbol < model.rest
-        hit = np.stack([second, known & ~second])
-        start, size = np.where(second, 0, model.shares[0]), np.where(second, model.shares[0], model.shares[1])
-        now = np.where(second, model.ids[0], model.ids[1])
-        missed = np.flatnonzero(~known)
-        rest = model.rest[missed]
+        rest = model.rest
+        np.less(symbol, model.size[0], out=hit[0])
+        np.less(symbol, rest, out=hit[1])
+        hit[1] ^= hit[0]
         f0 = (1 << _SYMBOL_BITS) - rest
-        own = order0.owner[(spot[missed] - (rest << _ORDER0_BITS)) // f0]
-        start[missed] = (rest << _ORDER0_BITS) + f0 * order0.start[own]
-        size[missed] = f0 * order0.size[own]
-        now[missed] = own
-        code -= start.astype(np.uint64) * part
-        width = size.astype(np.uint64) * part
+        start = rest << _ORDER0_BITS
+        spot -= start  # below zero, and so far too large without a sign, where order 2 or 1 was right
+        now = order0.owner.take(spot.view(np.uint32) // f0.view(np.uint32), mode="clip")
+        start += f0 * order0.start.take(now)
+        size = f0 * order0.size.take(now)
+        for array, first, second in ((start, 0, model.shares[0]), (size, *model.shares), (now, *(model.entry >> 2))):
+            np.copyto(array, first, where=hit[0])
+            np.copyto(array, second, where=hit[1])
+        code -= start.astype(np.uint64) * width
+        width *= size.astype(np.uint64)
         rows = np.flatnonzero(width < _U(1 << 32))
         if len(rows):
-            code[rows] = (code[rows] << _U(32)) | words[rows, used[rows]]
-            width[rows] <<= _U(32)
-            used[rows] += 1
-        model.update(now, hit)
+            at = used.take(rows)
+            code[rows] = (code.take(rows) << _U(32)) | flat.take(at)
+            width[rows] = width.take(rows) << _U(32)
+            used[rows] = at + blocks
+        marked = now << 2
+        np.less((model.entry ^ marked).view(np.uint32), 4, out=said)
+        model.update(marked, said, hit)
         before, last = last, now
         out[step] = now
     return np.ascontiguousarray(out.T).astype(np.uint32)

@@ -7,7 +7,8 @@ import re
 import string
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,11 @@ END = 1
 SEGMENT = coder.BLOCK * coder.SIDE_BY_SIDE
 #: Parts of chunks a worker keeps before its table starts anew; bytes of text handled at once; bytes of ids in a batch.
 PARTS_KEPT, TEXT_BYTES, OUT_BYTES = 500_000, 1 << 23, 1 << 23
-#: Words of small letters that go through the library as one text.
-LINES = 1000
 #: Signs behind a letter or digit (of ASCII or Latin-1), up to the end of a chunk, are always a piece of their own.
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
 _LETTER_LAST = "[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
-_WORD = re.compile("[a-zà-öø-ÿ]+")
+_LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_WORD = re.compile(f"[a-z{_LATIN}]+")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -45,17 +45,15 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: For parts of small letters only, which are one piece each and need no normalizing: one to a line.
-        self.lines = Tokenizer.from_file(path)
-        self.lines.normalizer = normalizers.Sequence([])
-        self.lines.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        #: The id that stands for a line's end, and only for that.
-        (self.line_end,) = self.lines.encode("\n", add_special_tokens=False).ids
+        #: For parts of small letters only, which are one piece each and need no normalizing.
+        self.model = self.tokenizer.model
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: How the vocabulary writes those bytes of small letters that it does not write as the Latin-1 sign of that byte.
+        pairs = {p for c in _LATIN for p in zip(c.encode().decode("latin-1"), signs.pre_tokenize_str(c)[0][0], strict=True)}
+        self.written = [(byte, sign) for byte, sign in pairs if byte != sign]
         #: Ids of the parts met, a bounded table.
         self.known: dict[str, bytes] = {}
 
@@ -63,12 +61,11 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of small letters. The library gets many in one text, as each text costs it more than a word."""
-        pages = ["\n".join(words[i : i + LINES]) + "\n" for i in range(0, len(words), LINES)]
-        ids = array("I", chain.from_iterable(e.ids for e in self.lines.encode_batch_fast(pages, add_special_tokens=False)))
-        ends = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.line_end)
-        every = ids.tobytes()
-        return [every[first:end] for first, end in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+        """Ids of words of small letters, from the library's model itself: its pipeline costs twice as much as the model."""
+        pieces, written = self.model.tokenize, "\n".join(words).encode().decode("latin-1")
+        for byte, sign in self.written:
+            written = written.replace(byte, sign)
+        return [array("I", [p.id for p in pieces(w)]).tobytes() for w in written.split("\n")] if words else []
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -88,9 +85,9 @@ class Encoder:
             self.known.clear()
         out = list(map(self.known.get, parts))
         words, others = [], []
-        for part, ids in zip(parts, out):
-            if ids is None:
-                (words if _WORD.fullmatch(part) else others).append(part)
+        for part in compress(parts, map(is_, out, repeat(None))):
+            plain = part.isalpha() if part.isascii() else _WORD.fullmatch(part)  # no capital of ASCII is left
+            (words if plain else others).append(part)
         if words or others:
             self.known.update(zip(words, self.words(words)))
             self.known.update(zip(others, self.library(others)))

@@ -55,6 +55,23 @@ def test_every_id_occurs_once():
     assert (coder.decode(coder.encode(ids, order0), order0) == ids).all()
 
 
+def test_entries_of_all_blocks_for_one_hash_stand_together():
+    model = coder._Model(5)
+    same = np.full(5, 77, np.int32)
+    for row in model.places(same, same):
+        assert np.diff(row).tolist() == [1] * 4
+    steps = model.places(np.stack([same, same + 1]), np.stack([same + 1, same]))
+    assert (steps[0] == model.places(same, same + 1)).all() and (steps[1] == model.places(same + 1, same)).all()
+
+
+def test_words_go_through_the_model_alone(library, monkeypatch):
+    encoder = tokenfiles.Encoder(PATH)
+    monkeypatch.setattr(encoder, "library", lambda texts: [] if not texts else pytest.fail(f"whole pipeline for {texts}"))
+    texts = ["the straße été And", tokenfiles._LATIN, "ÿþ abcdefghijklmnop"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_blocks_stand_alone_and_are_checked(monkeypatch):
     monkeypatch.setattr(coder, "BLOCK", 100)
     ids = np.random.default_rng(1).integers(0, 300, 950)
