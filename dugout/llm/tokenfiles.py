@@ -30,7 +30,7 @@ PARTS_KEPT, TEXT_BYTES, OUT_BYTES = 500_000, 1 << 23, 1 << 23
 #: Signs behind a letter or digit (of ASCII or Latin-1), up to the end of a chunk, are always a piece of their own.
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
 _LETTER_LAST = "[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
-_LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_LATIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _WORD = re.compile(f"[a-z{_LATIN}]+")
 _encoders: dict[str, "Encoder"] = {}
 

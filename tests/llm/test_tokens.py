@@ -66,7 +66,7 @@ def test_entries_of_all_blocks_for_one_hash_stand_together():
 
 def test_words_go_through_the_model_alone(library, monkeypatch):
     encoder = tokenfiles.Encoder(PATH)
-    monkeypatch.setattr(encoder, "library", lambda texts: [] if not texts else pytest.fail(f"whole pipeline for {texts}"))
+    monkeypatch.setattr(encoder, "library", lambda texts: [b""] if texts == [""] else pytest.fail(f"whole pipeline for {texts}"))
     texts = ["the straße été And", tokenfiles._LATIN, "ÿþ abcdefghijklmnop"]
     for text, ids in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
