@@ -64,6 +64,16 @@ def test_files_of_fitted_rows_are_bounded(spark, sf_dir, monkeypatch):
     assert max(sizes) <= 100 < sum(sizes)
 
 
+def test_scan_tasks_of_fitted_rows_are_bounded(spark):
+    rows = scratch.materialize(spark.range(0, 600_000, numPartitions=1), "rows", scratch.FITTED_FILE_ROWS)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert max(sizes) <= 32 * scratch.FITTED_FILE_ROWS < 300_000 and sum(sizes) == 600_000
+
+
 def test_moments_of_all_resamples_in_one_pass(spark):
     rows = [(float(i % 7), None if i % 4 == 0 else float(i * i % 11), i % 3, (i // 2) % 3 if i else None) for i in range(60)]
     df = spark.createDataFrame(rows, "a double, b double, fold_1 int, fold_2 int").repartition(4)
