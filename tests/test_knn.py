@@ -172,3 +172,61 @@ def test_bounds_leave_out_tiles(spark):
     rows = clusters(400)
     got = _by_id(impute_knn(spark.createDataFrame(rows, SCHEMA), COLUMNS, block=(), query_tile=16, donor_tile=32))
     _check(got, rows, _brute_force(rows, 5, blocks=False))
+
+
+def _plan(df, **how):
+    spread = {c: (r, m, s) for c, r, m, s in zip(*(lambda x: (x.columns, x.ranges, x.means, x.sds))(knn.learn(df, COLUMNS)))}
+    return knn.neighbours(df, df, COLUMNS, (), knn.CELL, 5, how["query_tile"], how["donor_tile"], spread)
+
+
+def test_no_tile_is_shuffled_once_per_pair(spark):
+    """Behind the meeting of tiles nothing is shuffled but one row of fills for each row with gaps."""
+    rows = _rows(120, 4)
+    found = _plan(spark.createDataFrame(rows, SCHEMA), query_tile=8, donor_tile=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("CartesianProduct")]
+    donors = plan[plan.index("CartesianProduct") :].splitlines()[1:4]
+    assert not any("Exchange" in line for line in donors)
+    assert found.count() == sum(None in r for r in rows)
+
+
+def test_values_beyond_those_of_the_donors(spark):
+    """Rough sums cut such values off at the donors' ends; what is found are still the nearest by whole distances."""
+    rng = random.Random(12)
+    far = lambda: None if rng.random() < 0.4 else rng.choice((-1e6, 3.0, 1e9)) + rng.random()
+    train = _rows(150, 11)
+    new = [(1000 + i, f"n{i}", 2000 + i % 2, "FB", far(), far(), far()) for i in range(60)]
+    frames = [spark.createDataFrame(rows, SCHEMA) for rows in (new, train)]
+    got = _by_id(impute_knn(frames[0], COLUMNS, donors=frames[1], block=(), query_tile=9, donor_tile=40))
+    assert len(got) == len(new)
+    _check(got, new, _brute_force(new, 5, train, blocks=False))
+
+
+def test_rough_sums_leave_out_no_pair():
+    """Every pair within a row's bound passes the test in 16 bits, for many columns and spans."""
+    rng = np.random.default_rng(9)
+    for spread in (1e-3, 0.3, 1.0, 40.0):
+        x, y = (np.where(rng.random((n, 50)) < 0.3, np.nan, rng.normal(0, spread, (n, 50))) for n in (100, 700))
+        donors = knn._Donors(y, bytes(16 * len(y)), np.ones(50))
+        gaps = knn._Gaps(x, bytes(16 * len(x)), np.full(x.shape, np.inf), 5, -2)
+        both = ~np.isnan(x[:, None]) & ~np.isnan(y[None])
+        dist = np.where(both, np.abs(x[:, None] - y[None]), 0).sum(axis=2) / (both.sum(axis=2) - 2)
+        own = np.quantile(dist, 0.02, axis=1)
+        side = gaps._side(knn._grid(gaps.rows.x, donors.low, donors.high, donors.unit), slice(0, 100), own, donors)
+        passed = np.zeros(dist.shape, bool)
+        for piece, start in enumerate(donors.starts):
+            r, c = gaps._near(knn._grid(gaps.rows.x, donors.low, donors.high, donors.unit), side, gaps.boxes[0], donors, piece)
+            passed[r, start + c] = True
+        assert passed[dist <= own[:, None]].all() and passed.mean() < 0.1
+
+
+def test_a_row_meets_the_sample_and_all_others(spark):
+    """With a tiny sample and few pairs kept at once the bounds move often; the fills are those of the double loop."""
+    rows = _rows(300, 21)
+    sizes = knn.SAMPLE, knn.PENDING
+    knn.SAMPLE, knn.PENDING = 12, 50
+    try:
+        got = _by_id(impute_knn(spark.createDataFrame(rows, SCHEMA), COLUMNS, block=(), query_tile=64, donor_tile=64))
+    finally:
+        knn.SAMPLE, knn.PENDING = sizes
+    _check(got, rows, _brute_force(rows, 5, blocks=False))
