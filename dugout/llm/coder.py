@@ -18,11 +18,11 @@ import zlib
 import numpy as np
 
 #: Most and fewest ids of a block; blocks coded side by side, and how many of them short input is cut into.
-BLOCK, SHORT_BLOCK, SIDE_BY_SIDE, FEW = 2048, 512, 3072, 384
+BLOCK, SHORT_BLOCK, SIDE_BY_SIDE, FEW = 1024, 512, 6144, 384
 #: A block: mark, number of ids, number of words, checksum of the ids; then the words.
 HEAD = struct.Struct("<4sIII")
 MARK = b"CMR2"
-_ORDER2, _ORDER1 = 2048, 1024
+_ORDER2, _ORDER1 = 512, 256
 _SYMBOL_BITS, _ORDER0_BITS = 12, 18
 _BITS = _SYMBOL_BITS + _ORDER0_BITS
 #: Odds are shares of 2 ** _SYMBOL_BITS that move by 2 ** -_RATE of the way to what was seen.
@@ -112,9 +112,12 @@ class _Model:
     def update(self, marked: np.ndarray, said: np.ndarray, hit: np.ndarray) -> None:
         """marked: entries that what came begins with; said: who had said so; hit: if it came as order 2 said, and as only order 1 said."""
         entry = self.entry
-        missed = np.where(self.sure == 0, marked, entry - 1)
-        self.table[self.at] = np.where(said, np.minimum(entry + 1, entry | 3), missed)
-        moved = np.left_shift(hit, _SYMBOL_BITS, dtype=np.int32)
+        new = entry - 1
+        np.copyto(new, marked, where=self.sure == 0)
+        np.copyto(new, np.minimum(entry + 1, entry | 3), where=said)
+        self.table[self.at] = new
+        moved = hit.view(np.int8).astype(np.int32)
+        moved <<= _SYMBOL_BITS
         moved -= self.p
         moved >>= _RATE
         moved += self.p

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 import string
 from array import array
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +28,7 @@ PARTS_KEPT, TEXT_BYTES, OUT_BYTES = 500_000, 1 << 23, 1 << 23
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
 _LETTER_LAST = "[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 _LATIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-_WORD = re.compile(f"[a-z{_LATIN}]+")
+_WORDS = f"^[a-z{_LATIN}]+$"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -49,7 +46,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: For parts of small letters only, which are one piece each and need no normalizing.
-        self.model = self.tokenizer.model
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        #: Ids of pieces that end a word: the model marks these, and no others.
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(1 + max(names.values()), bool)
+        self.last[[i for name, i in names.items() if name.endswith(self.model.model.end_of_word_suffix)]] = True
         signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         #: How the vocabulary writes those bytes of small letters that it does not write as the Latin-1 sign of that byte.
         pairs = {p for c in _LATIN for p in zip(c.encode().decode("latin-1"), signs.pre_tokenize_str(c)[0][0], strict=True)}
@@ -62,10 +64,15 @@ class Encoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of words of small letters, from the library's model itself: its pipeline costs twice as much as the model."""
-        pieces, written = self.model.tokenize, "\n".join(words).encode().decode("latin-1")
+        written = "\n".join(words).encode().decode("latin-1")
         for byte, sign in self.written:
             written = written.replace(byte, sign)
-        return [array("I", [p.id for p in pieces(w)]).tobytes() for w in written.split("\n")] if words else []
+        ids = np.array(self.model.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last.take(ids)) + 1)).tolist()
+        if len(ends) != len(words):
+            raise ValueError("the model's words do not end where the texts' do")
+        flat = ids.tobytes()
+        return [flat[first:last] for first, last in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -79,19 +86,19 @@ class Encoder:
             start = stop
         return out
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
+    def _ids(self, dictionary: pa.LargeStringArray) -> list[bytes]:
         """Ids of these distinct parts."""
         if len(self.known) > PARTS_KEPT:
             self.known.clear()
+        parts = dictionary.to_numpy(zero_copy_only=False).tolist()
         out = list(map(self.known.get, parts))
-        words, others = [], []
-        for part in compress(parts, map(is_, out, repeat(None))):
-            plain = part.isalpha() if part.isascii() else _WORD.fullmatch(part)  # no capital of ASCII is left
-            (words if plain else others).append(part)
-        if words or others:
-            self.known.update(zip(words, self.words(words)))
-            self.known.update(zip(others, self.library(others)))
-            out = list(map(self.known.get, parts))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        plain = pc.match_substring_regex(dictionary.take(pa.array(new, pa.int64())), _WORDS).to_numpy(zero_copy_only=False)
+        at = np.array(new, np.int64)
+        for places, ids_of in ((at[plain].tolist(), self.words), (at[~plain].tolist(), self.library)):
+            found = [parts[i] for i in places]
+            for i, part, ids in zip(places, found, ids_of(found)):
+                out[i] = self.known[part] = ids
         return out
 
     def _few(self, texts: list[str | None]) -> list[bytes]:
@@ -101,7 +108,7 @@ class Encoder:
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         numbered = chunks.flatten().dictionary_encode()
         parts = halves(numbered.dictionary).dictionary_encode()
-        pieces = self._ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pieces = self._ids(parts.dictionary)
         # 32 bits do: a batch's texts, and so its ids, number fewer than 2 ** 31 bytes
         sizes = np.fromiter(map(len, pieces), np.int32, len(pieces)) >> 2
         pool, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes

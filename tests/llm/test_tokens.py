@@ -72,6 +72,33 @@ def test_words_go_through_the_model_alone(library, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_model_in_one_call(library, monkeypatch):
+    """Ids of all words come back in one row; only the last piece of each word is marked as such."""
+    encoder, calls = tokenfiles.Encoder(PATH), []
+    words = ["a", "straße", "antidisestablishmentarianism", "zzqx", "été", tokenfiles._LATIN, "the"]
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return model.encode_batch_fast(texts, **how)
+
+    model = encoder.model
+    monkeypatch.setattr(encoder, "model", Counted())
+    for word, ids in zip(words, encoder.words(words), strict=True):
+        ids = np.frombuffer(ids, "<u4")
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
+        assert encoder.last[ids].tolist() == [False] * (len(ids) - 1) + [True]
+    assert calls == [1] and encoder.words([]) == []
+    with pytest.raises(ValueError):
+        encoder.words(["two\nlines"])
+
+
+def test_a_segment_is_cut_into_many_blocks():
+    """The fixed cost of a step is shared by at least 4,000 blocks in a segment of five million ids."""
+    assert min(coder.BLOCK, max(coder.SHORT_BLOCK, 5_000_000 // coder.FEW)) * 4000 <= 5_000_000
+    assert coder.BLOCK * coder.SIDE_BY_SIDE == tokenfiles.SEGMENT == 6 << 20
+
+
 def test_blocks_stand_alone_and_are_checked(monkeypatch):
     monkeypatch.setattr(coder, "BLOCK", 100)
     ids = np.random.default_rng(1).integers(0, 300, 950)
