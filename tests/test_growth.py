@@ -101,3 +101,24 @@ def test_tuning_stores_the_rows_once_for_all_resamples(spark, sf_dir, monkeypatc
 def test_guesses_are_taken_apart_after_they_met_the_folds(spark, sf_dir):
     plan = plan_of(Q.cv_summary(spark, sf_dir))
     assert plan.index("Generate explode(") < plan.index("Join")
+
+
+def test_each_resample_prepares_a_row_once(spark, sf_dir, monkeypatch):
+    train = Q.training(spark, sf_dir)
+    folds = scratch.materialize(split.stratified_folds(train, folds=3, repeats=1), "folds")
+    sizes, prepared = [], modelling.prepared
+    monkeypatch.setattr(modelling, "prepared", lambda df, recipe: (sizes.append(df.count()), prepared(df, recipe))[1])
+    grid = [modelling.Point(100, 17, (1,)), modelling.Point(12, 17, (1,))]
+    assert modelling.tune_grid(train, folds, grid).count() == 3 * 2 * 3
+    assert len(sizes) == 6 and sum(sizes) == 3 * train.count()
+
+
+def test_tuning_takes_the_rows_that_are_there(spark, sf_dir, tmp_path, monkeypatch):
+    calls, split_rows = [], Q.split_rows
+    monkeypatch.setattr(Q, "split_rows", lambda *a: (calls.append(a), split_rows(*a))[1])
+    monkeypatch.setattr(Q.scratch, "shared_dir", lambda spark, label, *_: (str(tmp_path / label), True))
+    row = (12, 17, 1, 1, 0, "rsq", 0.5)
+    frame = spark.createDataFrame([row], "min_n int, mtry int, trees int, repeat int, fold int, metric string, estimate double")
+    monkeypatch.setattr(Q.modelling, "tune_grid", lambda *_, **__: frame)
+    assert Q.bind_columns_predictions(spark, sf_dir).count() > 0
+    assert len(calls) == 1

@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dugout.operators import correlation as corr
 from dugout.operators import split
+from dugout.params import CELL
 from dugout.plans import evaluation, features, modelling
 from dugout.plans import queries as Q
 
@@ -101,3 +103,17 @@ def test_best_point_is_the_highest_rsq(spark):
     rows = [(1, 1, n, "rsq", m) for n, m in ((1, 0.2), (12, 0.9), (23, 0.4))] + [(1, 1, 1, "rmse", 0.1)]
     summary = spark.createDataFrame(rows, "min_n int, mtry int, trees int, metric string, mean double")
     assert modelling.best_point(summary) == modelling.Point(1, 1, (12,))
+
+
+def test_assembled_features_are_those_of_the_stages(spark, sf_dir):
+    train = Q.training(spark, sf_dir)
+    recipe = features.fit_recipe(train)
+    staged = train
+    for stage in recipe.stages():
+        staged = stage.transform(staged)
+    told = lambda df: {tuple(r[:-1]): r.x for r in df.select(*CELL, vector_to_array("features").alias("x")).collect()}
+    wanted = told(staged)
+    assert len(wanted) > 100 and told(recipe.assembled(train)) == wanted
+    bad = train.withColumn(recipe.inputs[3], F.lit(float("nan")))
+    with pytest.raises(Exception, match="NaN"):
+        recipe.assembled(bad).select("features").collect()
