@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -103,6 +105,23 @@ def test_guesses_are_taken_apart_after_they_met_the_folds(spark, sf_dir):
     assert plan.index("Generate explode(") < plan.index("Join")
 
 
+def shuffle_files(spark) -> set[str]:
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in blocks.mkString(" ").split() if name.startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    setting = spark.conf.get(scratch._RELEASE, None)
+    before = shuffle_files(spark)
+    rows = spark.range(0, 100_000, numPartitions=4).groupBy((F.col("id") % 1000).alias("k")).count()
+    stored = scratch.materialize(rows, "counts")
+    end = time.monotonic() + 5
+    while (left := shuffle_files(spark) - before) and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not left and stored.count() == 1000 == rows.count()
+    assert spark.conf.get(scratch._RELEASE, None) == setting
+
+
 def test_each_resample_prepares_a_row_once(spark, sf_dir, monkeypatch):
     train = Q.training(spark, sf_dir)
     folds = scratch.materialize(split.stratified_folds(train, folds=3, repeats=1), "folds")
