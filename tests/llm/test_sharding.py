@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from dugout.llm import registry
 from dugout.llm.sharding import Matrix, hypergeometric, shuffle_into_shards
 from fixtures import awkward_docs, empty_docs
 
@@ -33,6 +35,22 @@ def test_fewer_rows_than_shards_and_none(spark):
     assert shuffle_into_shards(empty_docs(spark), 40).count() == 0
 
 
+def test_the_query_deals_whole_documents(spark, tmp_path, monkeypatch):
+    docs = awkward_docs(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    given = []
+    monkeypatch.setattr(registry, "shuffle_into_shards", lambda df, n: (given.append(df.schema), shuffle_into_shards(df, n))[1])
+    found = registry.op4_hypergeometric_shards(spark, str(tmp_path))
+    assert [f.names for f in given] == [docs.columns]
+    dealt = found._jdf.queryExecution().sparkPlan().toString()
+    assert dealt.index("crc32") < dealt.index("Window")  # the checksum is taken of what the shard holds
+    rows = found.collect()
+    check(rows, docs.count(), 40)
+    plain = lambda t: (16, None) if t is None else (len(t.encode()) + 16, zlib.crc32(t.encode()))
+    wanted = Counter((r["doc_id"], *plain(r["text"])) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == wanted
+
+
 def test_same_seed_same_deal(spark):
     docs = spark.range(0, 1000, numPartitions=4)
     deal = lambda seed: {r["row"]["id"]: (r["shard"], r["slot"]) for r in shuffle_into_shards(docs, 10, seed=seed).collect()}
