@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from compare import duck
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from dugout.operators import split
 from dugout.plans import boosting, modelling
 from dugout.plans import queries as Q
@@ -58,3 +60,18 @@ def test_fits_in_tasks_and_on_many_rows_agree(spark, sf_dir, monkeypatch):
     found.append(modelling.tune_grid(train, folds, grid).collect())
     tasks, library = ({tuple(r)[:-1]: r.estimate for r in rows} for rows in found)
     assert len(tasks) == 2 * 2 * 3 and tasks == pytest.approx(library, rel=1e-9)
+
+
+def test_the_whole_grid_is_tuned(spark, sf_dir, tmp_path, monkeypatch):
+    given = []
+    row = (1, 1, 1, 1, 0, "rsq", 0.5)
+    frame = spark.createDataFrame([row], "min_n int, mtry int, trees int, repeat int, fold int, metric string, estimate double")
+    monkeypatch.setattr(Q.scratch, "shared_dir", lambda spark, label, *_: (str(tmp_path / label), True))
+    monkeypatch.setattr(Q.modelling, "tune_grid", lambda train, folds, grid, **_: (given.append((folds.count() / train.count(), grid)), frame)[1])
+    Q.tuned(spark, sf_dir)
+    [(repeats, grid)] = given
+    points = {(p.min_n, p.mtry, t) for p in grid for t in p.trees}
+    assert repeats == 5 and len(points) == 1000
+    assert [{p[i] for p in points} for i in range(3)] == [set(range(1, 101, 11)), {1, 6, 11, 17, 22, 28, 33, 39, 44, 50}, set(range(1, 101, 11))]
+    told = duck(sf_dir).sql(contract.oracle_sql()["tune_grid"]).fetchall()
+    assert {r[:3] for r in told} == points and len(told) == 3000 and {r[4] for r in told} == {25}
