@@ -230,3 +230,27 @@ def test_a_row_meets_the_sample_and_all_others(spark):
     finally:
         knn.SAMPLE, knn.PENDING = sizes
     _check(got, rows, _brute_force(rows, 5, blocks=False))
+
+
+def test_no_pair_within_the_bounds_is_left_out():
+    """Columns of few steps and of many, known on both sides, on one or by some rows only."""
+    rng = np.random.default_rng(8)
+    cells = lambda n: np.stack([rng.random(n), rng.integers(0, 3, n) / 2, rng.random(n) ** 3, rng.integers(0, 6, n) / 5, np.full(n, 0.4), rng.random(n)], axis=1)
+    donors, rows = cells(900), cells(300)
+    for x in (donors, rows):
+        x[:, 2:4][rng.random((len(x), 2)) < 0.3] = np.nan
+    rows[:, 5] = np.nan
+    d = knn._Donors(donors, bytes(16 * len(donors)), np.ones(6))
+    assert d.coarse.tolist() == [False, True, False, True, True, False]
+    for reach in (0.05, 0.2, np.inf):
+        g = knn._Gaps(rows, bytes(16 * len(rows)), np.full(rows.shape, reach), 5, -1)
+        steps = knn._grid(g.rows.x, d.low, d.high, d.unit)
+        for strip, box in zip(g.strips, g.boxes):
+            own = g.wanted[strip].max(axis=1)
+            side = g._side(steps[strip], strip, own, d)
+            for piece, start in enumerate(d.starts):
+                found = set(zip(*g._near(steps[strip], side, box, d, piece)))
+                r, c = (x.ravel() for x in np.indices((len(own), min(knn.PIECE, len(donors) - start))))
+                exact = knn.exact_distances(g.rows, r + strip.start, d.rows, c + start, -1)
+                near = exact <= own[r]
+                assert set(zip(r[near], c[near])) <= found and len(found) <= near.sum() + 0.02 * len(near)
